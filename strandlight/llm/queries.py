@@ -33,7 +33,36 @@ def op9_bpe_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_digests(docs, _vocabulary("byte_bpe_50k.json"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandlight.llm.toxicity import toxicity_scores
+
+    return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandlight.llm.quality import quality_scores
+
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandlight.llm.simhash import near_duplicates
+
+    found = near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandlight.llm.media import media_digests, text_media
+
+    return media_digests(text_media(table(spark, sf_dir, "documents")))
+
+
 QUERIES = {
+    "op2_toxicity": op2_toxicity,
+    "op4_quality": op4_quality,
+    "op7_simhash": op7_simhash,
+    "op10_media": op10_media,
     "op1_best_fit_packing": op1_best_fit_packing,
     "op5_token_store": op5_token_store,
     "op9_bpe_words": op9_bpe_words,
