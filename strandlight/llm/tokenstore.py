@@ -77,7 +77,7 @@ def _sections(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     """Recipe rows (kind 1) and chunk rows (kind 0, at most one for each chunk and task while remembered)."""
 
     def sections(batches):
-        words, end, sent = codec(tokenizer), end_id.to_bytes(4, "little"), set()
+        words, end, sent, row = codec(tokenizer), end_id.to_bytes(4, "little"), set(), 0
         for batch in batches:
             out = [[] for _ in range(8)]
             held = 0
@@ -100,8 +100,8 @@ def _sections(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
                         for column, value in zip(out, (int.from_bytes(key[:8], "little", signed=True), 0, key, None, stop - start, None, None, part)):
                             column.append(value)
                     start = stop
-                crc = zlib.crc32(wide)
-                for column, value in zip(out, (crc * 2654435761 % (1 << 61), 1, None, doc_id, len(ids), crc, b"".join(keys), None)):
+                crc, row = zlib.crc32(wide), row + 1
+                for column, value in zip(out, (int.from_bytes(hashlib.sha256(b"%d %d" % (crc, row)).digest()[:8], "little", signed=True), 1, None, doc_id, len(ids), crc, b"".join(keys), None)):
                     column.append(value)
                 if held > 16 << 20:
                     yield batch_of(out)
