@@ -58,7 +58,28 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_digests(text_media(table(spark, sf_dir, "documents")))
 
 
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandlight.llm.url_filter import judge
+
+    return judge(table(spark, sf_dir, "pages"))
+
+
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandlight.llm.secret_scan import secret_report
+
+    return secret_report(table(spark, sf_dir, "documents"))
+
+
+def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandlight.llm.embedding_dedup import embedding_links
+
+    return embedding_links(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
+    "op3_embedding_dedup": op3_embedding_dedup,
+    "op6_url_filter": op6_url_filter,
+    "op8_secret_scan": op8_secret_scan,
     "op2_toxicity": op2_toxicity,
     "op4_quality": op4_quality,
     "op7_simhash": op7_simhash,
