@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,22 +47,23 @@ def classify(overrides: DataFrame | None, files: DataFrame, fps_threshold: float
     """
     low = lambda c: F.lower(F.coalesce(F.col(c), F.lit("")))
     marks = F.concat_ws(" ", low("make"), low("model"), low("encoder"))
-    has = lambda words, text: F.greatest(*[F.contains(text, F.lit(w)) for w in words])
+    has = lambda words, text: reduce(lambda a, b: a | b, [F.contains(text, F.lit(w)) for w in words])
     name = F.lower(F.element_at(F.split("path", "/"), -1))
     prefix = F.lit(None).cast("string")
     for start, kind in reversed(NAME_PREFIXES):
         prefix = F.when(F.startswith(name, F.lit(start)), kind).otherwise(prefix)
+    says = lambda kind, signal: F.struct((F.lit(kind) if isinstance(kind, str) else kind).alias("c"), F.lit(signal).alias("s"))
     guess = (
-        F.when(F.startswith("telemetry", F.lit("dji")), F.struct(F.lit("drone").alias("c"), F.lit("telemetry").alias("s")))
-        .when(F.col("telemetry") == "gopro_gpmf", F.struct(F.lit("actioncam"), F.lit("telemetry")))
-        .when(has(ACTION_MARKS, marks), F.struct(F.lit("actioncam"), F.lit("marker")))
-        .when(F.col("phone_keys"), F.struct(F.lit("phone"), F.lit("phone_tags")))
-        .when(has(PHONE_MAKERS, low("make")), F.struct(F.lit("phone"), F.lit("maker")))
-        .when(has(REFLEX_MAKERS, low("make")), F.struct(F.lit("reflex"), F.lit("maker")))
-        .when(F.col("is_vertical"), F.struct(F.lit("phone"), F.lit("vertical")))
-        .when(F.col("fps") >= fps_threshold, F.struct(F.lit("actioncam"), F.lit("fps")))
-        .when(prefix.isNotNull(), F.struct(prefix, F.lit("prefix")))
-        .otherwise(F.struct(F.lit("generic"), F.lit("default")))
+        F.when(F.startswith("telemetry", F.lit("dji")), says("drone", "telemetry"))
+        .when(F.col("telemetry") == "gopro_gpmf", says("actioncam", "telemetry"))
+        .when(has(ACTION_MARKS, marks), says("actioncam", "marker"))
+        .when(F.col("phone_keys"), says("phone", "phone_tags"))
+        .when(has(PHONE_MAKERS, low("make")), says("phone", "maker"))
+        .when(has(REFLEX_MAKERS, low("make")), says("reflex", "maker"))
+        .when(F.col("is_vertical"), says("phone", "vertical"))
+        .when(F.col("fps") >= fps_threshold, says("actioncam", "fps"))
+        .when(prefix.isNotNull(), says(prefix, "prefix"))
+        .otherwise(says("generic", "default"))
     )
     out = files.withColumn("_g", guess)
     chosen = F.lit(None).cast("string")

@@ -88,6 +88,6 @@ def snapped_windows(segments: DataFrame, frames: DataFrame, target: float, reach
     base = best.join(means, "seg_id").where(F.abs(F.col("c") - F.col("c0")) < 1e-9).select("seg_id", "c0", F.col("mean").alias("mean0"))
     lows = motion_minima(frames).select(F.col("file_id"), F.col("time_s").alias("c"), "motion")
     near = means.join(base, "seg_id").join(lows, ["file_id", "c"])
-    ok = (F.col("mean0") > 0) & (F.abs(F.col("c") - F.col("c0")) > 0) & (F.abs(F.col("c") - F.col("c0")) <= reach_s) & (F.col("c") >= F.col("start_s")) & (F.col("c") + target <= F.col("end_s")) & (F.try_divide(F.col("mean0") - F.col("mean"), F.col("mean0")) <= max_loss)
+    ok = (F.col("mean0") > 0) & (F.abs(F.col("c") - F.col("c0")) > 1e-9) & (F.abs(F.col("c") - F.col("c0")) <= reach_s) & (F.col("c") >= F.col("start_s")) & (F.col("c") + target <= F.col("end_s")) & (F.try_divide(F.col("mean0") - F.col("mean"), F.col("mean0")) <= max_loss)
     chosen = near.where(ok).groupBy("seg_id").agg(F.min_by("c", F.struct("motion", F.abs(F.col("c") - F.col("c0")).alias("d"), "c")).alias("snapped"))
     return base.join(chosen, "seg_id", "left").select("seg_id", F.coalesce("snapped", "c0").alias("start_s"), F.col("snapped").isNotNull().alias("moved"))

@@ -1,4 +1,6 @@
 """Registered queries over the engine's operators, each with its SQL counterpart."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from strandlight.plans import clips, pairs, reports, segments, series, texts  # noqa: F401
+from strandlight.plans.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
