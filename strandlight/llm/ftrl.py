@@ -233,6 +233,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, view: View, sample_rows:
         yield pa.RecordBatch.from_arrays([pa.array(index, pa.int64()), pa.array(weight, pa.float64())], names=["index", "weight"])
 
     got = rows.repartition(1).mapInArrow(learn, "index long, weight double").toPandas()
+    if not len(got):  # not a labelled row, and so not a task
+        return Model(view=view, bits=settings.get("bits", BITS), constant=settings.get("constant", 0.5))
     last = got[got["index"] < 0].iloc[0]
     got = got[got["index"] >= 0]
     return Model(got["index"].to_numpy(), got["weight"].to_numpy(), float(last["weight"]), view, settings.get("bits", BITS), float(last["weight"]) if last["index"] == -2 else None)

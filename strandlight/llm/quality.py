@@ -28,4 +28,4 @@ def quality_scores(docs: DataFrame, labels: DataFrame, **settings) -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame, **settings) -> DataFrame:
     """The documents that are predicted good, with their columns."""
-    return scored(docs, fit_quality(docs, labels, **settings), "_quality").where(F.col("_quality") >= THRESHOLD).drop("_quality")
+    return scored(docs, fit_quality(docs, labels, **settings), "__quality_score").where(F.col("__quality_score") >= THRESHOLD).drop("__quality_score")

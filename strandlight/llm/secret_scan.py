@@ -100,9 +100,9 @@ def secret_report(docs: DataFrame, **settings) -> DataFrame:
 
 def redact(docs: DataFrame, mark: str = "[secret]", **settings) -> DataFrame:
     """``docs`` with each span that looks live replaced by ``mark``; examples that many owners share stay."""
-    found = scan(docs, **settings).where(F.size("live") > 0).select(F.col("doc_id").alias("_d"), F.col("text_key").alias("_t"), F.transform("live", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))).alias("_s")).dropDuplicates(["_d", "_t"])
-    keyed = docs.withColumn("_k", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    joined = keyed.join(found, F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & (F.col("_k") == F.col("_t")), "left")
+    found = scan(docs, **settings).where(F.size("live") > 0).select(F.col("doc_id").alias("__secret_id"), F.col("text_key").alias("__secret_text"), F.transform("live", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))).alias("__secret_spans")).dropDuplicates(["__secret_id", "__secret_text"])
+    keyed = docs.withColumn("__secret_key", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    joined = keyed.join(found, F.col("doc_id").cast("long").eqNullSafe(F.col("__secret_id")) & (F.col("__secret_key") == F.col("__secret_text")), "left")
     text = F.col("text")
 
     def step(acc: Column, s: Column) -> Column:
@@ -113,5 +113,5 @@ def redact(docs: DataFrame, mark: str = "[secret]", **settings) -> DataFrame:
         return F.struct(out.alias("out"), F.greatest(acc["at"], s["end"]).alias("at"))
 
     start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
-    clean = F.aggregate(F.array_sort("_s"), start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    return joined.withColumn("text", F.when(F.col("_s").isNull(), text).otherwise(clean)).select(*docs.columns)
+    clean = F.aggregate(F.array_sort("__secret_spans"), start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    return joined.withColumn("text", F.when(F.col("__secret_spans").isNull(), text).otherwise(clean)).select(*docs.columns)

@@ -131,13 +131,18 @@ def _unique(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(first, ROWS)
 
 
+def _stored(spark: SparkSession, folder: str, kind: int) -> DataFrame:
+    """The rows of one kind; none in an empty store, which has no folder for them."""
+    return spark.read.schema(ROWS).parquet(f"{folder}/sections").where(F.col("kind") == kind)
+
+
 def write_store(docs: DataFrame, folder: str, tokenizer: str, end_id: int) -> None:
     """Encode ``docs`` and write the store.  One shuffle carries the chunks to where they are stored."""
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     sent = _sections(docs, tokenizer, end_id).repartition(parts, F.col("bucket")).sortWithinPartitions("key")
     _unique(sent).write.partitionBy("kind").option("compression", "zstd").parquet(f"{folder}/sections")
-    recipes = spark.read.parquet(f"{folder}/sections/kind=1").select("doc_id", "n", "crc", "keys")
+    recipes = _stored(spark, folder, 1).select("doc_id", "n", "crc", "keys")
     _write_recipes(spark, recipes, folder, parts)
 
 
@@ -213,7 +218,7 @@ def read_store(spark: SparkSession, folder: str) -> DataFrame:
                     rows.append((key, len(wide) // 4, zlib.crc32(wide)))
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.int64())], names=["key", "n", "crc"])
 
-    objects = spark.read.parquet(f"{folder}/sections/kind=0").select("key", "ids").mapInArrow(read, "key binary, n int, crc long")
+    objects = _stored(spark, folder, 0).select("key", "ids").mapInArrow(read, "key binary, n int, crc long")
     recipes = spark.read.parquet(f"{folder}/recipes")
     uses = recipes.select("start", F.expr("explode(transform(sequence(0, length(keys) div 32 - 1), i -> struct(i as pos, substring(keys, i * 32 + 1, 32) as key)))").alias("u")).select("start", "u.pos", "u.key")
     joined = uses.join(objects, "key", "left").groupBy("start").agg(F.collect_list(F.struct("pos", "n", "crc")).alias("parts"))
@@ -242,7 +247,7 @@ def read_store(spark: SparkSession, folder: str) -> DataFrame:
 def read_documents(spark: SparkSession, folder: str) -> DataFrame:
     """(doc_id, start, ids array<int>): whole documents put together from their chunks."""
     recipes = spark.read.parquet(f"{folder}/recipes")
-    objects = spark.read.parquet(f"{folder}/sections/kind=0").select("key", F.col("ids").alias("part"))
+    objects = _stored(spark, folder, 0).select("key", F.col("ids").alias("part"))
     uses = recipes.select("doc_id", "start", F.expr("explode(transform(sequence(0, length(keys) div 32 - 1), i -> struct(i as pos, substring(keys, i * 32 + 1, 32) as key)))").alias("u")).select("doc_id", "start", "u.pos", "u.key")
     parts = uses.join(objects, "key").groupBy("doc_id", "start").agg(F.array_sort(F.collect_list(F.struct("pos", "part"))).alias("p"))
 

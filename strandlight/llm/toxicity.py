@@ -27,4 +27,4 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, **settings) -> DataFrame
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, **settings) -> DataFrame:
     """The documents that are not predicted toxic, with their columns."""
-    return scored(docs, fit_toxicity(docs, labels, **settings), "_toxicity").where(F.col("_toxicity") < THRESHOLD).drop("_toxicity")
+    return scored(docs, fit_toxicity(docs, labels, **settings), "__toxicity_score").where(F.col("__toxicity_score") < THRESHOLD).drop("__toxicity_score")
