@@ -16,7 +16,8 @@ def average_rank(value: Column, by: list) -> Column:
     """Mean rank of ties over n - 1; 0.5 for a lone row."""
     w = Window.partitionBy(*by)
     n = F.count(F.lit(1)).over(w)
-    tied = F.count(F.lit(1)).over(Window.partitionBy(*by, value))
+    # the rows of equal value, in the same window and so by the same sort
+    tied = F.count(F.lit(1)).over(w.orderBy(value).rangeBetween(Window.currentRow, Window.currentRow))
     below = F.rank().over(w.orderBy(value)) - 1
     return F.when(n == 1, F.lit(0.5)).otherwise((below + (tied - 1) / 2.0) / (n - 1))
 
@@ -45,10 +46,14 @@ def value_ranks(df: DataFrame, by: list[str], value: str, ranges: int = 200) ->
     return own.join(starts, ["_part", *by]).select(*by, value, (F.col("_before") + F.col("_inside")).alias("below"), "tied", "n")
 
 
-def with_average_rank(df: DataFrame, value: str, by: list[str], name: str, window_rows: int = WINDOW_ROWS) -> DataFrame:
+def fits_window(df: DataFrame, by: list[str], window_rows: int = WINDOW_ROWS) -> bool:
+    """Whether the largest group may stand in one task's window."""
+    return (df.groupBy(*by).count().agg(F.max("count")).first()[0] or 0) <= window_rows
+
+
+def with_average_rank(df: DataFrame, value: str, by: list[str], name: str, window: bool) -> DataFrame:
     """``df`` with the average rank of ``value`` in each group, by the window or, for large groups, by value counts."""
-    largest = df.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
-    if largest <= window_rows:
+    if window:
         return df.withColumn(name, average_rank(F.col(value), by))
     ranks = value_ranks(df, by, value)
     rank = F.when(F.col("n") == 1, F.lit(0.5)).otherwise((F.col("below") + (F.col("tied") - 1) / 2.0) / (F.col("n") - 1))

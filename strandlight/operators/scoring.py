@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandlight.functions.ranks import average_rank, low_rank, with_average_rank, WINDOW_ROWS
+from strandlight.functions.ranks import WINDOW_ROWS, fits_window, low_rank, with_average_rank
 
 LOWER_IS_BETTER = ("exposure_clipped",)
 
@@ -28,8 +28,9 @@ def composite_score(segments: DataFrame, weights: dict[str, float], by: str = "s
     out = segments
     parts = []
     whole = Window.partitionBy(by)
+    window = fits_window(segments.select(by), [by], window_rows)
     for m, w in used.items():
-        out = with_average_rank(out, m, [by], f"_rank_{m}", window_rows)
+        out = with_average_rank(out, m, [by], f"_rank_{m}", window)
         rank = 1 - F.col(f"_rank_{m}") if m in lower else F.col(f"_rank_{m}")
         parts.append((F.count(m).over(whole) == F.count(F.lit(1)).over(whole), rank, w))
     return out.withColumn(name, _weighted(parts)).drop(*[f"_rank_{m}" for m in used])
