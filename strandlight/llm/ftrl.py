@@ -144,9 +144,9 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(total + self.bias, -35, 35)))
 
 
-def train(texts: list[str], labels: np.ndarray, view: View, alpha: float, l1: float, l2: float, beta: float = 1.0, bits: int = BITS, epochs: int = EPOCHS, constant: float = 0.5, least_documents: int = 3, label_1_weight: float = 1.0) -> Model:
+def train(texts: list[str], labels: np.ndarray, view: View, alpha: float, l1: float, l2: float, beta: float = 1.0, bits: int = BITS, epochs: int = EPOCHS, constant: float = 0.5, least_documents: int = 3) -> Model:
     """FTRL-proximal over the rows in the order given, ``epochs`` times.  Features of fewer than
-    ``least_documents`` training rows are left out: they cannot be told from chance.  ``label_1_weight`` multiplies the loss of rows of label 1."""
+    ``least_documents`` training rows are left out: they cannot be told from chance."""
     if len(set(labels.tolist())) < 2:
         return Model(view=view, bits=bits, constant=constant if not len(labels) else float(labels[0]))
     features, rows = Featurizer(view, bits), []
@@ -171,12 +171,11 @@ def train(texts: list[str], labels: np.ndarray, view: View, alpha: float, l1: fl
             wb = -zb / ((beta + nb**0.5) / alpha)
             total = wb + (w.sum() if x is None else w @ x)
             p = 1 / (1 + np.exp(-min(35, max(-35, total))))
-            step = (p - y) * (label_1_weight if y else 1.0)
-            g = step * (1.0 if x is None else x)
+            g = (p - y) * (1.0 if x is None else x)
             new = ni + g * g
             z[idx] = zi + g - (np.sqrt(new) - root) / alpha * w
             n[idx] = new
-            gb = step
+            gb = p - y
             zb += gb - ((nb + gb * gb) ** 0.5 - nb**0.5) / alpha * wb
             nb += gb * gb
     keep = np.flatnonzero(np.abs(z) > l1)

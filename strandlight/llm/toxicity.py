@@ -16,7 +16,7 @@ THRESHOLD = 0.5
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, **settings) -> Model:
-    return fit(docs, labels, "toxic", VIEW, calibrate=True, **({"alpha": 0.5, "l1": 2.0, "l2": 0.0, "constant": 0.0} | settings))
+    return fit(docs, labels, "toxic", VIEW, calibrate=True, **({"alpha": 1.0, "l1": 5.0, "l2": 0.0, "constant": 0.0} | settings))
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, **settings) -> DataFrame:
