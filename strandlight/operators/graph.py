@@ -2,42 +2,34 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def kept(df: DataFrame) -> DataFrame:
-    """``df`` computed and cut from its lineage, in the folder that spark.checkpoint.dir names."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        if not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="strandlight-"))
-    return df.checkpoint(eager=True)
+from strandlight.session import kept
 
 
-def components(nodes: DataFrame, edges: DataFrame, node: str = "id", rounds: int = 60) -> DataFrame:
-    """``nodes`` (of one column) with ``root``, the smallest node that edges (a, b) connect each to; alone, itself.
+def roots(edges: DataFrame, rounds: int = 60) -> DataFrame:
+    """(node, root) of each node of ``edges`` (a, b) that is not the smallest of its component.
 
     Each round hangs all of a node's larger neighbours, and then its smaller ones, on the smallest; edges
-    stop changing when every node hangs on its root.
+    stop changing when every node hangs on its root.  A round's work is in proportion to the edges: hubs are summed up
+    before they are dealt, and skewed joins are split at run time.  Raises if the edges do not settle.
     """
 
     def down(df: DataFrame) -> DataFrame:
         return df.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
 
-    now = kept(down(edges))
-    mark = lambda d: tuple(d.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
+    def mark(df: DataFrame) -> tuple:
+        return tuple(df.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
+
+    now = kept(down(edges.where("a is not null and b is not null")))
     state = mark(now)
     for _ in range(rounds):
         if not state[0]:
             break
         both = now.union(now.select("v", "u")).toDF("u", "v")
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        upward = down(both.join(low, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")))
-        upward = kept(upward)
+        upward = kept(down(both.join(low, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))))
         low = upward.groupBy("u").agg(F.min("v").alias("m"))
         hung = upward.join(low, "u")
         now = kept(down(hung.select(F.col("v").alias("a"), F.col("m").alias("b")).union(hung.select(F.col("u").alias("a"), F.col("m").alias("b")))))
@@ -46,7 +38,13 @@ def components(nodes: DataFrame, edges: DataFrame, node: str = "id", rounds: int
             break
     else:
         raise RuntimeError("components did not settle")
-    return nodes.join(now.select(F.col("u").alias(node), F.col("v").alias("_root")), node, "left").select(*nodes.columns, F.coalesce("_root", node).alias("root"))
+    return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+
+
+def components(nodes: DataFrame, edges: DataFrame, node: str = "id") -> DataFrame:
+    """``nodes`` with ``root``, the smallest node that edges (a, b) connect each to; alone, itself."""
+    found = roots(edges).select(F.col("node").alias(node), F.col("root").alias("_root"))
+    return nodes.join(found, node, "left").select(*nodes.columns, F.coalesce("_root", node).alias("root"))
 
 
 def numbered(rooted: DataFrame, first: str, name: str = "cluster_id") -> DataFrame:
