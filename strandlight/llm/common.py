@@ -9,7 +9,12 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+from strandlight.operators.graph import roots as connected_components
+from strandlight.session import kept as cut_lineage
+from strandlight.session import shared_folder
+
+__all__ = ["connected_components", "cut_lineage", "groups_for", "shared_folder", "ship_package", "table"]
 
 PACKAGE_ROOT = Path(__file__).resolve().parents[1]
 
@@ -28,25 +33,6 @@ def ship_package(spark: SparkSession) -> None:
     context._strandlight_shipped = True
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir.  A local session without one (tests) gets a temporary folder."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        configured = spark.conf.get("spark.checkpoint.dir", None)
-        if configured is None:
-            if not context.master.startswith("local[") and context.master != "local":
-                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-            configured = tempfile.mkdtemp(prefix="strandlight-checkpoint-")
-        context.setCheckpointDir(configured)
-    return context.getCheckpointDir()
-
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Compute ``df`` now and keep it in the shared folder; lost executors cost no recomputation."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -54,40 +40,3 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def groups_for(n: int, per_group: int) -> int:
     return max(1, math.ceil(n / per_group))
-
-
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(node, root) for every node of ``edges(a, b)``; root is the smallest node of its component.
-
-    Alternates the large-star and small-star steps, each a grouped minimum and an equi-join, until
-    the edge set is a fixpoint.  Each round is checkpointed.  A round's work is in proportion to the
-    edges; hubs are pre-aggregated by the grouped minimum and split by adaptive skew joins.
-    Empty input gives an empty result.  Raises if the fixpoint is not reached.
-    """
-
-    def oriented(df: DataFrame) -> DataFrame:
-        return df.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct()
-
-    def mark(df: DataFrame):
-        return df.agg(F.count(F.lit(1)), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0))).first()
-
-    current = cut_lineage(oriented(edges.where("a is not null and b is not null")))
-    seen = mark(current)
-    for _ in range(max_rounds):
-        if seen[0] == 0:
-            break
-        both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
-        large = cut_lineage(oriented(large))
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(low, "u")
-        small = joined.select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(joined.select(F.col("u").alias("a"), F.col("m").alias("b")))
-        current = cut_lineage(oriented(small))
-        now = mark(current)
-        if now == seen:
-            break
-        seen = now
-    else:
-        raise RuntimeError("connected components did not settle")
-    return current.select(F.col("u").alias("node"), F.col("v").alias("root"))
