@@ -46,6 +46,20 @@ def value_ranks(df: DataFrame, by: list[str], value: str, ranges: int = 200) ->
     return own.join(starts, ["_part", *by]).select(*by, value, (F.col("_before") + F.col("_inside")).alias("below"), "tied", "n")
 
 
+def numbered(df: DataFrame, order: list, name: str, start: int = 0, ranges: int = 0) -> DataFrame:
+    """``df`` with its rows' places in a total order, from ``start``: rows are dealt by range, counted in each, and each range's
+    start is added.  No task holds more than a range; only the ranges' counts are summed together."""
+    from strandlight.session import kept
+
+    ranges = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = kept(df.repartitionByRange(ranges, *order).withColumn("_part", F.spark_partition_id()))
+    sums = dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = F.broadcast(sums.select("_part", (before + start).alias("_before")))  # a row for each range
+    place = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
+    return dealt.withColumn("_place", place).join(starts, "_part").withColumn(name, (F.col("_before") + F.col("_place")).cast("long")).drop("_part", "_place", "_before")
+
+
 def fits_window(df: DataFrame, by: list[str], window_rows: int = WINDOW_ROWS) -> bool:
     """Whether the largest group may stand in one task's window."""
     return (df.groupBy(*by).count().agg(F.max("count")).first()[0] or 0) <= window_rows

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandlight.config import Config
+from strandlight.functions import ranks
 from strandlight.operators import rules, scoring, telemetry
 
 METRICS = ("sharpness", "exposure_clipped", "motion", "stability", "colorfulness")
@@ -69,8 +70,7 @@ def part_at(parts: DataFrame, times: DataFrame) -> DataFrame:
 def card_order(segments: DataFrame) -> DataFrame:
     """``place`` of each card: selected ones first in edit order, then by the file's place and the start."""
     chosen = F.col("outcome") == "selected"
-    w = Window.orderBy(chosen.desc(), F.when(chosen, F.col("order")).asc_nulls_last(), "file_place", "start_s", "seg_id")
-    return segments.withColumn("place", F.row_number().over(w))
+    return ranks.numbered(segments, [chosen.desc(), F.when(chosen, F.col("order")).asc_nulls_last(), F.col("file_place"), F.col("start_s"), F.col("seg_id")], "place", start=1)
 
 
 def first_existing(wanted: DataFrame, listing: DataFrame) -> DataFrame:

@@ -8,13 +8,18 @@ from pyspark.sql import functions as F
 from strandlight.functions.scalar import even, fit_inside, reaches, short_digest, slow_motion_ratio
 
 
+MOST_RATES = 10_000  # distinct rates that are compared with each other
+
+
 def dominant_rate(clips: DataFrame, rate: str = "fps", fallback: float = 25.0) -> DataFrame:
     """(rate, clips): the distinct rate that most clips are whole multiples of, the lowest of equals; the fallback where no rate is known.
 
     Clips are reduced to counts of distinct rates before those are compared with each other.
     """
     rates = clips.select(F.round(rate, 3).alias("r")).where("r > 0").groupBy("r").agg(F.count(F.lit(1)).alias("n"))
-    targets = F.broadcast(rates.select(F.col("r").alias("rate")).orderBy("rate").limit(10_000))
+    if rates.count() > MOST_RATES:
+        raise ValueError(f"over {MOST_RATES} distinct rates")
+    targets = F.broadcast(rates.select(F.col("r").alias("rate")))
     reached = rates.join(targets).groupBy("rate").agg(F.sum(F.when(reaches(F.col("r"), F.col("rate")), F.col("n")).otherwise(0)).alias("clips"))
     best = reached.agg(F.min_by(F.struct("rate", "clips"), F.struct((-F.col("clips")).alias("m"), "rate")).alias("b"))
     return best.select(F.coalesce("b.rate", F.lit(fallback)).alias("rate"), F.coalesce("b.clips", F.lit(0)).alias("clips"))

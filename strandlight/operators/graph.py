@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandlight.functions import ranks
 from strandlight.session import kept
 
 
@@ -48,7 +49,7 @@ def components(nodes: DataFrame, edges: DataFrame, node: str = "id") -> DataFram
 
 
 def numbered(rooted: DataFrame, first: str, name: str = "cluster_id") -> DataFrame:
-    """Components numbered from 0 by their smallest ``first``.  Only the components, not their members, are ordered together."""
+    """Components numbered from 0 by their smallest ``first``."""
     order = rooted.groupBy("root").agg(F.min(first).alias("_first"))
-    order = order.select("root", (F.row_number().over(Window.orderBy("_first")) - 1).cast("long").alias(name))
+    order = ranks.numbered(order, [F.col("_first"), F.col("root")], name).drop("_first")
     return rooted.join(order, "root").drop("root")

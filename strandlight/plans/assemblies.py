@@ -20,12 +20,12 @@ def motion_slices(spark, sf_dir):
 
 
 @query("""
-WITH p AS (SELECT p_partkey AS o, p_partkey * 2.0 AS s, p_partkey * 2.0 + 1.5 AS e FROM part WHERE p_partkey <= 50), t AS (SELECT n_nationkey * 7.3 AS z FROM nation)
+WITH p AS (SELECT p_partkey AS o, p_partkey * 2.0 AS s, p_partkey * 2.0 + 1.5 AS e FROM part WHERE p_partkey <= 50), t AS (SELECT n_nationkey * 7.25::DOUBLE AS z FROM nation)
 SELECT z AS "at", coalesce(o, (SELECT max(o) FROM p)) AS "order" FROM t LEFT JOIN p ON z >= s AND z < e""")
 def part_at_time(spark, sf_dir):
     k = F.col("p_partkey")
     parts = table(spark, sf_dir, "part").where(k <= 50).select(k.alias("order"), (k * 2.0).alias("start_s"), (k * 2.0 + 1.5).alias("end_s"))
-    return assembly.part_at(parts, table(spark, sf_dir, "nation").select((F.col("n_nationkey") * 7.3).alias("at")))
+    return assembly.part_at(parts, table(spark, sf_dir, "nation").select((F.col("n_nationkey") * 7.25).alias("at")))
 
 
 @query("""
