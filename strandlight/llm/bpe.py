@@ -15,6 +15,7 @@ import hashlib
 import json
 import zlib
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,7 +53,7 @@ def id_to_piece(spark: SparkSession, tokenizer: str) -> DataFrame:
 
 
 def word_table(docs: DataFrame, tokenizer: str, buckets: int) -> DataFrame:
-    """(bucket, blocks' word lists) -> one row for each distinct word and bucket: word, ids, and the blocks that use it.
+    """(bucket, block, words): the distinct words of each block, packed, by the bucket of words that will encode them.
 
     ``docs`` has block and text.  Word lists travel packed; the distinct words of a bucket are
     made in one task, which holds about WORDS_PER_BUCKET of them.
@@ -64,12 +65,7 @@ def word_table(docs: DataFrame, tokenizer: str, buckets: int) -> DataFrame:
 
         def flush():
             for block, words in seen.items():
-                by_bucket: dict[int, list[str]] = {}
-                for w in words:
-                    if w and "\0" not in w:
-                        by_bucket.setdefault(zlib.crc32(w.encode("utf-8", "surrogatepass")) % buckets, []).append(w)
-                for bucket, own in by_bucket.items():
-                    own.sort()
+                for bucket, own in bucketed(words, buckets).items():
                     yield bucket, block, pack_words(own)
             seen.clear()
 
@@ -93,13 +89,26 @@ def word_table(docs: DataFrame, tokenizer: str, buckets: int) -> DataFrame:
     return docs.select("block", "text").mapInArrow(lists, "bucket int, block long, words binary")
 
 
+def bucketed(words, buckets: int) -> dict[int, list[str]]:
+    """Each bucket's words, sorted.  Words with the byte that parts packed words are left to the reader."""
+    out: dict[int, list[str]] = {}
+    for w in words:
+        if w and "\0" not in w:
+            out.setdefault(zlib.crc32(w.encode("utf-8", "surrogatepass")) % buckets, []).append(w)
+    for own in out.values():
+        own.sort()
+    return out
+
+
+def checksum(words: list[str]) -> int:
+    return zlib.crc32("\0".join(words).encode("utf-8", "surrogatepass"))
+
+
 def encoded_words(lists: DataFrame, tokenizer: str) -> DataFrame:
-    """Each bucket's distinct words, encoded once: (bucket, block, words, ids) with the ids of a
-    list's words packed as counts and 32-bit ids."""
+    """Each bucket's distinct words, encoded once: (block, bucket, check, counts, ids), where counts and ids stand for the
+    block's words of that bucket in sorted order, and ``check`` is those words' checksum.  The words themselves need not travel back."""
 
     def encode(group: pa.Table) -> pa.Table:
-        import numpy as np
-
         words_of = codec(tokenizer)
         ids: dict[str, bytes] = {}
         out: dict[int, set[str]] = {}
@@ -111,14 +120,22 @@ def encoded_words(lists: DataFrame, tokenizer: str) -> DataFrame:
             for w in own:
                 if w not in ids:
                     ids[w] = words_of.word(w)
-            counts = np.array([len(ids[w]) // 4 for w in own], "<u4").tobytes()
-            rows.append((block, pack_words(own), zlib.compress(counts, 1), zlib.compress(b"".join(ids[w] for w in own), 1)))
-        return pa.table({"block": pa.array([r[0] for r in rows], pa.int64()), "words": pa.array([r[1] for r in rows], pa.binary()), "counts": pa.array([r[2] for r in rows], pa.binary()), "ids": pa.array([r[3] for r in rows], pa.binary())})
+            counts = np.array([len(ids[w]) // 4 for w in own], "<u4")
+            flat = np.frombuffer(b"".join(ids[w] for w in own), "<u4")
+            # byte by byte of significance: the high bytes are nearly all alike
+            rows.append((block, checksum(own), zlib.compress(counts.view(np.uint8).reshape(-1, 4).T.tobytes(), 1), zlib.compress(flat.view(np.uint8).reshape(-1, 4).T.tobytes(), 1)))
+        kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary())
+        columns = [pa.array(c, k) for c, k in zip(zip(*rows), kinds)]
+        return pa.table([columns[0], pa.array([group.column("bucket")[0].as_py()] * len(rows), pa.int32()), *columns[1:]], names=["block", "bucket", "check", "counts", "ids"])
+
+    return lists.groupBy("bucket").applyInArrow(encode, "block long, bucket int, check long, counts binary, ids binary")
 
-    return lists.groupBy("bucket").applyInArrow(encode, "block long, words binary, counts binary, ids binary")
 
+def _planes(data: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(data), np.uint8).reshape(4, -1).T.copy().view("<u4").ravel()
 
-def encode_documents(docs: DataFrame, tokenizer: str, pieces: dict[int, bytes] | None = None) -> DataFrame:
+
+def encode_documents(docs: DataFrame, tokenizer: str) -> DataFrame:
     """(doc_id, ids, decoded) for ``docs`` (doc_id, text, block): 32-bit little-endian ids and the bytes
     that they decode to."""
     return _assemble(docs, tokenizer, "doc_id long, ids binary, decoded binary", lambda i, ids, dec: (i, ids, dec), [pa.int64(), pa.binary(), pa.binary()])
@@ -144,18 +161,25 @@ def _assemble(docs: DataFrame, tokenizer: str, schema: str, row, types) -> DataF
     names = [x.split()[0] for x in schema.split(", ")]
 
     def assemble(key, texts: pa.Table, words: pa.Table) -> pa.Table:
-        import numpy as np
-
         table: dict[str, tuple[bytes, bytes]] = {"": (b"", b"")}
         piece, words_of = vocabulary.value, None
-        for packed, counts, ids in zip(*(words.column(c).to_pylist() for c in ("words", "counts", "ids"))):
-            counts = np.frombuffer(zlib.decompress(counts), "<u4")
-            ids = zlib.decompress(ids)
-            start = 0
-            for w, n in zip(unpack_words(packed), counts.tolist()):
-                own = ids[start : start + 4 * n]
-                start += 4 * n
-                table[w] = own, b"".join([piece[i] for i in np.frombuffer(own, "<u4").tolist()])
+        used: set[str] = set()
+        for text in texts.column("text"):
+            used.update(cut_spaced(text.as_py()))
+        own_words = bucketed(used, buckets)
+        del used
+        for bucket, check, counts, ids in zip(*(words.column(c).to_pylist() for c in ("bucket", "check", "counts", "ids"))):
+            own = own_words.pop(bucket, [])
+            if checksum(own) != check:
+                raise ValueError(f"the word table does not fit block {key[0]}: its rows changed between reads")
+            counts, ids = _planes(counts), _planes(ids)
+            decoded = [piece[i] for i in ids.tolist()]
+            flat, start = ids.tobytes(), 0
+            for w, n in zip(own, counts.tolist()):
+                table[w] = flat[4 * start : 4 * (start + n)], b"".join(decoded[start : start + n])
+                start += n
+        if own_words:
+            raise ValueError(f"the word table lacks words of block {key[0]}")
         out = []
         for i, text in zip(texts.column("doc_id").to_pylist(), texts.column("text").to_pylist()):
             found = []
