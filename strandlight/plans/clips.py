@@ -14,15 +14,15 @@ CLASS = "CASE l_returnflag WHEN 'A' THEN 'drone' WHEN 'N' THEN 'actioncam' ELSE
 BASE = "CASE l_returnflag WHEN 'A' THEN 4.0 WHEN 'N' THEN 2.0 ELSE 2.5 END"
 
 ASSIGNED = f"""
-c AS (SELECT l_orderkey AS project, l_linenumber * 10000000000000 + l_partkey * 1000000 + l_suppkey AS o, l_quantity / 10 AS span, l_discount * 10 AS score, {BASE}::DOUBLE AS base,
-        row_number() OVER (PARTITION BY l_orderkey ORDER BY l_discount * 10 DESC, l_linenumber * 10000000000000 + l_partkey * 1000000 + l_suppkey) <= floor(count(*) OVER (PARTITION BY l_orderkey) * 0.25) AS hero FROM lineitem),
+c AS (SELECT l_orderkey AS project, l_linenumber * 1000000000000000 + l_partkey * 100000000 + l_suppkey * 100 + CAST(l_quantity AS BIGINT) AS o, l_quantity / 10 AS span, l_discount * 10 AS score, {BASE}::DOUBLE AS base,
+        row_number() OVER (PARTITION BY l_orderkey ORDER BY l_discount * 10 DESC, l_linenumber * 1000000000000000 + l_partkey * 100000000 + l_suppkey * 100 + CAST(l_quantity AS BIGINT)) <= floor(count(*) OVER (PARTITION BY l_orderkey) * 0.25) AS hero FROM lineitem),
 w AS (SELECT *, base * (0.8::DOUBLE + (1.2::DOUBLE - 0.8::DOUBLE) * least(greatest(score, 0), 1)) * CASE WHEN hero THEN 1.5 ELSE 1 END AS raw FROM c),
 h AS (SELECT *, least(greatest(raw, 1.5), 6) AS held FROM w),
 a AS (SELECT project, o, span, base, hero, least(held, span) AS d, CASE WHEN least(held, span) < held OR held <> raw THEN 'clamped' WHEN hero THEN 'hero' ELSE 'base' END AS reason FROM h)"""
 
 
 def clips(spark, sf_dir):
-    PLACE = F.col("l_linenumber") * 10000000000000 + F.col("l_partkey") * 1000000 + F.col("l_suppkey")  # line numbers repeat within an order
+    PLACE = F.col("l_linenumber") * 1000000000000000 + F.col("l_partkey") * 100000000 + F.col("l_suppkey") * 100 + F.col("l_quantity").cast("long")  # line numbers repeat within an order
     kind = F.when(F.col("l_returnflag") == "A", "drone").when(F.col("l_returnflag") == "N", "actioncam").otherwise("phone")
     return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("project"), PLACE.alias("id"), PLACE.alias("order"), kind.alias("source_class"), (F.col("l_quantity") / 10).alias("span_s"), (F.col("l_discount") * 10).alias("score"))
 
@@ -124,9 +124,9 @@ def tempo_comparison(spark, sf_dir):
 
 
 @query("""
-SELECT l_orderkey AS project, l_linenumber * 10000000000000 + l_partkey * 1000000 + l_suppkey AS "order", round(coalesce(sum(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber * 10000000000000 + l_partkey * 1000000 + l_suppkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 6) AS clip_start_s FROM lineitem""")
+SELECT l_orderkey AS project, l_linenumber * 1000000000000000 + l_partkey * 100000000 + l_suppkey * 100 + CAST(l_quantity AS BIGINT) AS "order", round(coalesce(sum(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber * 1000000000000000 + l_partkey * 100000000 + l_suppkey * 100 + CAST(l_quantity AS BIGINT) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 6) AS clip_start_s FROM lineitem""")
 def clip_running_start(spark, sf_dir):
-    c = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("project"), (F.col("l_linenumber") * 10000000000000 + F.col("l_partkey") * 1000000 + F.col("l_suppkey")).alias("order"), F.col("l_quantity").alias("duration_s"))
+    c = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("project"), (F.col("l_linenumber") * 1000000000000000 + F.col("l_partkey") * 100000000 + F.col("l_suppkey") * 100 + F.col("l_quantity").cast("long")).alias("order"), F.col("l_quantity").alias("duration_s"))
     return series.running_start(c, ["order"], by=["project"]).select("project", "order", F.round("clip_start_s", 6).alias("clip_start_s"))
 
 
