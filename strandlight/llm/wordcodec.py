@@ -14,7 +14,9 @@ from __future__ import annotations
 import json
 import os
 import re
+import sys
 import unicodedata
+from array import array
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
@@ -86,10 +88,12 @@ class WordCodec:
         bare = piece[1:] if self.spaced and piece[:1] == " " else piece
         if _LATIN_WORD.fullmatch(bare) and (self.spaced or bare == bare.lower() and unicodedata.is_normalized("NFC", bare)):
             shown = piece.encode().decode("latin-1").translate(BYTE_LETTERS)
-            ids = [t.id for t in self.model.tokenize(shown)]
+            ids = array("I", [t.id for t in self.model.tokenize(shown)])
         else:
-            ids = self.tokenizer.encode(piece, add_special_tokens=False).ids
-        return b"".join(i.to_bytes(4, "little") for i in ids)
+            ids = array("I", self.tokenizer.encode(piece, add_special_tokens=False).ids)
+        if sys.byteorder == "big":
+            ids.byteswap()
+        return ids.tobytes()
 
     def encode(self, text: str) -> bytes:
         """The text's ids, 32 bits each, little-endian."""
