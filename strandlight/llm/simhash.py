@@ -128,6 +128,11 @@ def plan(sample: np.ndarray, n: int, radius: int = RADIUS) -> list[tuple[list[in
         costs = []
         for group in groups:
             own = some[:, group]
+            # fingerprints in full buckets take the linear way, so they count by number and not in pairs
+            _, bucket, count = np.unique(np.packbits(own.astype(np.uint8), axis=1), axis=0, return_inverse=True, return_counts=True)
+            full = (count >= 3) & (count * n / len(own) > HOT)
+            hot = float(full[bucket.ravel()].mean())
+            own = own[~full[bucket.ravel()]]
             ones = own.sum(axis=1)
             distance = ones[:, None] + ones[None, :] - 2 * (own @ own.T)
             distance = distance[np.triu_indices(len(own), 1)]
@@ -135,8 +140,8 @@ def plan(sample: np.ndarray, n: int, radius: int = RADIUS) -> list[tuple[list[in
             for t in range(radius + 1):
                 ball += 1 if t == 0 else (len(group) if t == 1 else len(group) * (len(group) - 1) // 2)
                 # at least what independent bits would give, since a sample shows no rare meeting
-                share = max(float((distance <= t).mean()), ball / 2.0 ** len(group))
-                row.append(pairs * share + n * (1 + ball))
+                share = max(float((distance <= t).mean()) * (1 - hot) ** 2 if len(distance) else 0.0, ball / 2.0 ** len(group))
+                row.append(pairs * share + n * (1 + ball) + n * hot * (BITS + 1))
             costs.append(row)
         cost, chosen = allocate(costs, radius + 1)
         if best is None or cost < best[0]:
