@@ -212,8 +212,15 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """One document of each group: the one of the smallest doc_id.  Rows with a null doc_id stay; of repeated rows with that id one stays."""
-    groups = near_duplicates(docs)
-    gone = groups.where("doc_id is not null and doc_id != component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    kept = docs.join(gone, docs.doc_id.cast("long") == F.col("_gone"), "left_anti")
-    return kept.where("doc_id is null").unionByName(kept.where("doc_id is not null").dropDuplicates(["doc_id"]))
+    """One document of each group: the one of the smallest doc_id.  Rows with a null doc_id stay; of repeated rows with that id one stays.
+
+    What goes is found on ids alone; texts move only as far as Spark's joins with those ids need.
+    """
+    groups = cut_lineage(near_duplicates(docs).where("doc_id is not null"))
+    gone = groups.where("doc_id != component_id").select(F.col("doc_id").alias("__simhash_id")).distinct()
+    repeated = cut_lineage(groups.groupBy(F.col("doc_id").alias("__simhash_id")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("__simhash_id"))
+    own = docs["doc_id"].cast("long") == F.col("__simhash_id")
+    kept = docs.join(gone, own, "left_anti")
+    if not repeated.limit(1).count():
+        return kept
+    return kept.join(repeated, own, "left_anti").unionByName(kept.join(repeated, own, "left_semi").dropDuplicates(["doc_id"]))
