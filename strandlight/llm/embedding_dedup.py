@@ -27,9 +27,10 @@ from strandlight.llm.common import connected_components, cut_lineage
 COSINE = 0.93
 RECALL = 0.995  # of neighbours at the threshold itself; nearer ones are found more surely
 SAMPLE = 10_000  # vectors that the codebooks are fitted on
-CELL = 32  # members of a cell aimed at, for each label
+CELL = 256  # members of a cell aimed at, for each label: comparing within a cell costs less than sending a vector to more cells
 MOST_CODES = 64
 BLOCK = 1024  # members or queries of a block
+MOST_SIZES = 200_000  # rows of the table of cell sizes that is broadcast
 
 
 def codebook(points: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
@@ -78,6 +79,11 @@ def visited(left: np.ndarray, right: np.ndarray, bound: float) -> list[tuple[int
     return list(zip(near_left[rows[order]].tolist(), near_right[columns[order]].tolist()))
 
 
+def _matrix(lists: pa.Array, width: int) -> np.ndarray:
+    """Lists of one length as rows, in double precision."""
+    return lists.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, width)
+
+
 def _unit(vectors: np.ndarray) -> np.ndarray:
     return vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
 
@@ -85,10 +91,12 @@ def _unit(vectors: np.ndarray) -> np.ndarray:
 def embedding_links(vectors: DataFrame, cosine: float = COSINE, recall: float = RECALL) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for each row of ``vectors`` (vec_id, embedding, label)."""
     spark = vectors.sparkSession
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"), F.col("label"))
-    fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & (F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x) > 0)
+    given = dict(vectors.dtypes)["embedding"]
+    given = given if given in ("array<float>", "array<double>") else "array<double>"
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(given).alias("v"), F.col("label"))
+    fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & (F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")) > 0)
     good = F.coalesce(F.col("label").isNotNull() & F.col("v").isNotNull() & fine & F.col("vec_id").isNotNull(), F.lit(False))
-    keyed = rows.withColumn("v", F.when(good, F.transform("v", lambda x: x + F.lit(0.0))))  # one kind of zero
+    keyed = rows.withColumn("v", F.when(good, F.transform("v", lambda x: F.when(x != 0, x).otherwise(F.lit(0))).cast(given)))  # one kind of zero
     # key: the vector's own smallest id
     own = cut_lineage(keyed.where("v is not null").groupBy("label", "v").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies")))
     shape = own.agg(F.count(F.lit(1)), F.count_distinct("label"), F.max(F.size("v"))).first()
@@ -107,44 +115,39 @@ def embedding_links(vectors: DataFrame, cosine: float = COSINE, recall: float =
         for batch in batches:
             for at in range(0, len(batch), 2048):
                 part = batch.slice(at, 2048)
-                out = [[], [], [], []]
-                by_width: dict[int, list[int]] = {}
-                listed = part.column(2).to_pylist()
-                for i, v in enumerate(listed):
-                    by_width.setdefault(len(v), []).append(i)
-                for w, index in by_width.items():
-                    if w != width:  # other lengths have a cell for each length
-                        for i in index:
-                            for kind in (0, 1):
-                                for column, value in zip(out, (i, kind, -1, -1)):
-                                    column.append(value)
-                        continue
-                    unit = _unit(np.array([listed[i] for i in index], float))
+                sizes = part.column(2).value_lengths().to_numpy()
+                # other lengths have a cell for each length
+                home, visits = [(-1, -1)] * len(part), [[(-1, -1)]] * len(part)
+                index = np.flatnonzero(sizes == width)
+                if len(index):
+                    unit = _unit(_matrix(part.column(2).take(pa.array(index)), width))
                     home_l, left = crossing(unit[:, :half], left_book)
                     home_r, right = crossing(unit[:, half:], right_book)
-                    for k, i in enumerate(index):
-                        for column, value in zip(out, (i, 0, int(home_l[k]), int(home_r[k]))):
-                            column.append(value)
-                        for a, b in visited(left[k], right[k], bound):
-                            for column, value in zip(out, (i, 1, a, b)):
-                                column.append(value)
-                took = part.take(pa.array(out[0], pa.int64()))
-                yield pa.RecordBatch.from_arrays([*took.columns, pa.array(out[1], pa.int32()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.int32())], names=[*took.schema.names, "kind", "a", "b"])
+                    for k, i in enumerate(index.tolist()):
+                        home[i] = int(home_l[k]), int(home_r[k])
+                        visits[i] = visited(left[k], right[k], bound)
+                pair = pa.struct([("a", pa.int32()), ("b", pa.int32())])
+                as_dicts = lambda cs: [{"a": x, "b": y} for x, y in cs]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(as_dicts(home), pair), pa.array([as_dicts(v) for v in visits], pa.list_(pair))], names=[*part.schema.names, "home", "visits"])
 
     kind = dict(own.dtypes)["label"]
-    spread = own.select("label", "rep", "v", "copies", F.size("v").alias("w")).mapInArrow(cells, f"label {kind}, rep long, v array<double>, copies long, w int, kind int, a int, b int")
-    spread = cut_lineage(spread)
-    members, queries = spread.where("kind = 0"), spread.where("kind = 1")
+    cell_type = "struct<a:int,b:int>"
+    spread = own.select("label", "rep", "v", "copies", F.size("v").alias("w")).mapInArrow(cells, f"label {kind}, rep long, v {given}, copies long, w int, home {cell_type}, visits array<{cell_type}>")
+    spread = cut_lineage(spread)  # a row for each vector; cells are unfolded where they are used
     cell = ["label", "w", "a", "b"]
-    sizes = spread.groupBy(*cell).agg(F.count_if(F.col("kind") == 0).alias("m"), F.count_if(F.col("kind") == 1).alias("q")).where("m > 0")
+    homes = spread.groupBy("label", "w", "home.a", "home.b").agg(F.count(F.lit(1)).alias("m"))
+    visitors = spread.select("label", "w", F.explode("visits").alias("c")).groupBy("label", "w", "c.a", "c.b").agg(F.count(F.lit(1)).alias("q"))
+    sizes = homes.join(visitors, cell)
     # a full cell is cut into blocks of members by blocks of queries, each a task's unit of work
-    sizes = sizes.select(*cell, F.ceil(F.col("m") / BLOCK).cast("int").alias("mb"), F.ceil(F.col("q") / BLOCK).cast("int").alias("qb"))
-    sizes = cut_lineage(sizes)
+    sizes = cut_lineage(sizes.select(*cell, F.ceil(F.col("m") / BLOCK).cast("int").alias("mb"), F.ceil(F.col("q") / BLOCK).cast("int").alias("qb")))
+    known = F.broadcast(sizes) if sizes.count() <= MOST_SIZES else sizes
 
     def dealt(df: DataFrame, own_blocks: str, others: str) -> DataFrame:
-        placed = df.join(sizes, cell).withColumn("mine", F.pmod(F.xxhash64("rep"), F.col(own_blocks)).cast("int"))
+        placed = df.join(known, cell).withColumn("mine", F.pmod(F.xxhash64("rep"), F.col(own_blocks)).cast("int"))
         return placed.select(*cell, "rep", "v", "copies", "mine", F.explode(F.sequence(F.lit(0), F.col(others) - 1)).alias("other"))
 
+    members = spread.select("label", "w", "home.a", "home.b", "rep", "v", "copies")
+    queries = spread.select("label", "w", F.explode("visits").alias("c"), "rep", "v", "copies").select("label", "w", "c.a", "c.b", "rep", "v", "copies")
     m = dealt(members, "mb", "qb").withColumnsRenamed({"mine": "mi", "other": "qi"})
     m = m.select(*[F.col(c).alias(c) for c in m.columns])  # columns of their own, told apart from those of q
     q = dealt(queries, "qb", "mb").withColumnsRenamed({"mine": "qi", "other": "mi"})
@@ -153,7 +156,7 @@ def embedding_links(vectors: DataFrame, cosine: float = COSINE, recall: float =
     def verify(key, these: pa.Table, those: pa.Table) -> pa.Table:
         node, links, root = [], [], []
         if len(these) and len(those):
-            matrices = [_unit(np.array(t.column("v").to_pylist(), float)) for t in (these, those)]
+            matrices = [_unit(_matrix(t.column("v").combine_chunks(), len(t.column("v")[0]))) for t in (these, those)]
             ids = [t.column("rep").to_numpy() for t in (these, those)]
             copies = [t.column("copies").to_numpy() for t in (these, those)]
             found = (matrices[1] @ matrices[0].T >= cosine) & (ids[1][:, None] < ids[0][None, :])  # query by member
