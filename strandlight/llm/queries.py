@@ -89,4 +89,42 @@ QUERIES = {
     "op9_bpe_words": op9_bpe_words,
 }
 
-ORACLES: dict[str, str] = {}
+OP3_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE label IS NOT NULL AND vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+r AS (SELECT vec_id AS n, vec_id AS m FROM embeddings UNION SELECT r.n, p.b FROM r JOIN p ON p.a = r.m),
+c AS (SELECT n AS vec_id, min(m) AS component_id FROM r GROUP BY 1),
+k AS (SELECT a AS vec_id, count(*) AS n FROM p GROUP BY 1)
+SELECT vec_id, coalesce(k.n, 0) AS n_links, component_id, vec_id = component_id AS kept FROM c LEFT JOIN k USING (vec_id)"""
+
+
+def _spans_sql(kind: int, pattern: str) -> str:
+    """Spans (start, finish, kind, value) of a pattern: lengths between matches and of matches, added up."""
+    return f"""SELECT doc_id, o, unnest(list_transform(range(1, len(m) + 1), lambda i: {{'s': CAST(list_sum(b[1:i]) + coalesce(list_sum(z[1:i - 1]), 0) AS BIGINT), 'k': {kind}, 'z': z[i], 'v': m[i]}})) AS x
+FROM (SELECT doc_id, o, m, list_transform(m, lambda y: length(y)) AS z, list_transform(string_split_regex(t, '{pattern}'), lambda y: length(y)) AS b FROM (SELECT doc_id, o, t, regexp_extract_all(t, '{pattern}') AS m FROM d))"""
+
+
+_KEYWORDS = "|".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in w) for w in ("password", "passwd", "secret", "token", "api_?key"))
+_ASSIGN = "(" + _KEYWORDS + r""")["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+
+OP8_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS o, coalesce(text, '') AS t FROM documents),
+a AS ({_spans_sql(0, _ASSIGN)}), c AS ({_spans_sql(1, 'AKIA[A-Z0-9]+')}), h AS ({_spans_sql(2, '[0-9a-f]+')}), g AS ({_spans_sql(3, '[A-Za-z0-9+/_=-]{20,}')}),
+base AS (
+  SELECT doc_id, o, x.s AS s, x.s + x.z AS e, 0 AS k, regexp_extract(x.v, '{_ASSIGN}', 2) AS v FROM a WHERE length(regexp_extract(x.v, '{_ASSIGN}', 2)) >= 6
+  UNION ALL SELECT doc_id, o, x.s, x.s + x.z, 1, x.v FROM c WHERE x.z >= 20 UNION ALL SELECT doc_id, o, x.s, x.s + x.z, 2, x.v FROM h WHERE x.z >= 24),
+more AS (SELECT doc_id, o, x.s AS s, x.s + x.z AS e, 3 AS k, x.v AS v FROM g WHERE regexp_matches(x.v, '[a-z]') AND regexp_matches(x.v, '[A-Z]') AND regexp_matches(x.v, '[0-9]')
+  AND NOT EXISTS (SELECT 1 FROM base WHERE base.doc_id = g.doc_id AND base.s < g.x.s + g.x.z AND g.x.s < base.e)),
+every AS (SELECT * FROM base UNION ALL SELECT * FROM more),
+n AS (SELECT v FROM every GROUP BY v HAVING count(DISTINCT o) <= 1 AND count(DISTINCT doc_id) <= 50),
+live AS (SELECT every.* FROM every JOIN n USING (v)),
+shown AS (SELECT * FROM base UNION ALL SELECT * FROM live WHERE k = 3),
+names AS (SELECT doc_id, string_agg(['assign', 'access', 'hex', 'live'][k + 1] || ':' || s || ':' || e, ',' ORDER BY s, k) AS spans FROM shown GROUP BY 1),
+digest AS (SELECT doc_id, string_agg(['assign', 'access', 'hex'][k + 1] || ':' || s || ':' || e, ',' ORDER BY s, k) AS spans, count_if(k = 0) AS n0, count_if(k = 1) AS n1, count_if(k = 2) AS n2 FROM base GROUP BY 1),
+alive AS (SELECT doc_id, count(*) AS n FROM live GROUP BY 1)
+SELECT doc_id, coalesce(n0, 0) AS n_assign, coalesce(n1, 0) AS n_access, coalesce(n2, 0) AS n_hex, sha256(coalesce(digest.spans, '')) AS base_sha256, coalesce(names.spans, '') AS spans, coalesce(alive.n, 0) AS n_live
+FROM d LEFT JOIN digest USING (doc_id) LEFT JOIN names USING (doc_id) LEFT JOIN alive USING (doc_id)"""
+
+ORACLES: dict[str, str] = {"op3_embedding_dedup": OP3_SQL, "op8_secret_scan": OP8_SQL}
