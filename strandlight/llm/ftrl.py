@@ -61,7 +61,7 @@ def shape_of(word: str) -> str:
 class Featurizer:
     """Hashed features of texts; a bounded memo keeps each word's hashes."""
 
-    def __init__(self, view: View, bits: int = BITS, max_words: int = 400_000):
+    def __init__(self, view: View, bits: int = BITS, max_words: int = 250_000):
         self.view, self.bits, self.max_words = view, bits, max_words
         self.core: dict[str, int] = {}
         self.shape: dict[str, int] = {}
