@@ -90,9 +90,16 @@ PLACES = "c AS (SELECT c_custkey AS id, c_custkey % 97 * 0.01 AS lat, c_custkey
 METRES = "2 * 6371000.0 * asin(sqrt(least(pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2), 1)))"
 
 
+ALL_PLACES = "c AS (SELECT c_custkey AS id, c_custkey % 97 * 0.01 AS lat, c_custkey % 89 * 0.01 AS lon FROM customer)"
+
+
 def points(spark, sf_dir):
+    return all_points(spark, sf_dir).where("id % 2 = 0")
+
+
+def all_points(spark, sf_dir):
     k = F.col("c_custkey")
-    return table(spark, sf_dir, "customer").where(k % 2 == 0).select(k.alias("id"), (k % 97 * 0.01).alias("lat"), (k % 89 * 0.01).alias("lon"), k.alias("at"))
+    return table(spark, sf_dir, "customer").select(k.alias("id"), (k % 97 * 0.01).alias("lat"), (k % 89 * 0.01).alias("lon"), k.alias("at"))
 
 
 @query(f"WITH {PLACES}, p AS (SELECT a.id AS a, b.id AS b, {METRES} AS m FROM c a JOIN c b ON a.id < b.id) SELECT a, b, round(m, 3) AS metres FROM p WHERE m <= 1200")
@@ -108,6 +115,18 @@ def place_components(spark, sf_dir):
     return similarity.places(points(spark, sf_dir), 900.0, "at").select("id", "place_id")
 
 
+@query(f"WITH {ALL_PLACES}, p AS (SELECT a.id AS a, b.id AS b, {METRES} AS m FROM c a JOIN c b ON a.id < b.id) SELECT a, b, round(m, 3) AS metres FROM p WHERE m <= 1200")
+def haversine_places_all(spark, sf_dir):
+    """All customers; haversine_places is held to even keys by its SQL."""
+    return similarity.within_radius(all_points(spark, sf_dir), 1200.0).select("a", "b", F.round("metres", 3).alias("metres"))
+
+
+@query()
+def place_components_all(spark, sf_dir):
+    """All customers; place_components is held to even keys by its SQL.  Tested against a plain loop."""
+    return similarity.places(all_points(spark, sf_dir), 900.0, "at").select("id", "place_id")
+
+
 def candidates(spark, sf_dir):
     i = F.col("id")
     return vectors(spark, sf_dir).select(F.col("source_class").cast("string").alias("project"), F.lpad(i.cast("string"), 8, "0").alias("id"), (i % 101 / 100).alias("score"), (i % 37).cast("string").alias("file_id"), F.lit("generic").alias("source_class"), F.lit(None).cast("long").alias("cluster_id"), (i % 11).alias("visit_id"), (i % 5).cast("string").alias("tag"), (i * 20.0).alias("time_s"), (i % 50 == 0).alias("pinned"))

@@ -38,3 +38,29 @@ def test_late_times_get_the_part_that_plays(spark):
     parts = [r["p_partkey"] for r in rows("part")]
     assert got == {z: next((k for k in parts if 2 * k <= z < 2 * k + 1.5), max(parts)) for z in (r["n_nationkey"] * 7.25 for r in rows("nation"))}
     assert got[166.75] == 83
+
+
+#: keys of which some share a place (8,633 apart) and some are next to each other (1,068 apart)
+KEYS = [1, 2, 50, 1069, 1070, 8634, 8635, 17267]
+
+
+def near(limit):
+    from math import asin, cos, radians, sin, sqrt
+
+    own = [(k, k % 97 * 0.01, k % 89 * 0.01) for k in KEYS]
+    metres = lambda p, q: 2 * 6371000 * asin(sqrt(sin(radians(q[1] - p[1]) / 2) ** 2 + cos(radians(p[1])) * cos(radians(q[1])) * sin(radians(q[2] - p[2]) / 2) ** 2))
+    return [p[0] for p in own], {(p[0], q[0]) for p in own for q in own if p[0] < q[0] and metres(p, q) <= limit}
+
+
+def test_odd_keys_have_neighbours_and_places(spark, tmp_path):
+    spark.createDataFrame([(k,) for k in KEYS], "c_custkey long").write.parquet(str(tmp_path / "customer.parquet"))
+    _, pairs = near(1200)
+    got = {(r.a, r.b) for r in QUERIES["haversine_places_all"](spark, str(tmp_path)).collect()}
+    assert got == pairs and any(a % 2 or b % 2 for a, b in got)
+    ids, links = near(900)
+    root = {i: i for i in ids}
+    for _ in ids:
+        for a, b in links:
+            root[a] = root[b] = min(root[a], root[b])
+    order = {r: n for n, r in enumerate(sorted(set(root.values())))}
+    assert {r.id: r.place_id for r in QUERIES["place_components_all"](spark, str(tmp_path)).collect()} == {i: order[root[i]] for i in ids}
