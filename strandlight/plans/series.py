@@ -116,11 +116,23 @@ best AS (SELECT seg_id, c, mean FROM m QUALIFY row_number() OVER (PARTITION BY s
 
 
 def spans(spark, sf_dir):
-    e = single(spark, sf_dir).select(F.col("user_id").alias("file_id"), F.col("t").alias("time_s"), F.col("value").alias("frame_score"), F.col("k").alias("motion"))
+    e = scored(spark, sf_dir)
     s = e.select("file_id").distinct().select("file_id", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("i"))
     return s.select(F.concat_ws(":", "file_id", "i").alias("seg_id"), "file_id", (F.col("i") * 200000.0).alias("start_s"), (F.col("i") * 200000.0 + 100000.0).alias("end_s")), e
 
 
+def scored(spark, sf_dir):
+    return single(spark, sf_dir).select(F.col("user_id").alias("file_id"), F.col("t").alias("time_s"), F.col("value").alias("frame_score"), F.col("k").alias("motion"))
+
+
+def all_spans(spark, sf_dir):
+    """Spans of 100,000 s end to end, from each user's first event up to and with the last."""
+    e = scored(spark, sf_dir)
+    last = F.floor(F.col("last") / 100000)
+    s = e.groupBy("file_id").agg(F.max("time_s").alias("last")).select("file_id", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("i"))
+    return s.select(F.concat_ws(":", "file_id", "i").alias("seg_id"), "file_id", (F.col("i") * 100000.0).alias("start_s"), ((F.col("i") + 1) * 100000.0).alias("end_s")), e
+
+
 @query(f"""
 WITH {SPANS}, {MEANS}
 SELECT s.seg_id, round(CASE WHEN f.seg_id IS NULL THEN (a + b) / 2 ELSE best.c + 15000 END, 4) AS centre_s, 30000.0::DOUBLE AS duration_s FROM spans s LEFT JOIN best USING (seg_id) LEFT JOIN f ON f.seg_id = s.seg_id""")
@@ -138,6 +150,24 @@ z AS (SELECT w.seg_id, m.c FROM w JOIN m USING (seg_id) JOIN lows ON lows.user_i
 SELECT w.seg_id, round(coalesce(z.c, c0), 4) AS start_s, z.c IS NOT NULL AS moved FROM w LEFT JOIN z USING (seg_id)""")
 def snap_to_minimum(spark, sf_dir):
     s, e = spans(spark, sf_dir)
+    return snapped(s, e)
+
+
+@query()
+def best_window_all(spark, sf_dir):
+    """Spans up to the last event; best_window is held to six by its SQL.  Tested against a plain loop."""
+    s, e = all_spans(spark, sf_dir)
+    return scoring.best_windows(s, e, 30000.0).select("seg_id", F.round("centre_s", 4).alias("centre_s"), "duration_s")
+
+
+@query()
+def snap_to_minimum_all(spark, sf_dir):
+    """Spans up to the last event; snap_to_minimum is held to six by its SQL.  Tested against a plain loop."""
+    s, e = all_spans(spark, sf_dir)
+    return snapped(s, e)
+
+
+def snapped(s, e):
     framed = s.join(e, "file_id").where("time_s >= start_s and time_s < end_s").select("seg_id").distinct()
     return scoring.snapped_windows(s.join(framed, "seg_id"), e, 30000.0, 40000.0, 0.3).select("seg_id", F.round("start_s", 4).alias("start_s"), "moved")
 

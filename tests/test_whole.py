@@ -64,3 +64,35 @@ def test_odd_keys_have_neighbours_and_places(spark, tmp_path):
             root[a] = root[b] = min(root[a], root[b])
     order = {r: n for n, r in enumerate(sorted(set(root.values())))}
     assert {r.id: r.place_id for r in QUERIES["place_components_all"](spark, str(tmp_path)).collect()} == {i: order[root[i]] for i in ids}
+
+
+def windows(events):
+    """{seg_id: (start, end, c0, means by candidate, framed)} over spans of 100,000 s up to the last event."""
+    found = {}
+    for user, own in events.items():
+        for i in range(int(own[-1][0] // 100_000) + 1):
+            a, b = i * 1e5, (i + 1) * 1e5
+            at = {t for t, *_ in own if a <= t < b and t + 30000 <= b} | {b - 30000}
+            inside = {c: [v for t, _, _, v in own if c <= t < c + 30000] for c in at}
+            means = {c: sum(x) / len(x) if x else None for c, x in inside.items()}
+            c0 = min(means, key=lambda c: (-means[c] if means[c] is not None else float("inf"), c))
+            found[f"{user}:{i}"] = a, b, c0, means, any(a <= t < b for t, *_ in own)
+    return found
+
+
+def test_windows_reach_the_last_event(spark, events):
+    expected = windows(events)
+    got = {r.seg_id: r.centre_s for r in QUERIES["best_window_all"](spark, SF).collect()}
+    assert got.keys() == expected.keys() and max(int(s.split(":")[1]) for s in got) > 11
+    assert got == {s: pytest.approx(c0 + 15000 if framed else (a + b) / 2, abs=1e-3) for s, (a, b, c0, _, framed) in expected.items()}
+
+
+def test_snapping_reaches_the_last_event(spark, events):
+    expected = {}
+    for s, (a, b, c0, means, framed) in windows(events).items():
+        own = events[int(s.split(":")[0])]
+        lows = {t: k for (_, _, p, _), (t, _, k, _), (_, _, n, _) in zip(own, own[1:], own[2:]) if (k < p and k <= n) or (k <= p and k < n)}
+        if framed and means[c0] is not None:
+            good = [(lows[c], abs(c - c0), c) for c, m in means.items() if c in lows and means[c0] > 0 and 0 < abs(c - c0) <= 40000 and (means[c0] - m) / means[c0] <= 0.3]
+            expected[s] = (pytest.approx(min(good)[2] if good else c0, abs=1e-3), bool(good))
+    assert {r.seg_id: (r.start_s, r.moved) for r in QUERIES["snap_to_minimum_all"](spark, SF).collect()} == expected
