@@ -16,6 +16,15 @@ def tag_carried_counts(spark, sf_dir):
     return tags.carried_counts(docs)
 
 
+@query("""
+WITH t AS (SELECT doc_id, unnest(list_distinct(string_split(lower(text), ' '))) AS label FROM documents)
+SELECT label, count(*) AS total, count_if(doc_id % 3 = 0) AS selected FROM t GROUP BY 1""")
+def tag_carried_counts_all(spark, sf_dir):
+    """Labels of whole texts; tag_carried_counts is held to their first 400 characters by its SQL."""
+    docs = table(spark, sf_dir, "documents").select(F.split(F.lower("text"), " ", -1).alias("labels"), (F.col("doc_id") % 3 == 0).alias("is_selected"))
+    return tags.carried_counts(docs)
+
+
 @query("""
 WITH c AS (SELECT user_id, event_type, count(*) AS n, min(event_id) AS f FROM events GROUP BY 1, 2)
 SELECT user_id, event_type, n, round(n / sum(n) OVER (PARTITION BY user_id), 3) AS share FROM c QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY n DESC, f) = 1""")

@@ -20,9 +20,27 @@ UNION ALL SELECT item_id, 'missing_end' FROM n WHERE item_id % 3 = 0)
 SELECT item_id AS prompt_id, rule, CAST(NULL AS INT) AS line FROM v
 UNION ALL SELECT item_id, 'unknown_section', 2 FROM n UNION ALL SELECT item_id, 'section_tag_count', 2 FROM n UNION ALL SELECT item_id, 'section_tag_count', 1 FROM n UNION ALL SELECT item_id, 'vocal_tag', 1 FROM n""".replace("\\\\s", "\\s"))
 def prompt_validate(spark, sf_dir):
+    return violations_of(table(spark, sf_dir, "benchmark"), F.substring("text", 1, 230))
+
+
+@query("""
+WITH b AS (SELECT item_id, text AS d, string_split(text, ',') AS raw FROM benchmark), p AS (SELECT *, list_filter(list_transform(raw, lambda x: trim(x, ' ')), lambda x: x <> '') AS p FROM b),
+n AS (SELECT *, list_transform(p, lambda x: lower(regexp_split_to_array(x, '\\s+')[-1])) AS nouns FROM p),
+v AS (SELECT item_id, 'description_too_long' AS rule FROM n WHERE length(d) > 200 UNION ALL SELECT item_id, 'description_descriptor_count' FROM n WHERE NOT len(p) BETWEEN 4 AND 7
+UNION ALL SELECT item_id, 'description_sentence' FROM n WHERE len(list_filter(p, lambda x: len(regexp_split_to_array(x, '\\s+')) > 5 OR regexp_matches(x, '[.!?]'))) > 0
+UNION ALL SELECT item_id, 'description_repeated' FROM n WHERE len(nouns) <> len(list_distinct(nouns)) UNION ALL SELECT item_id, 'missing_instrumental' FROM n WHERE NOT contains(lower(d), 'instrumental')
+UNION ALL SELECT item_id, 'missing_end' FROM n WHERE item_id % 3 = 0)
+SELECT item_id AS prompt_id, rule, CAST(NULL AS INT) AS line FROM v
+UNION ALL SELECT item_id, 'unknown_section', 2 FROM n UNION ALL SELECT item_id, 'section_tag_count', 2 FROM n UNION ALL SELECT item_id, 'section_tag_count', 1 FROM n UNION ALL SELECT item_id, 'vocal_tag', 1 FROM n""".replace("\\\\s", "\\s"))
+def prompt_validate_all(spark, sf_dir):
+    """Whole texts; prompt_validate is held to their first 230 characters by its SQL."""
+    return violations_of(table(spark, sf_dir, "benchmark"), F.col("text"))
+
+
+def violations_of(items, description):
     end = F.when(F.col("item_id") % 3 != 0, F.lit("[End]"))
     lines = F.filter(F.array(F.lit("[verse 2: soft choir; slow]"), F.lit("[refrain: loud]"), end), lambda x: x.isNotNull())
-    p = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("prompt_id"), F.substring("text", 1, 230).alias("description"), lines.alias("lines"))
+    p = items.select(F.col("item_id").alias("prompt_id"), description.alias("description"), lines.alias("lines"))
     return soundtrack.violations(p)
 
 

@@ -96,3 +96,14 @@ def test_snapping_reaches_the_last_event(spark, events):
             good = [(lows[c], abs(c - c0), c) for c, m in means.items() if c in lows and means[c0] > 0 and 0 < abs(c - c0) <= 40000 and (means[c0] - m) / means[c0] <= 0.3]
             expected[s] = (pytest.approx(min(good)[2] if good else c0, abs=1e-3), bool(good))
     assert {r.seg_id: (r.start_s, r.moved) for r in QUERIES["snap_to_minimum_all"](spark, SF).collect()} == expected
+
+
+def test_labels_and_prompts_of_whole_texts(spark, tmp_path):
+    lead = "word " * 100
+    spark.createDataFrame([(3, lead + "Late"), (4, "late x"), (5, None)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.label: (r.total, r.selected) for r in QUERIES["tag_carried_counts_all"](spark, str(tmp_path)).collect()}
+    assert got == {"word": (1, 1), "late": (2, 1), "x": (1, 0)}
+    text = "soft " * 60 + ", warm pads, slow drums, low strings, instrumental"
+    spark.createDataFrame([(1, text)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    rules = {r.rule for r in QUERIES["prompt_validate_all"](spark, str(tmp_path)).collect()}
+    assert not rules & {"missing_instrumental", "description_descriptor_count"} and "description_too_long" in rules
