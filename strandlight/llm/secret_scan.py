@@ -61,9 +61,9 @@ def candidate_spans(text: Column) -> Column:
     return F.coalesce(own.cast(SPAN), F.array().cast(SPAN))
 
 
-def scan(docs: DataFrame, repository: str = "doc_id", owner: str = "source", max_owners: int = MAX_OWNERS, max_repositories: int = MAX_REPOSITORIES) -> DataFrame:
+def scan(docs: DataFrame, repository: str = "doc_id", owner: str = "source", max_owners: int = MAX_OWNERS, max_repositories: int | None = MAX_REPOSITORIES) -> DataFrame:
     """(doc_id, text_key, base, added, live): for each distinct (doc_id, text), its base spans, the added
-    ones, and the spans of either that look live.  ``text_key`` is a hash of the text."""
+    ones, and the spans of either that look live.  ``text_key`` is a hash of the text.  Without ``max_repositories`` owners alone decide."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), F.coalesce(F.col(repository).cast("string"), F.lit("")).alias("_repo"), F.coalesce(F.col(owner).cast("string"), F.lit("")).alias("_owner"), base_spans(text).alias("base"), candidate_spans(text).alias("more"))
     rows = rows.withColumn("more", F.filter("more", lambda c: ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))))
@@ -71,9 +71,11 @@ def scan(docs: DataFrame, repository: str = "doc_id", owner: str = "source", max
     single = rows.select("doc_id", "text_key", "_repo", "_owner", F.explode(F.concat("base", "more")).alias("s")).select("doc_id", "text_key", "_repo", "_owner", "s", F.sha2(F.col("s.value"), 256).alias("hash"))
     # distinct owners and repositories of a value, each counted on rows that are made distinct before they are dealt
     owners = single.select("hash", "_owner").distinct().groupBy("hash").agg(F.count(F.lit(1)).alias("owners"))
-    repos = single.select("hash", "_repo").distinct().groupBy("hash").agg(F.count(F.lit(1)).alias("repositories"))
-    counts = owners.join(repos, "hash")
-    marked = single.join(counts, "hash").withColumn("is_live", (F.col("owners") <= max_owners) & (F.col("repositories") <= max_repositories))
+    counts, is_live = owners, F.col("owners") <= max_owners
+    if max_repositories is not None:
+        repos = single.select("hash", "_repo").distinct().groupBy("hash").agg(F.count(F.lit(1)).alias("repositories"))
+        counts, is_live = owners.join(repos, "hash"), is_live & (F.col("repositories") <= max_repositories)
+    marked = single.join(counts, "hash").withColumn("is_live", is_live)
     by_doc = marked.where("is_live").groupBy("doc_id", "text_key").agg(F.collect_set(F.col("s")).alias("live"))
     plain = rows.select("doc_id", "text_key", "base", "more")
     joined = plain.join(by_doc.withColumnsRenamed({"doc_id": "_d", "text_key": "_t"}), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("text_key") == F.col("_t")), "left").drop("_d", "_t")
@@ -98,9 +100,12 @@ def secret_report(docs: DataFrame, **settings) -> DataFrame:
     return found.select("doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.concat("base", "added")).alias("spans"), F.size("live").cast("long").alias("n_live"))
 
 
-def redact(docs: DataFrame, mark: str = "[secret]", **settings) -> DataFrame:
-    """``docs`` with each span that looks live replaced by ``mark``; examples that many owners share stay."""
-    found = scan(docs, **settings).where(F.size("live") > 0).select(F.col("doc_id").alias("__secret_id"), F.col("text_key").alias("__secret_text"), F.transform("live", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))).alias("__secret_spans")).dropDuplicates(["__secret_id", "__secret_text"])
+def redact(docs: DataFrame, mark: str = "[secret]", max_repositories: int | None = None, **settings) -> DataFrame:
+    """``docs`` with each span that looks live replaced by ``mark``; examples that many owners share stay.
+
+    A document is no repository here: a value with one owner goes, however many copies of it there are.
+    """
+    found = scan(docs, max_repositories=max_repositories, **settings).where(F.size("live") > 0).select(F.col("doc_id").alias("__secret_id"), F.col("text_key").alias("__secret_text"), F.transform("live", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))).alias("__secret_spans")).dropDuplicates(["__secret_id", "__secret_text"])
     keyed = docs.withColumn("__secret_key", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
     joined = keyed.join(found, F.col("doc_id").cast("long").eqNullSafe(F.col("__secret_id")) & (F.col("__secret_key") == F.col("__secret_text")), "left")
     text = F.col("text")
