@@ -206,7 +206,9 @@ def read_store(spark: SparkSession, folder: str) -> DataFrame:
 
     Every stored chunk is read, its key checked against its ids, and its count and CRC taken.  A document's
     count and CRC follow from its chunks in the order of its recipe; ``verified`` says that those and the
-    Merkle root agree with the recipe.  A chunk that is missing or damaged leaves the documents that use it unverified.
+    Merkle root over the chunks' keys agree with the recipe, and its part of the recipes with the manifest.  A chunk
+    that is missing or damaged leaves the documents that use it unverified, and a part that has lost
+    or changed a document all of its documents; each document that a part has lost is an unverified row of nulls.
     """
 
     def read(batches):
@@ -239,11 +241,37 @@ def read_store(spark: SparkSession, folder: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ns, pa.int64()), pa.array(crcs, pa.int64())], names=["start", "read_n", "read_crc"])
 
     found = joined.mapInArrow(combine, "start long, read_n long, read_crc long")
-    out = recipes.select("doc_id", "start", "n_tokens", "ids_crc32").join(found, "start", "left")
-    good = F.coalesce((F.col("read_n") == F.col("n_tokens")) & (F.col("read_crc") == F.col("ids_crc32")), F.lit(False))
+    out = recipes.select("doc_id", "start", "n_tokens", "ids_crc32").join(found, "start", "left").join(_rooted(spark, folder), "start", "full")
+    good = F.coalesce((F.col("read_n") == F.col("n_tokens")) & (F.col("read_crc") == F.col("ids_crc32")) & F.col("rooted"), F.lit(False))
     return out.select("doc_id", "start", F.col("read_n").alias("n_tokens"), F.col("read_crc").alias("ids_crc32"), good.alias("verified"))
 
 
+def _rooted(spark: SparkSession, folder: str) -> DataFrame:
+    """(start, rooted) of each document: whether its keys give its root and its part's roots give the manifest's; a null start for each document that a part lacks.
+
+    Chunks are looked up by key and a key is the hash of the chunk's ids, so the keys of a recipe whose chunks are all read are the chunks' own.
+    """
+
+    def roots(batches):
+        for batch in batches:
+            own = [merkle_root([k[i : i + 32] for i in range(0, len(k), 32)]) for k in batch.column(2).to_pylist()]
+            same = [a == b for a, b in zip(own, batch.column(3).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(own, pa.binary()), pa.array(same, pa.bool_())], names=["part", "start", "root", "same"])
+
+    def against(group: pa.Table, shard: pa.Table) -> pa.Table:
+        group = group.sort_by("start")
+        documents = shard.column("documents")[0].as_py() if len(shard) == 1 else None
+        whole = documents == len(group) and shard.column("root")[0].as_py() == merkle_root(group.column("root").to_pylist())
+        lost = max(0, (documents or 0) - len(group))
+        start = group.column("start").to_pylist() + [None] * lost
+        rooted = [whole and same for same in group.column("same").to_pylist()] + [False] * lost
+        return pa.table({"start": pa.array(start, pa.int64()), "rooted": pa.array(rooted, pa.bool_())})
+
+    recipes = spark.read.parquet(f"{folder}/recipes").select("part", "start", "keys", "root").mapInArrow(roots, "part int, start long, root binary, same boolean")
+    manifest = spark.read.schema("part int, documents long, root binary").parquet(f"{folder}/manifest")
+    return recipes.groupBy("part").cogroup(manifest.groupBy("part")).applyInArrow(against, "start long, rooted boolean")
+
+
 def read_documents(spark: SparkSession, folder: str) -> DataFrame:
     """(doc_id, start, ids array<int>): whole documents put together from their chunks."""
     recipes = spark.read.parquet(f"{folder}/recipes")
