@@ -199,6 +199,11 @@ def links(distinct: DataFrame, parts: list[tuple[list[int], int]], radius: int =
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """(doc_id, fp, component_id) for every row of ``docs``."""
+    return _grouped(docs, radius).select("doc_id", "fp", "component_id")
+
+
+def _grouped(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """``near_duplicates`` with ``root``: groups that share their smallest doc_id share a component_id, but no root."""
     found = cut_lineage(fingerprints(docs))
     distinct = cut_lineage(found.groupBy("fp").agg(F.min("doc_id").alias("first")))
     n = distinct.count()
@@ -207,20 +212,41 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     components = connected_components(links(distinct.select("fp"), parts, radius))
     named = distinct.join(components, distinct.fp == components.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     lowest = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    names = named.join(lowest, "root").select("fp", "component_id")
-    return found.join(names, "fp").select("doc_id", "fp", "component_id")
+    names = named.join(lowest, "root").select("fp", "root", "component_id")
+    return found.join(names, "fp").select("doc_id", "fp", "root", "component_id")
+
+
+def _fingerprinted(docs: DataFrame, column: str) -> DataFrame:
+    """``docs`` with each row's fingerprint."""
+    from pyspark.sql.pandas.functions import ArrowUDFType, arrow_udf
+
+    def fingerprint(batches):
+        for texts in batches:
+            hashes = [shingle_hashes(text.as_py() or "") for text in texts]
+            yield pa.array(np.array([majority(h, np.array([len(h)]))[0] for h in hashes], np.uint64).view(np.int64))
+
+    return docs.withColumn(column, arrow_udf(fingerprint, "long", ArrowUDFType.SCALAR_ITER)(F.col("text").cast("string")))
 
 
-def keep_first(docs: DataFrame) -> DataFrame:
+def keep_first(docs: DataFrame, repeats: bool = False) -> DataFrame:
     """One document of each group: the one of the smallest doc_id.  Rows with a null doc_id stay; of repeated rows with that id one stays.
 
+    With ``repeats``, rows that repeat a doc_id count as documents of their own: one row of each group stays, whatever ids groups share.
     What goes is found on ids alone; texts move only as far as Spark's joins with those ids need.
     """
-    groups = cut_lineage(near_duplicates(docs).where("doc_id is not null"))
-    gone = groups.where("doc_id != component_id").select(F.col("doc_id").alias("__simhash_id")).distinct()
-    repeated = cut_lineage(groups.groupBy(F.col("doc_id").alias("__simhash_id")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("__simhash_id"))
+    groups = cut_lineage(_grouped(docs).where("doc_id is not null"))
+    first = F.col("doc_id") == F.col("component_id")
+    ids = groups.groupBy(F.col("doc_id").alias("__simhash_id")).agg(F.count(F.lit(1)).alias("n"), (F.bool_or(first) if repeats else F.bool_and(first)).alias("stays"))
+    ids = cut_lineage(ids.where("n > 1 or not stays"))
+    gone, repeated = ids.where("not stays").select("__simhash_id"), ids.where("n > 1").select("__simhash_id")
     own = docs["doc_id"].cast("long") == F.col("__simhash_id")
     kept = docs.join(gone, own, "left_anti")
     if not repeated.limit(1).count():
         return kept
-    return kept.join(repeated, own, "left_anti").unionByName(kept.join(repeated, own, "left_semi").dropDuplicates(["doc_id"]))
+    single, several = kept.join(repeated, own, "left_anti"), kept.join(repeated, own, "left_semi")
+    if not repeats:
+        return single.unionByName(several.dropDuplicates(["doc_id"]))
+    chosen = groups.where(first).groupBy("root").agg(F.min(F.struct("doc_id", "fp")).alias("s")).select(F.col("s.doc_id").alias("__simhash_id"), F.col("s.fp").alias("__simhash_value"))
+    chosen = chosen.join(repeated, "__simhash_id", "left_semi")
+    several = _fingerprinted(several, "__simhash_fp").join(chosen, own & (F.col("__simhash_fp") == F.col("__simhash_value")), "left_semi")
+    return single.unionByName(several.withColumn("__simhash_key", F.col("doc_id").cast("long")).dropDuplicates(["__simhash_key", "__simhash_fp"]).select(*docs.columns))

@@ -2,10 +2,11 @@
 
 import shutil
 
+import corpus_pipeline
 import pytest
 from pyspark.sql import functions as F
 
-from strandlight.llm import secret_scan, tokenstore
+from strandlight.llm import secret_scan, simhash, tokenstore
 from strandlight.llm.common import ship_package
 
 LIVE = "aB3dEfGh1JkLmNoPqRsTuVwXyZ"
@@ -52,3 +53,14 @@ def test_a_changed_root_and_a_lost_document_are_seen(store):
     assert {r.doc_id for r in got if not r.verified} == {3}
     got = replace(lambda recipes: recipes.where("doc_id != 5"))
     assert {r.doc_id for r in got if not r.verified} == {None, 3, *(i for i in part if part[i] == part[5] and i != 5)}
+
+
+def test_unrelated_texts_under_one_id_stay(spark):
+    ship_package(spark)
+    words = {k: " ".join(f"{k}{i}" for i in range(40)) for k in "abcd"}
+    rows = [(1, "a"), (2, "a"), (2, "b"), (2, "b"), (3, "b"), (4, "c"), (4, "d"), (5, "c"), (None, "a")]
+    docs = spark.createDataFrame([(i, words[k], k) for i, k in rows], "doc_id long, text string, k string")
+    kept = simhash.keep_first(docs, repeats=True)
+    assert kept.columns == docs.columns
+    assert sorted((repr(r.doc_id), r.k) for r in kept.collect()) == [("1", "a"), ("2", "b"), ("4", "c"), ("4", "d"), ("None", "a")]
+    assert sorted((r.doc_id, r.k) for r in corpus_pipeline.near_duplicate_stage(spark, docs.where("doc_id is not null"), "").collect()) == [(1, "a"), (2, "b"), (4, "c"), (4, "d")]
