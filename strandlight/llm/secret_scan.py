@@ -6,11 +6,15 @@ value that several owners share, or very many repositories, is a widely copied e
 that look live become further spans (kind ``live``); base spans stay, each marked as live or example.
 
 Spans are start:end in code points, end exclusive.  Null text is the empty text, without spans.
-Repeated rows give repeated results.  An owner that is null is an owner of its own.
+Repeated rows give repeated results.  An owner that is null is an owner of its own.  An empty table gives no rows.  Very
+long texts with very many matches take time in proportion to both: places are running sums, overlaps running maxima,
+taken level by level in blocks.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,24 +32,77 @@ MAX_REPOSITORIES = 50  # and so do more repositories
 SPAN = "array<struct<start:int,end:int,kind:int,value:string>>"
 
 
+BLOCK, LEVELS = 32, 4  # of running totals: linear up to BLOCK ** LEVELS matches
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, with ``value`` computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def running(values: Column, join: Callable[[Column, Column], Column], start: Column, levels: int = LEVELS) -> Column:
+    """For each place of an array, ``join`` of the values before it.  Within blocks by going through them, between blocks by the same one level up."""
+
+    def up_to(some: Column, i: Column) -> Column:
+        return F.aggregate(F.slice(some, F.lit(1), i), start, join)
+
+    if levels == 1:
+        return F.transform(values, lambda _, i: up_to(values, i))
+
+    def block(b: Column) -> Column:
+        return F.slice(values, b * BLOCK + 1, F.lit(BLOCK))
+
+    numbers = F.sequence(F.lit(0), (F.ceil(F.size(values) / BLOCK) - 1).cast("int"))
+    totals = F.transform(numbers, lambda b: F.aggregate(block(b), start, join))
+    before = _let(totals, lambda t: running(t, join, start, levels - 1))
+    joined = F.transform(before, lambda own, b: _let(block(b), lambda x: F.transform(x, lambda _, i: join(own, up_to(x, i)))))
+    # most texts have one block of matches at most
+    return F.when(F.size(values) <= BLOCK, F.transform(values, lambda _, i: up_to(values, i))).otherwise(F.flatten(joined))
+
+
 def spans_of(text: Column, pattern: str, kind: int) -> Column:
     """Array of the pattern's matches, leftmost and non-overlapping; null where there is none.
 
-    The pieces between the matches, and the matches, give each match's place by adding up lengths.
+    The pieces between the matches, and the matches, give each match's place by a running sum of lengths.
     """
     matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    between = F.transform(F.split(text, pattern, -1), lambda p: F.length(p))
-    sizes = F.transform(matches, lambda m: F.length(m))
+    pieces = F.split(text, pattern, -1)
 
-    def span(m: Column, i: Column) -> Column:
-        start = F.aggregate(F.slice(between, 1, i + 1), F.lit(0), lambda a, n: a + n) + F.aggregate(F.slice(sizes, 1, i), F.lit(0), lambda a, n: a + n)
-        return F.struct(start.cast("int").alias("start"), (start + F.length(m)).cast("int").alias("end"), F.lit(kind).alias("kind"), m.alias("value"))
+    def placed(both: Column) -> Column:
+        found, between = both["found"], both["between"]
+        # from the start of the match before (or of the text) to the end of the piece before the match, and the match
+        steps = F.transform(found, lambda m, i: F.length(F.get(between, i)) + F.length(m))
+        ahead = _let(steps, lambda own: running(own, lambda a, n: a + n, F.lit(0)))
 
-    found = F.transform(matches, span)
+        def span(start: Column, m: Column) -> Column:
+            return F.struct(start.cast("int").alias("start"), (start + F.length(m)).cast("int").alias("end"), F.lit(kind).alias("kind"), m.alias("value"))
+
+        return _let(ahead, lambda own: F.transform(found, lambda m, i: span(F.get(own, i) + F.length(F.get(between, i)), m)))
+
+    found = _let(F.struct(matches.alias("found"), pieces.alias("between")), placed)
     # most texts have no match; those pay for one search only
     return F.when(text.rlike(pattern), found).otherwise(F.lit(None))
 
 
+def apart(more: Column, base: Column) -> Column:
+    """The spans of ``more``, which do not overlap each other, that overlap none of ``base``.
+
+    Of the base spans that start before a candidate's end, one overlaps it if the largest end lies behind
+    its start: a running maximum over both in one order.
+    """
+    marks = F.concat(
+        F.transform(more, lambda c: F.struct(c["end"].alias("at"), F.lit(0).alias("is_base"), F.lit(0).alias("end"), c.alias("span"))),
+        F.transform(base, lambda b: F.struct(b["start"].alias("at"), F.lit(1).alias("is_base"), b["end"].alias("end"), b.alias("span"))),
+    )
+
+    def clear(own: Column) -> Column:
+        highest = _let(F.transform(own, lambda m: m["end"]), lambda ends: running(ends, lambda a, n: F.greatest(a, n), F.lit(0)))
+        free = _let(highest, lambda high: F.transform(own, lambda m, i: F.when((m["is_base"] == 0) & (F.get(high, i) <= m["span"]["start"]), m["span"])))
+        return F.array_sort(F.filter(free, lambda x: x.isNotNull()))
+
+    return F.when((F.size(more) == 0) | (F.size(base) == 0), more).otherwise(_let(F.array_sort(marks), clear))
+
+
 def base_spans(text: Column) -> Column:
     """Sorted array of (start, end, kind, value): kind 0 assign (value: its second group), 1 access, 2 hex."""
     assign = F.filter(spans_of(text, ASSIGN, 0), lambda s: F.length(F.regexp_extract(s["value"], ASSIGN, 2)) >= 6)
@@ -66,7 +123,7 @@ def scan(docs: DataFrame, repository: str = "doc_id", owner: str = "source", max
     ones, and the spans of either that look live.  ``text_key`` is a hash of the text.  Without ``max_repositories`` owners alone decide."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), F.coalesce(F.col(repository).cast("string"), F.lit("")).alias("_repo"), F.coalesce(F.col(owner).cast("string"), F.lit("")).alias("_owner"), base_spans(text).alias("base"), candidate_spans(text).alias("more"))
-    rows = rows.withColumn("more", F.filter("more", lambda c: ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))))
+    rows = rows.withColumn("more", apart(F.col("more"), F.col("base")))
     rows = cut_lineage(rows)  # spans without texts: small, and searched for once
     single = rows.select("doc_id", "text_key", "_repo", "_owner", F.explode(F.concat("base", "more")).alias("s")).select("doc_id", "text_key", "_repo", "_owner", "s", F.sha2(F.col("s.value"), 256).alias("hash"))
     # distinct owners and repositories of a value, each counted on rows that are made distinct before they are dealt
@@ -110,13 +167,15 @@ def redact(docs: DataFrame, mark: str = "[secret]", max_repositories: int | None
     joined = keyed.join(found, F.col("doc_id").cast("long").eqNullSafe(F.col("__secret_id")) & (F.col("__secret_key") == F.col("__secret_text")), "left")
     text = F.col("text")
 
-    def step(acc: Column, s: Column) -> Column:
-        # spans may overlap: what is already behind ``at`` is not repeated
-        more = s["end"] > acc["at"]
-        gap = F.substring(text, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
-        out = F.when(more, F.concat(acc["out"], gap, F.when(s["start"] >= acc["at"], F.lit(mark)).otherwise(F.lit("")))).otherwise(acc["out"])
-        return F.struct(out.alias("out"), F.greatest(acc["at"], s["end"]).alias("at"))
+    def cleaned(spans: Column) -> Column:
+        # spans may overlap: behind is how far the spans before reach
+        behind = _let(F.transform(spans, lambda s: s["end"]), lambda ends: running(ends, lambda a, n: F.greatest(a, n), F.lit(0)))
+
+        def piece(s: Column, at: Column) -> Column:
+            return F.when(s["start"] >= at, F.concat(F.substring(text, at + 1, s["start"] - at), F.lit(mark))).otherwise(F.lit(""))
+
+        parts = _let(behind, lambda at: F.transform(spans, lambda s, i: piece(s, F.get(at, i))))
+        return F.concat(F.array_join(parts, ""), F.substring(text, F.array_max(F.transform(spans, lambda s: s["end"])) + 1, F.length(text)))
 
-    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
-    clean = F.aggregate(F.array_sort("__secret_spans"), start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    clean = _let(F.array_sort("__secret_spans"), cleaned)
     return joined.withColumn("text", F.when(F.col("__secret_spans").isNull(), text).otherwise(clean)).select(*docs.columns)
