@@ -53,9 +53,9 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from strandlight.llm.media import media_digests, text_media
+    from strandlight.llm.media import media_digests, store_media
 
-    return media_digests(text_media(table(spark, sf_dir, "documents")))
+    return media_digests(store_media(table(spark, sf_dir, "documents")))
 
 
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,14 +90,15 @@ QUERIES = {
 }
 
 OP3_SQL = """
-WITH RECURSIVE v AS (
-  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
-  WHERE label IS NOT NULL AND vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
-p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
-r AS (SELECT vec_id AS n, vec_id AS m FROM embeddings UNION SELECT r.n, p.b FROM r JOIN p ON p.a = r.m),
-c AS (SELECT n AS vec_id, min(m) AS component_id FROM r GROUP BY 1),
-k AS (SELECT a AS vec_id, count(*) AS n FROM p GROUP BY 1)
-SELECT vec_id, coalesce(k.n, 0) AS n_links, component_id, vec_id = component_id AS kept FROM c LEFT JOIN k USING (vec_id)"""
+WITH RECURSIVE w AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+v AS (
+  SELECT r, label, list_transform(e, lambda x: x / list_max(list_transform(e, lambda y: abs(y)))) AS e FROM w
+  WHERE label IS NOT NULL AND vec_id IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+p AS (SELECT a.r AS a, b.r AS b FROM v a JOIN v b ON a.label = b.label AND a.r <> b.r AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+s AS (SELECT r AS n, r AS m FROM w UNION SELECT s.n, p.b FROM s JOIN p ON p.a = s.m),
+c AS (SELECT n AS r, min(w.vec_id) AS component_id FROM s JOIN w ON w.r = s.m GROUP BY 1),
+k AS (SELECT a AS r, count(*) AS n FROM p GROUP BY 1)
+SELECT vec_id, coalesce(k.n, 0) AS n_links, component_id, vec_id IS NOT DISTINCT FROM component_id AS kept FROM w JOIN c USING (r) LEFT JOIN k USING (r)"""
 
 
 def _spans_sql(kind: int, pattern: str) -> str:
