@@ -10,11 +10,15 @@ from pyspark.sql import functions as F
 from strandlight.config import CLASSES, Rules
 from strandlight.functions.scalar import glob_pattern
 
-#: fixed values: marks of cameras in recorded make, model or encoder texts, and name prefixes
-ACTION_MARKS = ("gopro", "hero", "insta360", "osmo action")
-PHONE_MAKERS = ("apple", "samsung", "google", "xiaomi", "huawei", "oneplus")
-REFLEX_MAKERS = ("canon", "nikon", "sony", "fujifilm", "panasonic", "olympus", "leica")
-NAME_PREFIXES = (("dji_", "drone"), ("gopr", "actioncam"), ("gx", "actioncam"), ("img_", "phone"), ("pxl_", "phone"), ("mvi_", "reflex"), ("dsc", "reflex"))
+#: Fixed values, in the order in which they are tried: recording kinds that decide alone, marks in make, model or
+#: encoder texts, makers of cameras, keys of container tags that only phones write, and beginnings of file names.
+TELEMETRY_CLASSES = {"dji_embedded_srt": "drone", "dji_sidecar_srt": "drone", "gopro_gpmf": "actioncam"}
+ACTIONCAM_MARKERS = ("osmoaction", "gopro", "insta360", "hero")
+CAMERA_MAKERS = ("fujifilm", "sony", "canon", "nikon", "panasonic", "olympus", "leica")
+PHONE_KEYS = ("com.android.manufacturer", "com.apple.quicktime.make")
+NAME_PREFIXES = {"GX": "actioncam", "GH": "actioncam", "GOPR": "actioncam", "DJI_": "drone", "IMG_": "phone", "VID_": "phone", "PXL_": "phone", "DSC": "reflex"}
+
+MOST_OVERRIDES = 10_000  # rules of the override table, which becomes one expression
 
 
 def class_value(table: dict, source_class: Column) -> Column:
@@ -40,38 +44,55 @@ def exclude_vertical(segments: DataFrame, strategy: str, vertical: Column) -> Da
     return segments.withColumn("reason", F.when(hit, "vertical").otherwise(F.col("reason")))
 
 
+def phone_keys(format_tags: Column) -> Column:
+    """Whether a map of container tags has a key, in any case, that only phones write."""
+    return F.coalesce(F.exists(F.map_keys(format_tags), lambda k: F.lower(k).isin(*PHONE_KEYS)), F.lit(False))
+
+
+def class_signals(fps_threshold: float) -> list[tuple[str, Column]]:
+    """(signal, class it gives or null) in order of strength, over the columns of a probed file."""
+
+    def text(name: str) -> Column:
+        return F.lower(F.coalesce(F.col(name), F.lit("")))
+
+    def any_of(words: tuple[str, ...], where: Column) -> Column:
+        return reduce(Column.__or__, (F.contains(where, F.lit(w)) for w in words))
+
+    def given(kind: str, condition: Column) -> Column:
+        return F.when(condition, F.lit(kind))
+
+    name = F.upper(F.element_at(F.split("path", "/"), -1))
+    table = F.create_map(*[F.lit(x) for pair in TELEMETRY_CLASSES.items() for x in pair])
+    return [
+        ("telemetry", F.try_element_at(table, F.coalesce("telemetry", F.lit("none")))),
+        ("make_tag", given("actioncam", any_of(ACTIONCAM_MARKERS, F.concat_ws(" ", text("make"), text("model"), text("encoder"))))),
+        ("manufacturer_tag", given("phone", F.col("phone_keys"))),
+        ("make_tag", given("reflex", any_of(CAMERA_MAKERS, text("make")))),
+        ("aspect", given("phone", F.col("is_vertical"))),
+        ("fps", given("actioncam", F.col("fps") >= fps_threshold)),
+        ("filename", F.coalesce(*[given(kind, F.startswith(name, F.lit(start))) for start, kind in NAME_PREFIXES.items()])),
+        ("default", F.lit("generic")),
+    ]
+
+
 def classify(overrides: DataFrame | None, files: DataFrame, fps_threshold: float = 100.0) -> DataFrame:
     """``files`` with source_class, class_signal and class_overridden: the first signal that speaks.
 
-    ``overrides`` (rule_no, pattern as a regular expression, class) is a small table; the last rule that matches wins.
+    ``files`` has path, telemetry, make, model, encoder, phone_keys, is_vertical and fps.  ``overrides`` (rule_no, pattern as a regular expression,
+    class) is a table of MOST_OVERRIDES rules at most, more are refused; the last rule that matches wins.
     """
-    low = lambda c: F.lower(F.coalesce(F.col(c), F.lit("")))
-    marks = F.concat_ws(" ", low("make"), low("model"), low("encoder"))
-    has = lambda words, text: reduce(lambda a, b: a | b, [F.contains(text, F.lit(w)) for w in words])
-    name = F.lower(F.element_at(F.split("path", "/"), -1))
-    prefix = F.lit(None).cast("string")
-    for start, kind in reversed(NAME_PREFIXES):
-        prefix = F.when(F.startswith(name, F.lit(start)), kind).otherwise(prefix)
-    says = lambda kind, signal: F.struct((F.lit(kind) if isinstance(kind, str) else kind).alias("c"), F.lit(signal).alias("s"))
-    guess = (
-        F.when(F.startswith("telemetry", F.lit("dji")), says("drone", "telemetry"))
-        .when(F.col("telemetry") == "gopro_gpmf", says("actioncam", "telemetry"))
-        .when(has(ACTION_MARKS, marks), says("actioncam", "marker"))
-        .when(F.col("phone_keys"), says("phone", "phone_tags"))
-        .when(has(PHONE_MAKERS, low("make")), says("phone", "maker"))
-        .when(has(REFLEX_MAKERS, low("make")), says("reflex", "maker"))
-        .when(F.col("is_vertical"), says("phone", "vertical"))
-        .when(F.col("fps") >= fps_threshold, says("actioncam", "fps"))
-        .when(prefix.isNotNull(), says(prefix, "prefix"))
-        .otherwise(says("generic", "default"))
-    )
-    out = files.withColumn("_g", guess)
-    chosen = F.lit(None).cast("string")
+    signals = class_signals(fps_threshold)
+    guess = F.coalesce(*[F.when(kind.isNotNull(), F.struct(kind.alias("kind"), F.lit(signal).alias("signal"))) for signal, kind in signals])
+    by_hand = F.lit(None).cast("string")
     if overrides is not None:
-        for r in overrides.orderBy("rule_no").limit(10_000).collect():  # a configuration table
-            chosen = F.when(F.col("path").rlike(r["pattern"]), F.lit(r["class"])).otherwise(chosen)
-    out = out.withColumn("_o", chosen)
-    return out.select(*files.columns, F.coalesce("_o", "_g.c").alias("source_class"), F.when(F.col("_o").isNotNull(), "override").otherwise(F.col("_g.s")).alias("class_signal"), F.col("_o").isNotNull().alias("class_overridden"))
+        rows = overrides.orderBy("rule_no").limit(MOST_OVERRIDES + 1).collect()
+        if len(rows) > MOST_OVERRIDES:
+            raise ValueError(f"more than {MOST_OVERRIDES} override rules")
+        matching = [F.when(F.col("path").rlike(r["pattern"]), F.lit(r["class"])) for r in reversed(rows)]
+        by_hand = F.coalesce(*matching) if matching else by_hand
+    out = files.withColumns({"_guess": guess, "_hand": by_hand})
+    own = F.col("_hand").isNotNull()
+    return out.select(*files.columns, F.coalesce("_hand", "_guess.kind").alias("source_class"), F.when(own, "override").otherwise(F.col("_guess.signal")).alias("class_signal"), own.alias("class_overridden"))
 
 
 def override_rules(spark, rules: list[tuple[str, str]]) -> DataFrame:

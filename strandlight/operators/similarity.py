@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from strandlight.config import Similarity
 from strandlight.functions.scalar import EARTH_RADIUS_M, dot, haversine_m
 from strandlight.operators.graph import components, numbered
+from strandlight.operators.telemetry import around
 
 
 def clipped(x: Column) -> Column:
@@ -130,12 +131,22 @@ def places(points: DataFrame, radius_m: float, at: str, ident: str = "id") -> Da
 def nearest_fix(targets: DataFrame, fixes: DataFrame, fallback: DataFrame | None = None) -> DataFrame:
     """(seg_id, lat, lon): the file's fix nearest in time, the first of equals; without one, the file's own tag.
 
-    ``targets`` has seg_id, file_id, time_s; ``fixes`` file_id, seq, time_s, lat, lon.  A fix without a time counts as at distance 0.
+    ``targets`` has seg_id, file_id, time_s; ``fixes`` file_id, seq, time_s, lat, lon.  Where the fix or the target has no time
+    they count as at distance 0.  A file's fixes and targets are sorted together once; no pairs of them are made.
     """
-    good = fixes.where("lat is not null and lon is not null").select("file_id", F.col("seq"), F.col("time_s").alias("_t"), "lat", "lon")
-    distance = F.coalesce(F.abs(F.col("_t") - F.col("time_s")), F.lit(0.0))
-    joined = targets.join(good, "file_id", "left")
-    best = joined.groupBy("seg_id", "file_id").agg(F.min_by(F.struct("lat", "lon"), F.when(F.col("lat").isNotNull(), F.struct(distance.alias("d"), F.col("seq")))).alias("p"))
+    good = fixes.where("lat is not null and lon is not null").select("file_id", F.col("time_s").alias("_t"), F.struct("seq", "lat", "lon").alias("_row"))
+    undated = good.groupBy("file_id").agg(F.min(F.when(F.col("_t").isNull(), F.col("_row"))).alias("_undated"), F.min("_row").alias("_first"))
+    asked = targets.select("seg_id", "file_id", F.col("time_s").alias("_t"))
+    near = around(asked.where("_t is not null"), good.where("_t is not null")).unionByName(asked.where("_t is null"), allowMissingColumns=True)
+    joined = near.join(undated, "file_id", "left")
+
+    def offer(row: Column, distance: Column) -> Column:
+        return F.when(row.isNotNull(), F.struct(distance.cast("double").alias("d"), row.alias("row")))
+
+    zero = F.lit(0.0)
+    offers = [offer(F.col(f"{side}.row"), F.abs(F.col(f"{side}.at") - F.col("_t"))) for side in ("before", "after")]
+    offers += [offer(F.col("_undated"), zero), offer(F.when(F.col("_t").isNull(), F.col("_first")), zero)]
+    best = joined.select("seg_id", "file_id", F.array_min(F.array(*offers))["row"].alias("p"))
     if fallback is None:
         return best.select("seg_id", "p.lat", "p.lon")
     tags = fallback.select("file_id", F.col("lat").alias("_la"), F.col("lon").alias("_lo"))

@@ -10,46 +10,22 @@ from strandlight.plans.registry import query, table
 from strandlight.plans.series import ONE, single
 
 
-@query(f"""
-WITH e AS {ONE}, s AS (SELECT event_id, user_id, t AS c FROM e WHERE event_id % 25 = 0)
-SELECT s.event_id AS seg_id, string_agg(CAST(k AS INT), ',' ORDER BY e.t) AS motion FROM s JOIN e ON e.user_id = s.user_id AND e.t >= c - 20000 AND e.t < c + 20000 GROUP BY 1""")
-def motion_slices(spark, sf_dir):
-    e = single(spark, sf_dir).select("event_id", F.col("user_id").alias("file_id"), F.col("t").alias("time_s"), F.col("k").alias("motion"))
-    return listed_slices(e.where("event_id % 25 = 0"), e)
-
-
 @query(f"""
 WITH e AS {ONE}, s AS (SELECT event_id, user_id, t AS c FROM e)
 SELECT s.event_id AS seg_id, string_agg(CAST(k AS INT), ',' ORDER BY e.t) AS motion FROM s JOIN e ON e.user_id = s.user_id AND e.t >= c - 20000 AND e.t < c + 20000 GROUP BY 1""")
-def motion_slices_all(spark, sf_dir):
-    """Every event is a segment; motion_slices is held to a sample of them by its SQL."""
+def motion_slices(spark, sf_dir):
+    """Every event is a segment."""
     e = single(spark, sf_dir).select("event_id", F.col("user_id").alias("file_id"), F.col("t").alias("time_s"), F.col("k").alias("motion"))
-    return listed_slices(e, e)
-
-
-def listed_slices(centres, e):
-    s = centres.select(F.col("event_id").alias("seg_id"), "file_id", F.col("time_s").alias("center_s"))
+    s = e.select(F.col("event_id").alias("seg_id"), "file_id", F.col("time_s").alias("center_s"))
     return assembly.motion_slices(s, e, 40000.0).select("seg_id", F.array_join(F.transform("motion", lambda m: m.cast("int").cast("string")), ",").alias("motion"))
 
 
-@query("""
-WITH p AS (SELECT p_partkey AS o, p_partkey * 2.0 AS s, p_partkey * 2.0 + 1.5 AS e FROM part WHERE p_partkey <= 50), t AS (SELECT n_nationkey * 7.25::DOUBLE AS z FROM nation)
-SELECT z AS "at", coalesce(o, (SELECT max(o) FROM p)) AS "order" FROM t LEFT JOIN p ON z >= s AND z < e""")
-def part_at_time(spark, sf_dir):
-    return parts_playing(spark, sf_dir, table(spark, sf_dir, "part").where("p_partkey <= 50"))
-
-
 @query("""
 WITH p AS (SELECT p_partkey AS o, p_partkey * 2.0 AS s, p_partkey * 2.0 + 1.5 AS e FROM part), t AS (SELECT n_nationkey * 7.25::DOUBLE AS z FROM nation)
 SELECT z AS "at", coalesce(o, (SELECT max(o) FROM p)) AS "order" FROM t LEFT JOIN p ON z >= s AND z < e""")
-def part_at_time_all(spark, sf_dir):
-    """All parts; part_at_time is held to the first fifty by its SQL."""
-    return parts_playing(spark, sf_dir, table(spark, sf_dir, "part"))
-
-
-def parts_playing(spark, sf_dir, parts):
+def part_at_time(spark, sf_dir):
     k = F.col("p_partkey")
-    parts = parts.select(k.alias("order"), (k * 2.0).alias("start_s"), (k * 2.0 + 1.5).alias("end_s"))
+    parts = table(spark, sf_dir, "part").select(k.alias("order"), (k * 2.0).alias("start_s"), (k * 2.0 + 1.5).alias("end_s"))
     return assembly.part_at(parts, table(spark, sf_dir, "nation").select((F.col("n_nationkey") * 7.25).alias("at")))
 
 

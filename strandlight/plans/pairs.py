@@ -33,7 +33,7 @@ FIXES = "v AS (SELECT vec_id AS id, label, CAST(embedding AS DOUBLE[]) AS e, CAS
 WITH {FIXES}, p AS (SELECT a.id AS a, b.id AS b, least(greatest(list_dot_product(a.e, b.e), 0), 1) AS sem,
   2 * 6371000.0 * asin(sqrt(least(pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2), 1))) AS m, abs(a.t - b.t) AS dt, a.faces = b.faces AS same FROM v a JOIN v b ON a.label = b.label AND a.id < b.id),
 q AS (SELECT a, b, same, sem, least(greatest(1 - m / 3000, 0), 1) AS sp, least(greatest(1 - dt / 600, 0), 1) AS te, m, dt FROM p)
-SELECT a, b, round(CASE WHEN NOT same THEN 0 ELSE (0.5 * sem + CASE WHEN m IS NULL THEN 0 ELSE 0.2 * sp END + CASE WHEN dt IS NULL THEN 0 ELSE 0.2 * te END) / (0.5 + CASE WHEN m IS NULL THEN 0 ELSE 0.2 END + CASE WHEN dt IS NULL THEN 0 ELSE 0.2 END) END, 6) AS sim FROM q""")
+SELECT a, b, round(CASE WHEN NOT same THEN 0 ELSE (0.5 * sem + CASE WHEN m IS NULL THEN 0 ELSE 0.2 * sp END + CASE WHEN dt IS NULL THEN 0 ELSE 0.2 * te END) / (0.5 + CASE WHEN m IS NULL THEN 0 ELSE 0.2 END + CASE WHEN dt IS NULL THEN 0 ELSE 0.2 END) END, 6) AS sim FROM q WHERE same AND (0.5 * sem + CASE WHEN m IS NULL THEN 0 ELSE 0.2 * sp END + CASE WHEN dt IS NULL THEN 0 ELSE 0.2 * te END) / (0.5 + CASE WHEN m IS NULL THEN 0 ELSE 0.2 END + CASE WHEN dt IS NULL THEN 0 ELSE 0.2 END) >= 0.2""")
 def pair_similarity_combined(spark, sf_dir):
     i = F.col("id")
     v = vectors(spark, sf_dir).withColumns({"lat": F.when(i % 3 > 0, i % 50 * 0.001), "lon": i % 40 * 0.001, "t": F.when(i % 4 > 0, i * 7.0), "faces": i % 2})
@@ -41,7 +41,7 @@ def pair_similarity_combined(spark, sf_dir):
     c = F.col
     signals = {"visual": F.lit(0.9), "semantic": similarity.semantic(c("a_vector"), c("b_vector"), 0.0), "spatial": similarity.spatial(c("a_lat"), c("a_lon"), c("b_lat"), c("b_lon"), 3000.0), "temporal": similarity.temporal(c("a_t"), c("b_t"), 600.0)}
     sim = similarity.combined(signals, Similarity(radius_m=3000.0), c("a_faces"), c("b_faces"))
-    return p.select(c("a_id").alias("a"), c("b_id").alias("b"), F.round(sim, 6).alias("sim"))
+    return p.withColumn("sim", sim).where("sim >= 0.2").select(c("a_id").alias("a"), c("b_id").alias("b"), F.round("sim", 6).alias("sim"))
 
 
 @query("""
@@ -54,25 +54,34 @@ def hamming_pairs(spark, sf_dir):
 
 
 @query("""
-WITH h AS (SELECT user_id AS u, list_sort(list(value))[1:8] AS x FROM events GROUP BY 1 HAVING count(*) >= 8)
-SELECT a.u AS a, b.u AS b, round(least(greatest(1 - 0.5 * list_sum(list_transform(list_zip(a.x, b.x), lambda z: CASE WHEN z[1] + z[2] > 0 THEN pow(z[1] - z[2], 2) / (z[1] + z[2]) ELSE 0 END)) / 1000, 0), 1), 5) AS sim
-FROM h a JOIN h b ON a.u < b.u AND a.u % 10 = b.u % 10""")
+WITH c AS (SELECT user_id AS u, least(floor(value / 62.5), 7) AS bin, count(*) AS n FROM events GROUP BY ALL), t AS (SELECT u, sum(n) AS n FROM c GROUP BY 1), g AS (SELECT u, b, t.n FROM t, range(8) r(b)),
+h AS (SELECT g.u, b, coalesce(c.n, 0) / g.n AS x FROM g LEFT JOIN c ON c.u = g.u AND c.bin = b)
+SELECT a.u AS a, b.u AS b, round(1 - 0.5 * sum(CASE WHEN a.x + b.x > 0 THEN pow(a.x - b.x, 2) / (a.x + b.x) ELSE 0 END), 5) AS sim
+FROM h a JOIN h b ON a.b = b.b AND a.u < b.u AND a.u % 10 = b.u % 10 GROUP BY 1, 2 HAVING 1 - 0.5 * sum(CASE WHEN a.x + b.x > 0 THEN pow(a.x - b.x, 2) / (a.x + b.x) ELSE 0 END) >= 0.9""")
 def histogram_similarity_pairs(spark, sf_dir):
-    h = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("u")).agg(F.slice(F.sort_array(F.collect_list("value")), 1, 8).alias("x")).where(F.size("x") == 8)
-    h = h.select("u", (F.col("u") % 10).alias("g"), F.transform("x", lambda v: v / 1000).alias("x"))
-    p = similarity.pairs_within(h, ["g"], "u")
-    return p.select(F.col("a_u").alias("a"), F.col("b_u").alias("b"), F.round(similarity.histogram_similarity(F.col("a_x"), F.col("b_x")), 5).alias("sim"))
+    """Histograms of all of a user's values in eight bins; pairs from 0.9."""
+    bins = F.least(F.floor(F.col("value") / 62.5), F.lit(7))
+    counts = [F.sum((bins == k).cast("int")).alias(f"b{k}") for k in range(8)]
+    h = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("u")).agg(F.count(F.lit(1)).alias("n"), *counts)
+    h = h.select("u", (F.col("u") % 10).alias("g"), F.array(*[F.col(f"b{k}") / F.col("n") for k in range(8)]).alias("x"))
+    p = similarity.pairs_within(h, ["g"], "u").withColumn("sim", similarity.histogram_similarity(F.col("a_x"), F.col("b_x")))
+    return p.where("sim >= 0.9").select(F.col("a_u").alias("a"), F.col("b_u").alias("b"), F.round("sim", 5).alias("sim"))
 
 
 @query("""
-WITH h AS (SELECT user_id AS u, list(value ORDER BY ts, event_id)[1:6] AS x FROM events GROUP BY 1 HAVING count(*) >= 6),
+WITH t AS (SELECT user_id AS u, ntile(6) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k, value FROM events QUALIFY count(*) OVER (PARTITION BY user_id) >= 6), m AS (SELECT u, k, avg(value) AS v FROM t GROUP BY 1, 2), h AS (SELECT u, list(v ORDER BY k) AS x FROM m GROUP BY 1),
 p AS (SELECT a.u AS a, b.u AS b, a.x AS x, b.x AS y FROM h a JOIN h b ON a.u < b.u AND a.u % 10 = b.u % 10),
-s AS (SELECT a, b, list_transform(x, lambda v: v - list_avg(x)) AS dx, list_transform(y, lambda v: v - list_avg(y)) AS dy FROM p)
-SELECT a, b, round((list_dot_product(dx, dy) / sqrt(list_dot_product(dx, dx) * list_dot_product(dy, dy)) + 1) / 2, 6) AS sim FROM s""")
+s AS (SELECT a, b, list_transform(x, lambda v: v - list_avg(x)) AS dx, list_transform(y, lambda v: v - list_avg(y)) AS dy FROM p), r AS (SELECT a, b, (list_dot_product(dx, dy) / sqrt(list_dot_product(dx, dx) * list_dot_product(dy, dy)) + 1) / 2 AS sim FROM s)
+SELECT a, b, round(sim, 6) AS sim FROM r WHERE sim >= 0.9""")
 def motion_similarity_pairs(spark, sf_dir):
-    h = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("u")).agg(F.slice(F.transform(F.sort_array(F.collect_list(F.struct("ts", "event_id", "value"))), lambda s: s["value"]), 1, 6).alias("x")).where(F.size("x") == 6)
-    p = similarity.pairs_within(h.withColumn("g", F.col("u") % 10), ["g"], "u")
-    return p.select(F.col("a_u").alias("a"), F.col("b_u").alias("b"), F.round(similarity.motion(F.col("a_x"), F.col("b_x")), 6).alias("sim"))
+    """Means of the sixths of all of a user's values; pairs from 0.9."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("user_id")
+    e = table(spark, sf_dir, "events").select(F.col("user_id"), "value", F.ntile(6).over(w.orderBy("ts", "event_id")).alias("k"), F.count(F.lit(1)).over(w).alias("n")).where("n >= 6")
+    h = e.groupBy(F.col("user_id").alias("u")).agg(F.array(*[F.avg(F.when(F.col("k") == k, F.col("value"))) for k in range(1, 7)]).alias("x"))
+    p = similarity.pairs_within(h.withColumn("g", F.col("u") % 10), ["g"], "u").withColumn("sim", similarity.motion(F.col("a_x"), F.col("b_x")))
+    return p.where("sim >= 0.9").select(F.col("a_u").alias("a"), F.col("b_u").alias("b"), F.round("sim", 6).alias("sim"))
 
 
 @query(f"""
@@ -86,18 +95,11 @@ def cluster_single_linkage(spark, sf_dir):
     return similarity.single_linkage(v, p, THRESHOLD).select("id", "cluster_id")
 
 
-PLACES = "c AS (SELECT c_custkey AS id, c_custkey % 97 * 0.01 AS lat, c_custkey % 89 * 0.01 AS lon FROM customer WHERE c_custkey % 2 = 0)"
+PLACES = "c AS (SELECT c_custkey AS id, c_custkey % 97 * 0.01 AS lat, c_custkey % 89 * 0.01 AS lon FROM customer)"
 METRES = "2 * 6371000.0 * asin(sqrt(least(pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2), 1)))"
 
 
-ALL_PLACES = "c AS (SELECT c_custkey AS id, c_custkey % 97 * 0.01 AS lat, c_custkey % 89 * 0.01 AS lon FROM customer)"
-
-
 def points(spark, sf_dir):
-    return all_points(spark, sf_dir).where("id % 2 = 0")
-
-
-def all_points(spark, sf_dir):
     k = F.col("c_custkey")
     return table(spark, sf_dir, "customer").select(k.alias("id"), (k % 97 * 0.01).alias("lat"), (k % 89 * 0.01).alias("lon"), k.alias("at"))
 
@@ -115,18 +117,6 @@ def place_components(spark, sf_dir):
     return similarity.places(points(spark, sf_dir), 900.0, "at").select("id", "place_id")
 
 
-@query(f"WITH {ALL_PLACES}, p AS (SELECT a.id AS a, b.id AS b, {METRES} AS m FROM c a JOIN c b ON a.id < b.id) SELECT a, b, round(m, 3) AS metres FROM p WHERE m <= 1200")
-def haversine_places_all(spark, sf_dir):
-    """All customers; haversine_places is held to even keys by its SQL."""
-    return similarity.within_radius(all_points(spark, sf_dir), 1200.0).select("a", "b", F.round("metres", 3).alias("metres"))
-
-
-@query()
-def place_components_all(spark, sf_dir):
-    """All customers; place_components is held to even keys by its SQL.  Tested against a plain loop."""
-    return similarity.places(all_points(spark, sf_dir), 900.0, "at").select("id", "place_id")
-
-
 def candidates(spark, sf_dir):
     i = F.col("id")
     return vectors(spark, sf_dir).select(F.col("source_class").cast("string").alias("project"), F.lpad(i.cast("string"), 8, "0").alias("id"), (i % 101 / 100).alias("score"), (i % 37).cast("string").alias("file_id"), F.lit("generic").alias("source_class"), F.lit(None).cast("long").alias("cluster_id"), (i % 11).alias("visit_id"), (i % 5).cast("string").alias("tag"), (i * 20.0).alias("time_s"), (i % 50 == 0).alias("pinned"))
@@ -157,12 +147,14 @@ def lost_to_winner(spark, sf_dir):
 
 
 @query("""
-WITH s AS (SELECT vec_id AS id, label AS g, vec_id % 9 AS v, row_number() OVER (ORDER BY vec_id) AS o FROM embeddings WHERE vec_id < 30 OR vec_id % 90 < 3),
-f AS (SELECT v, list(id ORDER BY o) AS h FROM s WHERE id < 27 GROUP BY 1 HAVING count(*) = 3)
-SELECT vec_id AS id, h AS held_by FROM embeddings JOIN f ON f.v = vec_id % 9 WHERE vec_id >= 30""")
+WITH f AS (SELECT vec_id // 9 AS v, list(vec_id ORDER BY vec_id) AS h FROM embeddings WHERE vec_id % 3 = 0 AND vec_id % 5 > 0 GROUP BY 1 HAVING count(*) = 3)
+SELECT vec_id AS id, h AS held_by FROM embeddings JOIN f ON f.v = vec_id // 9 WHERE vec_id % 3 > 0 OR vec_id % 5 = 0""")
 def held_by_visit(spark, sf_dir):
-    v = vectors(spark, sf_dir).withColumn("visit_id", F.col("id") % 9)
-    return selection.held_by(v.where("id >= 30"), v.where("id < 27").withColumn("order", F.col("id")), 3)
+    """Nine vectors are a visit; most of every third are selected."""
+    i = F.col("id")
+    v = vectors(spark, sf_dir).withColumn("visit_id", F.floor(i / 9))
+    chosen = (i % 3 == 0) & (i % 5 > 0)
+    return selection.held_by(v.where(~chosen), v.where(chosen).withColumn("order", i), 3)
 
 
 @query("""

@@ -8,19 +8,11 @@ from strandlight.operators import report, soundtrack, tags
 from strandlight.plans.registry import query, table
 
 
-@query("""
-WITH t AS (SELECT doc_id, unnest(list_distinct(string_split(lower(left(text, 400)), ' '))) AS label FROM documents)
-SELECT label, count(*) AS total, count_if(doc_id % 3 = 0) AS selected FROM t GROUP BY 1""")
-def tag_carried_counts(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select(F.split(F.lower(F.substring("text", 1, 400)), " ", -1).alias("labels"), (F.col("doc_id") % 3 == 0).alias("is_selected"))
-    return tags.carried_counts(docs)
-
-
 @query("""
 WITH t AS (SELECT doc_id, unnest(list_distinct(string_split(lower(text), ' '))) AS label FROM documents)
 SELECT label, count(*) AS total, count_if(doc_id % 3 = 0) AS selected FROM t GROUP BY 1""")
-def tag_carried_counts_all(spark, sf_dir):
-    """Labels of whole texts; tag_carried_counts is held to their first 400 characters by its SQL."""
+def tag_carried_counts(spark, sf_dir):
+    """Labels of whole texts."""
     docs = table(spark, sf_dir, "documents").select(F.split(F.lower("text"), " ", -1).alias("labels"), (F.col("doc_id") % 3 == 0).alias("is_selected"))
     return tags.carried_counts(docs)
 
@@ -71,28 +63,36 @@ def run_stats(spark, sf_dir):
     return report.run_stats(table(spark, sf_dir, "documents").select(F.when(d % 9 == 0, "e").alias("error"), (d % 2 == 0).alias("from_cache")))
 
 
+#: a row of each kind of condition
 GENRES = [
-    (0, "ambient", None, None, "night", None, None, None),
-    (1, "electronic", "click", 0.22, None, None, None, None),
-    (2, "cinematic", None, None, None, 0.52, None, None),
-    (3, "upbeat folk", "view", None, "daytime", None, None, None),
-    (4, "acoustic", None, None, None, None, 0.48, None),
-    (5, "default rock", "none of these", None, None, None, None, None),
+    soundtrack.Genre("ambient", time_of_day=("night",)),
+    soundtrack.Genre("surf rock", tags_dominant=("click", "view"), energy=("mid", "high"), tags_any=("signup", "purchase")),
+    soundtrack.Genre("electronic", class_min_share={"click": 0.25, "view": 0.2}),
+    soundtrack.Genre("cinematic", energy=("high",), region_any=("LAND", "isle")),
+    soundtrack.Genre("upbeat folk", time_of_day=("daytime", "morning")),
+    soundtrack.Genre("default rock", tags_any=("none of these",)),
 ]
-KINDS = "ordinal int, row string, tag string, min_share double, band string, low_energy double, high_energy double, source_class string"
 
 
 @query(f"""
-WITH t AS (SELECT user_id, event_type AS tag, count(*) AS n, min(event_id) AS f FROM events GROUP BY 1, 2), d AS (SELECT user_id, tag, round(n / sum(n) OVER (PARTITION BY user_id), 3) AS share FROM t QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY n DESC, f) = 1),
+WITH t AS (SELECT user_id, event_type AS tag, count(*) AS n, min(event_id) AS f FROM events GROUP BY 1, 2), d AS (SELECT user_id, tag, n FROM t QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY n DESC, f) = 1),
+x AS (SELECT user_id, max(CASE WHEN tag = 'signup' THEN n ELSE 0 END) AS su, max(CASE WHEN tag = 'purchase' THEN n ELSE 0 END) AS pu, round(max(CASE WHEN tag = 'click' THEN n ELSE 0 END) / sum(n), 3) AS cs, round(max(CASE WHEN tag = 'view' THEN n ELSE 0 END) / sum(n), 3) AS vs FROM t GROUP BY 1),
 b AS (SELECT user_id, {BAND} AS band, count(*) AS n, min(event_id) AS f FROM events GROUP BY 1, 2), m AS (SELECT user_id, band FROM b QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY n DESC, f) = 1),
-e AS (SELECT user_id, round(avg(value) / 490, 4) AS en FROM events GROUP BY 1)
-SELECT user_id AS project, CASE WHEN band = 'night' THEN 'ambient' WHEN tag = 'click' AND share >= 0.22 THEN 'electronic' WHEN en >= 0.52 THEN 'cinematic' WHEN tag = 'view' AND band = 'daytime' THEN 'upbeat folk' WHEN en < 0.48 THEN 'acoustic' ELSE 'upbeat folk' END AS "row",
-  CASE WHEN band = 'night' OR (tag = 'click' AND share >= 0.22) OR en >= 0.52 OR (tag = 'view' AND band = 'daytime') OR en < 0.48 THEN 'matched' ELSE 'default' END AS reason
-FROM d JOIN m USING (user_id) JOIN e USING (user_id)""")
+e AS (SELECT user_id, CASE WHEN avg(value) / 490 < 0.48 THEN 'low' WHEN avg(value) / 490 < 0.52 THEN 'mid' ELSE 'high' END AS en FROM events GROUP BY 1)
+SELECT user_id AS project,
+  CASE WHEN band = 'night' THEN 'ambient' WHEN tag IN ('click', 'view') AND en <> 'low' AND su + pu > 0 THEN 'surf rock' WHEN cs >= 0.25 AND vs >= 0.2 THEN 'electronic' WHEN en = 'high' AND user_id % 2 = 0 THEN 'cinematic' ELSE 'upbeat folk' END AS "row",
+  CASE WHEN band = 'night' THEN 'time of day night (wants night)'
+    WHEN tag IN ('click', 'view') AND en <> 'low' AND su + pu > 0 THEN 'dominant tag is ' || tag || ' (wants click, view); ' || CASE WHEN su > 0 AND pu > 0 THEN 'signup, purchase' WHEN su > 0 THEN 'signup' ELSE 'purchase' END || ' present; energy ' || en || ' (wants mid or high)'
+    WHEN cs >= 0.25 AND vs >= 0.2 THEN printf('click share %.2f (wants 0.25); view share %.2f (wants 0.20)', cs, vs) WHEN en = 'high' AND user_id % 2 = 0 THEN 'energy high (wants high); region LAND'
+    WHEN band IN ('daytime', 'morning') THEN 'time of day ' || band || ' (wants daytime or morning)' ELSE 'no row matched, so the default profile ''upbeat folk'' was used' END AS reason,
+  band IN ('night', 'daytime', 'morning') OR (tag IN ('click', 'view') AND en <> 'low' AND su + pu > 0) OR (cs >= 0.25 AND vs >= 0.2) OR (en = 'high' AND user_id % 2 = 0) AS matched
+FROM d JOIN x USING (user_id) JOIN m USING (user_id) JOIN e USING (user_id)""")
 def genre_match(spark, sf_dir):
     e = table(spark, sf_dir, "events")
-    tag = report.most_common(e, ["user_id"], "event_type", "event_id").select("user_id", F.col("event_type").alias("dominant_tag"), F.col("share").alias("dominant_share"))
+    tag = report.most_common(e, ["user_id"], "event_type", "event_id").select("user_id", F.col("event_type").alias("dominant_tag"))
     band = report.most_common(e.withColumn("band", report.time_band(F.col("ts"))), ["user_id"], "band", "event_id").select("user_id", F.col("band").alias("time_of_day"))
-    energy = e.groupBy("user_id").agg(F.round(F.avg("value") / 490, 4).alias("mean_energy"))
-    signals = tag.join(band, "user_id").join(energy, "user_id").select(F.col("user_id").alias("project"), "dominant_tag", "dominant_share", "time_of_day", "mean_energy", F.lit("generic").alias("main_class"))
-    return soundtrack.genre_match(signals, spark.createDataFrame(GENRES, KINDS))
+    listed = report.mix(e, ["user_id"], "event_type").groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct("event_type", "n"))).alias("tags"), F.map_from_entries(F.collect_list(F.struct("event_type", "share"))).alias("class_mix"))
+    mean = F.avg("value") / 490
+    energy = e.groupBy("user_id").agg(F.when(mean < 0.48, "low").when(mean < 0.52, "mid").otherwise("high").alias("energy_band"))
+    signals = tag.join(band, "user_id").join(listed, "user_id").join(energy, "user_id").withColumn("regions", F.when(F.col("user_id") % 2 == 0, F.array(F.lit("Highlands"), F.lit("Somerset"))).otherwise(F.array().cast("array<string>")))
+    return soundtrack.genre_match(signals.withColumnRenamed("user_id", "project"), GENRES)

@@ -84,20 +84,42 @@ def reject_rules_case(spark, sf_dir):
     return own.select("user_id", reason.alias("reason"))
 
 
-@query("""
-WITH f AS (SELECT page_id, url, lower(regexp_extract(url, '([^/]*)$', 1)) AS name FROM pages)
-SELECT page_id,
-  CASE WHEN url LIKE '%.org/%' THEN 'reflex' WHEN url LIKE 'http://m.%' THEN 'phone' WHEN contains(lower(url), 'hero') THEN 'actioncam' WHEN page_id % 7 = 0 THEN 'phone'
-    WHEN page_id % 11 = 0 THEN 'phone' WHEN page_id % 13 + 90 >= 100 THEN 'actioncam' WHEN starts_with(name, 'dsc') THEN 'reflex' ELSE 'generic' END AS source_class,
-  CASE WHEN url LIKE '%.org/%' OR url LIKE 'http://m.%' THEN 'override' WHEN contains(lower(url), 'hero') THEN 'marker' WHEN page_id % 7 = 0 THEN 'phone_tags'
-    WHEN page_id % 11 = 0 THEN 'vertical' WHEN page_id % 13 + 90 >= 100 THEN 'fps' WHEN starts_with(name, 'dsc') THEN 'prefix' ELSE 'default' END AS class_signal,
-  (url LIKE '%.org/%' OR url LIKE 'http://m.%') AS class_overridden
-FROM f""")
+#: probed files by page_id % 16: (telemetry, make, model, encoder, phone keys, vertical, fps, name), and the class and signal each has
+PROBED = (
+    (("dji_embedded_srt", None, None, None, False, False, 30.0, "DJI_0744.MP4"), ("drone", "telemetry")),
+    (("dji_sidecar_srt", "FUJIFILM", None, None, False, True, 240.0, "clip.mp4"), ("drone", "telemetry")),
+    (("gopro_gpmf", None, None, None, False, False, 30.0, "clip.mp4"), ("actioncam", "telemetry")),
+    (("none", None, None, "DJI OsmoAction4", False, False, 50.0, "DJI_0194_D.MP4"), ("actioncam", "make_tag")),
+    (("none", None, "HERO12 Black", None, False, False, 30.0, "clip.mp4"), ("actioncam", "make_tag")),
+    (("none", "Xiaomi", "2312DRA50G", None, True, False, 30.0, "VID_20250720_211104.mp4"), ("phone", "manufacturer_tag")),
+    (("none", "Xiaomi", None, None, False, False, 30.0, "clip.mp4"), ("generic", "default")),
+    (("none", "FUJIFILM", None, None, False, False, 30.0, "VID_0001.mp4"), ("reflex", "make_tag")),
+    (("none", None, None, None, False, True, 30.0, "clip.mp4"), ("phone", "aspect")),
+    (("none", None, None, None, False, False, 240.0, "clip.mp4"), ("actioncam", "fps")),
+    (("none", None, None, None, False, False, 30.0, "GX010001.MP4"), ("actioncam", "filename")),
+    (("none", None, None, None, False, False, 30.0, "gh010001.mp4"), ("actioncam", "filename")),
+    (("none", None, None, None, False, False, 30.0, "VID_0001.mp4"), ("phone", "filename")),
+    (("none", None, None, None, False, False, 30.0, "DSC_0001.MOV"), ("reflex", "filename")),
+    (("none", None, None, None, False, False, 30.0, "MVI_0001.MOV"), ("generic", "default")),
+    ((None, None, "osmo action", None, False, False, 30.0, "clip0001.mp4"), ("generic", "default")),
+)
+CLASSED = ", ".join(f"({k}, '{kind}', '{signal}')" for k, (_, (kind, signal)) in enumerate(PROBED))
+
+
+@query(f"""
+WITH t AS (SELECT * FROM (VALUES {CLASSED}) t(k, kind, signal))
+SELECT page_id, CASE WHEN page_id % 5 = 0 THEN 'drone' WHEN page_id % 10 < 3 THEN 'phone' ELSE kind END AS source_class, CASE WHEN page_id % 5 = 0 OR page_id % 10 < 3 THEN 'override' ELSE signal END AS class_signal, page_id % 5 = 0 OR page_id % 10 < 3 AS class_overridden
+FROM pages JOIN t ON k = page_id % 16""")
 def classify_first_match(spark, sf_dir):
-    empty = F.lit(None).cast("string")
-    files = table(spark, sf_dir, "pages").select("page_id", F.col("url").alias("path"), empty.alias("telemetry"), empty.alias("make"), F.col("url").alias("model"), empty.alias("encoder"), (F.col("page_id") % 7 == 0).alias("phone_keys"), (F.col("page_id") % 11 == 0).alias("is_vertical"), (F.col("page_id") % 13 + 90).cast("double").alias("fps"))
-    files = files.withColumn("telemetry", F.coalesce("telemetry", F.lit("none")))
-    overrides = rules.override_rules(spark, [("http://m.*", "phone"), ("*.org/*", "reflex")])
+    """Probed files whose classes are known; below the folder trip an override applies, and below trip/drone a later one."""
+    names = ("telemetry", "make", "model", "encoder", "phone_keys", "is_vertical", "fps", "name")
+    kinds = ("string", "string", "string", "string", "boolean", "boolean", "double", "string")
+    row = F.lit(None)
+    for k, (values, _) in enumerate(PROBED):
+        row = F.when(F.col("page_id") % 16 == k, F.struct(*[F.lit(v).cast(t).alias(n) for v, t, n in zip(values, kinds, names)])).otherwise(row)
+    folder = F.when(F.col("page_id") % 5 == 0, "trip/drone/").when(F.col("page_id") % 10 < 3, "trip/").otherwise("other/")
+    files = table(spark, sf_dir, "pages").select("page_id", row.alias("r"), folder.alias("f")).select("page_id", "r.*", "f").withColumn("path", F.concat("f", "name"))
+    overrides = rules.override_rules(spark, [("trip/**", "phone"), ("trip/drone/**", "drone")])
     return rules.classify(overrides, files).select("page_id", "source_class", "class_signal", "class_overridden")
 
 
@@ -131,9 +153,11 @@ def timed(spark, sf_dir):
 @query(f"""
 WITH e AS ({TIMED}),
 s AS (SELECT DISTINCT user_id, i, user_id || ':' || i AS seg_id, i * 200000.0 AS a, i * 200000.0 + 150000.0 AS b FROM e, range(13) t(i)),
-h AS (SELECT s.seg_id, count(e.t) AS frames, avg(value) AS v, avg(k) AS k FROM s LEFT JOIN e ON e.user_id = s.user_id AND t >= a AND t < b GROUP BY ALL)
-SELECT seg_id, frames, round(coalesce(v, 0), 6) AS value, round(coalesce(k, 0), 6) AS k FROM h""")
+h AS (SELECT s.seg_id, s.user_id, a, count(e.t) AS frames, avg(value) AS v, avg(k) AS k FROM s LEFT JOIN e ON e.user_id = s.user_id AND t >= a AND t < b GROUP BY ALL),
+x AS (SELECT seg_id, e.value AS v, e.k FROM h JOIN e USING (user_id) WHERE frames = 0 QUALIFY row_number() OVER (PARTITION BY seg_id ORDER BY abs(t - a), t, e.value, e.k) = 1)
+SELECT h.seg_id, greatest(frames, 1) AS frames, round(coalesce(h.v, x.v), 6) AS value, round(coalesce(h.k, x.k), 6) AS k FROM h LEFT JOIN x USING (seg_id)""")
 def span_metrics_interval_join(spark, sf_dir):
+    """Means over spans; a span without an event takes the one nearest its start."""
     e = timed(spark, sf_dir).select(F.col("user_id").alias("file_id"), F.col("t").alias("time_s"), "value", "k")
     spans = e.select("file_id").distinct().select("file_id", F.explode(F.sequence(F.lit(0), F.lit(12))).alias("i"))
     spans = spans.select(F.concat_ws(":", "file_id", "i").alias("seg_id"), "file_id", (F.col("i") * 200000.0).alias("start_s"), (F.col("i") * 200000.0 + 150000.0).alias("end_s"))

@@ -106,8 +106,8 @@ def bpm_from_beats(spark, sf_dir):
     return series.bpm_of_beats(beats, "user_id", "t")
 
 
-#: spans of 100,000 s from each user's events, windows of 30,000 s
-SPANS = f"e AS {ONE}, spans AS (SELECT DISTINCT user_id || ':' || i AS seg_id, user_id, i * 200000.0 AS a, i * 200000.0 + 100000.0 AS b FROM e, range(6) g(i))"
+#: spans of 100,000 s from each user's first event up to and with the last, windows of 30,000 s
+SPANS = f"e AS {ONE}, l AS (SELECT user_id, CAST(floor(max(t) / 100000) AS BIGINT) AS n FROM e GROUP BY 1), spans AS (SELECT user_id || ':' || i AS seg_id, user_id, i * 100000.0 AS a, (i + 1) * 100000.0 AS b FROM (SELECT user_id, unnest(range(n + 1)) AS i FROM l))"
 MEANS = """
 c AS (SELECT seg_id, s.user_id, a, b, t AS c FROM spans s JOIN e ON e.user_id = s.user_id AND t >= a AND t < b WHERE t + 30000 <= b UNION SELECT seg_id, user_id, a, b, b - 30000 FROM spans),
 m AS (SELECT seg_id, c.user_id, a, b, c, avg(value) AS mean FROM c LEFT JOIN e ON e.user_id = c.user_id AND t >= c AND t < c + 30000 GROUP BY ALL),
@@ -115,17 +115,11 @@ f AS (SELECT DISTINCT seg_id FROM spans s JOIN e ON e.user_id = s.user_id AND t
 best AS (SELECT seg_id, c, mean FROM m QUALIFY row_number() OVER (PARTITION BY seg_id ORDER BY coalesce(mean, '-inf'::DOUBLE) DESC, c) = 1)"""
 
 
-def spans(spark, sf_dir):
-    e = scored(spark, sf_dir)
-    s = e.select("file_id").distinct().select("file_id", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("i"))
-    return s.select(F.concat_ws(":", "file_id", "i").alias("seg_id"), "file_id", (F.col("i") * 200000.0).alias("start_s"), (F.col("i") * 200000.0 + 100000.0).alias("end_s")), e
-
-
 def scored(spark, sf_dir):
     return single(spark, sf_dir).select(F.col("user_id").alias("file_id"), F.col("t").alias("time_s"), F.col("value").alias("frame_score"), F.col("k").alias("motion"))
 
 
-def all_spans(spark, sf_dir):
+def spans(spark, sf_dir):
     """Spans of 100,000 s end to end, from each user's first event up to and with the last."""
     e = scored(spark, sf_dir)
     last = F.floor(F.col("last") / 100000)
@@ -153,20 +147,6 @@ def snap_to_minimum(spark, sf_dir):
     return snapped(s, e)
 
 
-@query()
-def best_window_all(spark, sf_dir):
-    """Spans up to the last event; best_window is held to six by its SQL.  Tested against a plain loop."""
-    s, e = all_spans(spark, sf_dir)
-    return scoring.best_windows(s, e, 30000.0).select("seg_id", F.round("centre_s", 4).alias("centre_s"), "duration_s")
-
-
-@query()
-def snap_to_minimum_all(spark, sf_dir):
-    """Spans up to the last event; snap_to_minimum is held to six by its SQL.  Tested against a plain loop."""
-    s, e = all_spans(spark, sf_dir)
-    return snapped(s, e)
-
-
 def snapped(s, e):
     framed = s.join(e, "file_id").where("time_s >= start_s and time_s < end_s").select("seg_id").distinct()
     return scoring.snapped_windows(s.join(framed, "seg_id"), e, 30000.0, 40000.0, 0.3).select("seg_id", F.round("start_s", 4).alias("start_s"), "moved")
@@ -210,17 +190,17 @@ def telemetry_summary(spark, sf_dir):
 
 
 @query("""
-SELECT user_id AS file_id, event_id AS cue, event_id % 3600 * 1.0 AS time_s, round(value, 1) AS height_m, CASE WHEN event_id % 4 > 0 THEN event_id % 90 * 1.0 END AS lat, CASE WHEN event_id % 4 > 0 THEN -(event_id % 170) * 1.0 END AS lon, CAST(event_id % 800 AS INT) AS iso FROM events""")
+SELECT user_id AS file_id, event_id AS cue, event_id % 3600 * 1.0 AS time_s, round(value, 1) AS height_m, CASE WHEN event_id % 4 > 0 THEN event_id % 90 * 1.0 END AS lat, CASE WHEN event_id % 4 > 0 THEN (event_id % 340 - 170) * 1.0 END AS lon, CAST(event_id % 800 AS INT) AS iso, 1.0 AS ev, -0.5 AS speed_v_ms FROM events""")
 def srt_parse(spark, sf_dir):
     """Lines of subtitles written from the events, parsed back."""
     e = table(spark, sf_dir, "events").select("event_id", "user_id", F.round("value", 1).alias("h"))
     second = (F.col("event_id") % 3600).cast("int")
     stamp = F.format_string("00:%02d:%02d,000", F.floor(second / 60), second % 60)
-    gps = F.when(F.col("event_id") % 4 > 0, F.format_string("GPS (%d, %d, 10)", -(F.col("event_id") % 170), F.col("event_id") % 90)).otherwise("")
-    body = F.concat(F.lit("<font>H "), F.col("h").cast("string"), F.lit("m, ISO "), (F.col("event_id") % 800).cast("string"), F.lit("</font>"))
+    gps = F.when(F.col("event_id") % 4 > 0, F.format_string("GPS (%+d, %+d.0, 10)", F.col("event_id") % 340 - 170, F.col("event_id") % 90)).otherwise("")
+    body = F.concat(F.lit("<font>H "), F.col("h").cast("string"), F.lit("m, ISO "), (F.col("event_id") % 800).cast("string"), F.lit(", EV +1.0, V.S -0.50m/s</font>"))
     rows = F.array(F.col("event_id").cast("string"), F.concat(stamp, F.lit(" --> "), stamp), gps, body, F.lit(""))
     lines = e.select(F.col("user_id").alias("file_id"), "event_id", F.posexplode(rows).alias("p", "line")).select("file_id", (F.col("event_id") * 5 + F.col("p")).alias("n"), "line")
     # a cue's number within its file, back to the event that wrote it
     found = telemetry.samples(telemetry.cues(lines))
     order = e.select(F.col("user_id").alias("file_id"), "event_id", F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")).cast("long").alias("cue"))
-    return found.join(order, ["file_id", "cue"]).select("file_id", F.col("event_id").alias("cue"), "time_s", "height_m", "lat", "lon", "iso")
+    return found.join(order, ["file_id", "cue"]).select("file_id", F.col("event_id").alias("cue"), "time_s", "height_m", "lat", "lon", "iso", "ev", "speed_v_ms")

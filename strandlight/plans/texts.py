@@ -10,38 +10,56 @@ from strandlight.plans.registry import query, table
 from strandlight.sources import files, store
 
 
-@query("""
-WITH b AS (SELECT item_id, left(text, 230) AS d, string_split(left(text, 230), ',') AS raw FROM benchmark), p AS (SELECT *, list_filter(list_transform(raw, lambda x: trim(x, ' ')), lambda x: x <> '') AS p FROM b),
-n AS (SELECT *, list_transform(p, lambda x: lower(regexp_split_to_array(x, '\\s+')[-1])) AS nouns FROM p),
+#: a structure that keeps every rule, and eight variants of it by item_id % 8: the rule that each breaks, and where
+STRUCTURE = ("[sparse intro]", "[guitar intro]", "[sunny intro]", "[steady verse]", "[drums verse]", "[sunny verse]", "[driving drop]", "[guitar drop]", "[drums drop]", "[fading outro]", "[guitar outro]", "[drums outro]", "[end]")
+VARIANTS = (
+    (STRUCTURE, ()),
+    ((*STRUCTURE[:3], "[warm verse] [soft verse]", *STRUCTURE[3:]), (("multiple_tags_on_line", 4),)),
+    ((*STRUCTURE[:2], "[slow, dark intro]", *STRUCTURE[3:]), (("comma_in_tag", 3), ("section_tag_count", None))),
+    (("[slow dark sparse intro]", *STRUCTURE[1:]), (("too_many_modifiers", 1),)),
+    (STRUCTURE[:-1], (("missing_end", 12),)),
+    (("[soft vocals intro]", *STRUCTURE[1:]), (("vocal_tag", 1), ("section_tag_count", None))),
+    (("[filtered intro]", *STRUCTURE[1:4], "[]", "[loud refrain]", *STRUCTURE[4:]), (("production_modifier", 1), ("unknown_section", 5), ("unknown_section", 6))),
+    ((), (("missing_end", None), ("instrument_coverage", None), ("instrument_coverage", None))),
+)
+BROKEN = ", ".join(f"({k}, '{rule}', {'NULL' if line is None else line})" for k, (_, rules) in enumerate(VARIANTS) for rule, line in rules)
+
+
+@query(f"""
+WITH b AS (SELECT item_id, text AS d, list_filter(list_transform(string_split(text, ','), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '') AS p FROM benchmark),
+n AS (SELECT *, list_transform(p, lambda x: lower(x)) AS low, list_filter(p, lambda x: len(list_filter(regexp_split_to_array(x, '\\s+'), lambda w: w <> '')) > 5) AS wordy FROM b),
 v AS (SELECT item_id, 'description_too_long' AS rule FROM n WHERE length(d) > 200 UNION ALL SELECT item_id, 'description_descriptor_count' FROM n WHERE NOT len(p) BETWEEN 4 AND 7
-UNION ALL SELECT item_id, 'description_sentence' FROM n WHERE len(list_filter(p, lambda x: len(regexp_split_to_array(x, '\\s+')) > 5 OR regexp_matches(x, '[.!?]'))) > 0
-UNION ALL SELECT item_id, 'description_repeated' FROM n WHERE len(nouns) <> len(list_distinct(nouns)) UNION ALL SELECT item_id, 'missing_instrumental' FROM n WHERE NOT contains(lower(d), 'instrumental')
-UNION ALL SELECT item_id, 'missing_end' FROM n WHERE item_id % 3 = 0)
-SELECT item_id AS prompt_id, rule, CAST(NULL AS INT) AS line FROM v
-UNION ALL SELECT item_id, 'unknown_section', 2 FROM n UNION ALL SELECT item_id, 'section_tag_count', 2 FROM n UNION ALL SELECT item_id, 'section_tag_count', 1 FROM n UNION ALL SELECT item_id, 'vocal_tag', 1 FROM n""".replace("\\\\s", "\\s"))
+UNION ALL SELECT item_id, 'description_sentence' FROM n WHERE contains(d, '. ') OR ends_with(trim(d), '.') UNION ALL SELECT item_id, 'description_sentence' FROM (SELECT item_id, unnest(wordy) FROM n)
+UNION ALL SELECT item_id, 'description_repeated' FROM n WHERE len(low) <> len(list_distinct(low)) UNION ALL SELECT item_id, 'missing_instrumental' FROM n WHERE len(low) < 2 OR low[-2] <> 'no vocals' OR low[-1] <> 'instrumental'),
+s AS (SELECT * FROM (VALUES {BROKEN}) t(k, rule, line))
+SELECT item_id AS prompt_id, rule, CAST(NULL AS INT) AS line FROM v UNION ALL SELECT item_id, rule, CAST(line AS INT) FROM benchmark JOIN s ON k = item_id % 8""")
 def prompt_validate(spark, sf_dir):
-    return violations_of(table(spark, sf_dir, "benchmark"), F.substring("text", 1, 230))
+    """Whole benchmark texts as descriptions, with structures whose faults are known."""
+    lines = F.lit(None)
+    for k, (structure, _) in enumerate(VARIANTS):
+        lines = F.when(F.col("item_id") % 8 == k, F.array(*[F.lit(x) for x in structure]).cast("array<string>")).otherwise(lines)
+    instruments = F.array(F.lit("twangy reverb guitar"), F.lit("driving drums"))
+    p = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("prompt_id"), F.col("text").alias("description"), lines.alias("lines"), instruments.alias("instruments"))
+    return soundtrack.violations(p)
 
 
 @query("""
-WITH b AS (SELECT item_id, text AS d, string_split(text, ',') AS raw FROM benchmark), p AS (SELECT *, list_filter(list_transform(raw, lambda x: trim(x, ' ')), lambda x: x <> '') AS p FROM b),
-n AS (SELECT *, list_transform(p, lambda x: lower(regexp_split_to_array(x, '\\s+')[-1])) AS nouns FROM p),
-v AS (SELECT item_id, 'description_too_long' AS rule FROM n WHERE length(d) > 200 UNION ALL SELECT item_id, 'description_descriptor_count' FROM n WHERE NOT len(p) BETWEEN 4 AND 7
-UNION ALL SELECT item_id, 'description_sentence' FROM n WHERE len(list_filter(p, lambda x: len(regexp_split_to_array(x, '\\s+')) > 5 OR regexp_matches(x, '[.!?]'))) > 0
-UNION ALL SELECT item_id, 'description_repeated' FROM n WHERE len(nouns) <> len(list_distinct(nouns)) UNION ALL SELECT item_id, 'missing_instrumental' FROM n WHERE NOT contains(lower(d), 'instrumental')
-UNION ALL SELECT item_id, 'missing_end' FROM n WHERE item_id % 3 = 0)
-SELECT item_id AS prompt_id, rule, CAST(NULL AS INT) AS line FROM v
-UNION ALL SELECT item_id, 'unknown_section', 2 FROM n UNION ALL SELECT item_id, 'section_tag_count', 2 FROM n UNION ALL SELECT item_id, 'section_tag_count', 1 FROM n UNION ALL SELECT item_id, 'vocal_tag', 1 FROM n""".replace("\\\\s", "\\s"))
-def prompt_validate_all(spark, sf_dir):
-    """Whole texts; prompt_validate is held to their first 230 characters by its SQL."""
-    return violations_of(table(spark, sf_dir, "benchmark"), F.col("text"))
-
-
-def violations_of(items, description):
-    end = F.when(F.col("item_id") % 3 != 0, F.lit("[End]"))
-    lines = F.filter(F.array(F.lit("[verse 2: soft choir; slow]"), F.lit("[refrain: loud]"), end), lambda x: x.isNotNull())
-    p = items.select(F.col("item_id").alias("prompt_id"), description.alias("description"), lines.alias("lines"))
-    return soundtrack.violations(p)
+SELECT user_id AS edit, 'surf rock, ' || CASE WHEN user_id % 3 = 0 THEN 'twangy reverb guitar' WHEN user_id % 3 = 1 THEN 'shimmering tremolo guitar' END || ', driving drums, sunny, 128 bpm, no vocals, instrumental' AS description, CASE WHEN user_id % 2 = 0 THEN 17 ELSE 13 END AS n, 0 AS broken
+FROM (SELECT DISTINCT user_id FROM events) WHERE user_id % 3 < 2""")
+def prompt_build(spark, sf_dir):
+    """Two variants of a prompt for each edit; what is built breaks no rule."""
+    words = lambda *w: F.array(*[F.lit(x) for x in w])
+    edits = table(spark, sf_dir, "events").select("user_id").distinct().where("user_id % 3 < 2")
+    edits = edits.select("user_id", F.lit("beach").alias("subject"), F.lit("evening").alias("time_of_day"), F.lit("peak-middle").alias("shape"), F.lit(128).alias("bpm"), F.lit("surf rock").alias("genre"), words("twangy reverb guitar", "driving drums", "warm bass").alias("instruments"), words("shimmering tremolo guitar").alias("instrument_alternates"), words("sunny").alias("mood"), words().cast("array<string>").alias("mood_alternates"))
+    shaped = edits.withColumn("shape", F.when(F.col("user_id") % 2 == 0, "peak-late").otherwise("flat"))
+    first, second = soundtrack.build_prompts(shaped.where("user_id % 3 = 0"), 0), soundtrack.build_prompts(shaped.where("user_id % 3 = 1"), 1)
+    built = first.unionByName(second).select(F.col("user_id").alias("prompt_id"), "description", "lines", F.col("prompt_instruments").alias("instruments"))
+    return prompts_checked(built)
+
+
+def prompts_checked(built):
+    broken = soundtrack.violations(built).groupBy("prompt_id").agg(F.count(F.lit(1)).alias("broken"))
+    return built.join(broken, "prompt_id", "left").select(F.col("prompt_id").alias("edit"), "description", F.size("lines").alias("n"), F.coalesce("broken", F.lit(0)).alias("broken"))
 
 
 @query("""
@@ -78,15 +96,21 @@ def folder_scan(spark, sf_dir):
 
 @query("""
 WITH c AS (SELECT c_custkey AS id, round(c_custkey * 0.0004, 3) AS la, round(c_custkey % 50 * 0.0006, 3) AS lo FROM customer), g AS (SELECT DISTINCT la, lo FROM c WHERE (CAST(round(la * 1000) AS INT)) % 2 = 0)
-SELECT id, CASE WHEN g.la IS NOT NULL THEN CASE WHEN CAST(round(c.la * 1000) AS INT) % 4 = 0 THEN 'town' ELSE 'top' END END AS name, CASE WHEN g.la IS NOT NULL THEN 'state' END AS region FROM c LEFT JOIN g USING (la, lo)""")
+SELECT id, CASE WHEN g.la IS NULL THEN NULL ELSE CASE CAST(round(c.la * 1000) AS INT) % 8 WHEN 0 THEN 'La Pelosa' WHEN 2 THEN 'Stintino' WHEN 4 THEN 'Somewhere' ELSE 'Roma' END END AS name,
+  CASE WHEN g.la IS NULL THEN NULL ELSE CASE CAST(round(c.la * 1000) AS INT) % 8 WHEN 0 THEN 'Sardegna' WHEN 2 THEN 'Sardegna' WHEN 4 THEN 'Italia' ELSE 'Lazio' END END AS region FROM c LEFT JOIN g USING (la, lo)""")
 def reverse_geocode(spark, sf_dir):
+    """Addresses of four kinds: a beach before its village, a village, blanks alone, and a region that repeats the name."""
     k = F.col("c_custkey")
     c = table(spark, sf_dir, "customer").select(k.alias("id"), (k * 0.0004).alias("lat"), (k % 50 * 0.0006).alias("lon"))
     milli = F.round(F.round("lat", 3) * 1000).cast("int")
     g = c.select(F.round("lat", 3).alias("lat"), F.round("lon", 3).alias("lon")).distinct().where(milli % 2 == 0)
-    address = F.when(milli % 4 == 0, F.create_map(F.lit("town"), F.lit("town"), F.lit("state"), F.lit("state"))).otherwise(F.create_map(F.lit("town"), F.lit(" "), F.lit("state"), F.lit("state")))
-    g = g.select("lat", "lon", F.lit("top").alias("name"), address.alias("address"))
-    return store.reverse_geocoded(c, g).select("id", "name", "region")
+    made = lambda **address: F.create_map(*[F.lit(x) for pair in address.items() for x in pair])
+    beach = made(village="Stintino", beach="La Pelosa", state="Sardegna", country="Italia")
+    village = made(village=" Stintino ", county=" ", state="Sardegna", country="Italia")
+    blank = made(village=" ", suburb="", county="Somewhere", country="Italia")
+    twice = made(city="Roma", county="Roma", state="Lazio", country="Italia")
+    address = F.when(milli % 8 == 0, beach).when(milli % 8 == 2, village).when(milli % 8 == 4, blank).otherwise(twice)
+    return store.reverse_geocoded(c, g.select("lat", "lon", F.lit("Somewhere").alias("name"), address.alias("address"))).select("id", "name", "region")
 
 
 @query("SELECT doc_id, CASE WHEN n_chars % 5 = 0 THEN -1 ELSE CAST(least(greatest(doc_id % 1000, 0), n_chars % 5 - 1) AS INT) END AS i FROM documents")

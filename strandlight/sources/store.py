@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SCHEMA_VERSION = 1
@@ -59,19 +59,28 @@ def prunable(listing: DataFrame, older_than_days: int, now) -> DataFrame:
     return listing.where(F.col("mtime") < F.lit(now) - F.make_dt_interval(F.lit(older_than_days)))
 
 
+#: Keys of an address in the order in which they are asked for a name, and for a region.
+NAME_KEYS = ("natural", "beach", "bay", "water", "hamlet", "village", "town", "suburb", "city", "municipality")
+REGION_KEYS = ("island", "county", "province", "state", "region", "country")
+
+
 def reverse_geocoded(places: DataFrame, gazetteer: DataFrame) -> DataFrame:
-    """Places with name and region from a gazetteer keyed by coordinates to three places.
+    """Places with name and region from a gazetteer (lat, lon, name, address map) keyed by coordinates to three places.
 
-    name: the first of the address's keys in order that is not blank, else the top-level name; region likewise, and not the name.
+    name: the first key's value that is not blank, else the top-level name.  region: the first key's that is not blank and not the name.
     """
-    names, regions = ("attraction", "beach", "village", "town", "suburb", "city"), ("city", "county", "state", "country")
-    own = places.withColumns({"_la": F.round("lat", 3), "_lo": F.round("lon", 3)})
-    held = gazetteer.select(F.round("lat", 3).alias("_la"), F.round("lon", 3).alias("_lo"), F.col("name").alias("_top"), F.col("address").alias("_a"))
-    pick = lambda keys: F.coalesce(*[F.nullif(F.btrim(F.try_element_at(F.col("_a"), F.lit(k))), F.lit("")) for k in keys])
-    joined = own.join(held, ["_la", "_lo"], "left")
-    name = F.coalesce(pick(names), F.nullif(F.btrim("_top"), F.lit("")))
-    region = F.coalesce(*[F.when(F.col("_r") != F.coalesce(F.col("_n"), F.lit("")), F.col("_r"))])
-    return joined.withColumns({"_n": name, "_r": pick(regions)}).select(*places.columns, F.col("_n").alias("name"), region.alias("region"))
+    key = [F.round(c, 3).alias(f"_{c}") for c in ("lat", "lon")]
+    held = gazetteer.select(*key, F.nullif(F.btrim("name"), F.lit("")).alias("_top"), F.col("address").alias("_address"))
+    joined = places.withColumns({f"_{c}": F.round(c, 3) for c in ("lat", "lon")}).join(held, ["_lat", "_lon"], "left")
+
+    def values(keys: tuple[str, ...]) -> Column:
+        """What the address has under the keys, in their order, without blanks."""
+        found = F.transform(F.array(*[F.lit(k) for k in keys]), lambda k: F.btrim(F.try_element_at(F.col("_address"), k)))
+        return F.filter(found, lambda v: v.isNotNull() & (v != ""))
+
+    named = joined.withColumn("_name", F.coalesce(F.get(values(NAME_KEYS), F.lit(0)), "_top"))
+    region = F.get(F.filter(values(REGION_KEYS), lambda v: ~v.eqNullSafe(F.col("_name"))), F.lit(0))
+    return named.select(*places.columns, F.col("_name").alias("name"), region.alias("region"))
 
 
 def beatmap(clips: DataFrame, beats: DataFrame, path: str) -> None:

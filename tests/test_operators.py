@@ -179,7 +179,7 @@ def test_telemetry_cues(spark):
 def test_half_open_spans_and_empty_ones(spark):
     frames = spark.createDataFrame([("f", float(t), float(t)) for t in range(10)], "file_id string, time_s double, v double")
     spans = spark.createDataFrame([("a", "f", 2.0, 4.0), ("b", "f", 50.0, 60.0), ("c", "g", 0.0, 5.0)], "seg_id string, file_id string, start_s double, end_s double")
-    assert rows(telemetry.span_means(spans, frames, ["v"], seconds=3.0)) == [("a", 2, 2.5), ("b", 0, 0.0), ("c", 0, 0.0)]
+    assert rows(telemetry.span_means(spans, frames, ["v"], seconds=3.0)) == [("a", 2, 2.5), ("b", 1, 9.0), ("c", 0, 0.0)]  # b takes the nearest frame
 
 
 def test_scalars(spark):
@@ -216,10 +216,64 @@ def test_empty_inputs(spark):
     assert report.header_counts(spark.createDataFrame([], "outcome string, reason string, seconds double")).count() <= 1
 
 
-def test_prompt_lines_table_function(spark):
-    soundtrack.register_prompt_lines(spark)
-    got = [r[0] for r in spark.sql("SELECT line FROM prompt_lines(100, 0.1, 0.5, 0.9, 'warm guitar, soft drums')").collect()]
-    assert got[0].startswith("[intro: sparse;") and got[-1] == "[end]"
+def test_a_cue_with_signs(spark):
+    text = "F/2.8, SS 50.00, ISO 200, EV +1.0, DZOOM 1.000, GPS (9.6850, 39.9664, 18), D 1.76m, H 22.70m, H.S 0.00m/s, V.S -0.00m/s"
+    signed = "ISO 100, EV -0.7, GPS (+9.68, -39.96, +18), V.S +1.5m/s"
+    cues = spark.createDataFrame([("f", 1, 0.0, text), ("f", 2, 1.0, signed), ("f", 3, 2.0, "no fields")], "file_id string, cue int, time_s double, text string")
+    got = {r.cue: r for r in telemetry.samples(cues).collect()}
+    assert sorted(got) == [1, 2]
+    r = got[1]
+    assert (r.height_m, r.speed_h_ms, r.speed_v_ms, r.lon, r.lat, r.gps_alt_m, r.iso, r.shutter, r.ev) == (22.7, 0.0, 0.0, 9.685, 39.9664, 18.0, 200, 50.0, 1.0)
+    r = got[2]
+    assert (r.height_m, r.speed_v_ms, r.lon, r.lat, r.gps_alt_m, r.iso, r.shutter, r.ev) == (None, 1.5, 9.68, -39.96, 18.0, 100, None, -0.7)
+
+
+def test_a_detected_source_wins_even_if_empty(spark):
+    first = spark.createDataFrame([("a", 0.0)], "file_id string, time_s double")
+    second = spark.createDataFrame([("a", 1.0), ("b", 2.0)], "file_id string, time_s double")
+    assert rows(telemetry.first_source(None, first, second), "file_id", "time_s") == [("a", 0.0), ("b", 2.0)]
+    files = spark.createDataFrame([("a", 1), ("b", 0), ("b", 1)], "file_id string, source_no int")
+    assert rows(telemetry.first_source(files, first, second), "file_id", "time_s") == [("a", 1.0)]
+
+
+def test_an_empty_window_takes_the_nearest_frame(spark):
+    frames = spark.createDataFrame([("f", 0.0, 1.0), ("f", 1.0, 2.0), ("f", 5.0, 6.0)], "file_id string, time_s double, sharpness double")
+    spans = spark.createDataFrame([("a", "f", 0.0, 1.5), ("b", "f", 2.0, 3.0), ("c", "f", 3.0, 4.0), ("d", "f", 9.0, 9.5), ("e", "none", 0.0, 1.0)], "seg_id string, file_id string, start_s double, end_s double")
+    assert rows(telemetry.span_means(spans, frames, ["sharpness"])) == [("a", 2, 1.5), ("b", 1, 2.0), ("c", 1, 2.0), ("d", 1, 6.0), ("e", 0, 0.0)]
+
+
+def test_nearest_fix_without_times(spark):
+    targets = spark.createDataFrame([(1, "a", 3.0), (2, "a", None), (3, "b", 1.0), (4, "c", 1.0)], "seg_id int, file_id string, time_s double")
+    fixes = spark.createDataFrame([("a", 1, 5.0, 1.0, 1.0), ("a", 2, 1.0, 2.0, 2.0), ("a", 3, 4.0, None, 3.0), ("b", 1, 1.0, 4.0, 4.0), ("b", 0, None, 5.0, 5.0)], "file_id string, seq int, time_s double, lat double, lon double")
+    tags = spark.createDataFrame([("c", 9.0, 9.0)], "file_id string, lat double, lon double")
+    assert rows(similarity.nearest_fix(targets, fixes, tags)) == [(1, 1.0, 1.0), (2, 1.0, 1.0), (3, 5.0, 5.0), (4, 9.0, 9.0)]
+
+
+def test_override_rules_are_not_dropped(spark, monkeypatch):
+    monkeypatch.setattr(rules, "MOST_OVERRIDES", 2)
+    with pytest.raises(ValueError):
+        rules.classify(rules.override_rules(spark, [("*", "phone")] * 3), spark.createDataFrame([], "path string"))
+
+
+def test_mood_words_along_a_scale(spark):
+    pool = F.array(*[F.lit(w) for w in ("sunny", "unknown", "still", "other")])
+    scale = ["still", "easy", "sunny", "bold"]
+    got = spark.range(1).select(soundtrack.mood_words(pool, scale, True, 3).alias("up"), soundtrack.mood_words(pool, scale, False, 2).alias("down")).first()
+    assert got.up == ["other", "unknown", "sunny"] and got.down == ["still", "sunny"]
+
+
+def test_prompts_of_every_shape_keep_the_rules(spark):
+    shapes = [("a", [0.1, 0.1, 0.15], 2), ("b", [0.9, 0.4, 0.1], 0), ("c", [0.1, 0.9, 0.1], 1), ("d", [0.1, 0.2, 0.9], 2), ("e", [], 1)]
+    edits = spark.createDataFrame(shapes, "prompt_id string, curve array<double>, peak int").withColumn("shape", soundtrack.energy_shape(F.col("curve"), F.col("peak")))
+    assert rows(edits, "prompt_id", "shape") == [("a", "flat"), ("b", "front"), ("c", "peak-middle"), ("d", "peak-late"), ("e", "flat")]
+    words = lambda *w: F.array(*[F.lit(x) for x in w]).cast("array<string>")
+    edits = edits.withColumns({"subject": F.lit("Stintino"), "time_of_day": F.lit(None).cast("string"), "bpm": F.lit(120), "genre": F.lit("Surf Rock"), "instruments": words("twangy reverb guitar", "driving drums", "warm bass"), "instrument_alternates": words(), "mood": words("sunny", "carefree"), "mood_alternates": words("breezy")})
+    for variant, first in ((0, "twangy reverb guitar"), (1, "warm bass")):
+        built = soundtrack.build_prompts(edits, variant)
+        assert soundtrack.violations(built.withColumn("instruments", F.col("prompt_instruments"))).count() == 0
+        one = built.where("prompt_id = 'c'").first()
+        assert one.title == "stintino, surf rock" and one.description.startswith(f"Surf Rock, {first}, driving drums, {('sunny', 'carefree')[variant]}, 120 bpm")
+        assert len(one.lines) == 17 and one.lines[-1] == "[end]" and one.lines[0] == "[sparse intro]"
 
 
 def test_streams(spark, tmp_path):

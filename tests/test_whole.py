@@ -1,4 +1,4 @@
-"""Queries over whole tables: plain loops over the smallest tables, and what the sampled queries leave out."""
+"""Queries over whole tables against plain loops over the smallest tables."""
 
 import pyarrow.parquet as pq
 import pytest
@@ -28,13 +28,13 @@ def events():
 
 
 def test_every_event_has_a_motion_slice(spark, events):
-    got = {r.seg_id: r.motion for r in QUERIES["motion_slices_all"](spark, SF).collect()}
+    got = {r.seg_id: r.motion for r in QUERIES["motion_slices"](spark, SF).collect()}
     expected = {i: ",".join(str(int(k)) for t, _, k, _ in own if c - 20000 <= t < c + 20000) for own in events.values() for c, i, _, _ in own}
     assert got == expected
 
 
 def test_late_times_get_the_part_that_plays(spark):
-    got = {r["at"]: r["order"] for r in QUERIES["part_at_time_all"](spark, SF).collect()}
+    got = {r["at"]: r["order"] for r in QUERIES["part_at_time"](spark, SF).collect()}
     parts = [r["p_partkey"] for r in rows("part")]
     assert got == {z: next((k for k in parts if 2 * k <= z < 2 * k + 1.5), max(parts)) for z in (r["n_nationkey"] * 7.25 for r in rows("nation"))}
     assert got[166.75] == 83
@@ -55,7 +55,7 @@ def near(limit):
 def test_odd_keys_have_neighbours_and_places(spark, tmp_path):
     spark.createDataFrame([(k,) for k in KEYS], "c_custkey long").write.parquet(str(tmp_path / "customer.parquet"))
     _, pairs = near(1200)
-    got = {(r.a, r.b) for r in QUERIES["haversine_places_all"](spark, str(tmp_path)).collect()}
+    got = {(r.a, r.b) for r in QUERIES["haversine_places"](spark, str(tmp_path)).collect()}
     assert got == pairs and any(a % 2 or b % 2 for a, b in got)
     ids, links = near(900)
     root = {i: i for i in ids}
@@ -63,7 +63,7 @@ def test_odd_keys_have_neighbours_and_places(spark, tmp_path):
         for a, b in links:
             root[a] = root[b] = min(root[a], root[b])
     order = {r: n for n, r in enumerate(sorted(set(root.values())))}
-    assert {r.id: r.place_id for r in QUERIES["place_components_all"](spark, str(tmp_path)).collect()} == {i: order[root[i]] for i in ids}
+    assert {r.id: r.place_id for r in QUERIES["place_components"](spark, str(tmp_path)).collect()} == {i: order[root[i]] for i in ids}
 
 
 def windows(events):
@@ -82,7 +82,7 @@ def windows(events):
 
 def test_windows_reach_the_last_event(spark, events):
     expected = windows(events)
-    got = {r.seg_id: r.centre_s for r in QUERIES["best_window_all"](spark, SF).collect()}
+    got = {r.seg_id: r.centre_s for r in QUERIES["best_window"](spark, SF).collect()}
     assert got.keys() == expected.keys() and max(int(s.split(":")[1]) for s in got) > 11
     assert got == {s: pytest.approx(c0 + 15000 if framed else (a + b) / 2, abs=1e-3) for s, (a, b, c0, _, framed) in expected.items()}
 
@@ -95,15 +95,15 @@ def test_snapping_reaches_the_last_event(spark, events):
         if framed and means[c0] is not None:
             good = [(lows[c], abs(c - c0), c) for c, m in means.items() if c in lows and means[c0] > 0 and 0 < abs(c - c0) <= 40000 and (means[c0] - m) / means[c0] <= 0.3]
             expected[s] = (pytest.approx(min(good)[2] if good else c0, abs=1e-3), bool(good))
-    assert {r.seg_id: (r.start_s, r.moved) for r in QUERIES["snap_to_minimum_all"](spark, SF).collect()} == expected
+    assert {r.seg_id: (r.start_s, r.moved) for r in QUERIES["snap_to_minimum"](spark, SF).collect()} == expected
 
 
 def test_labels_and_prompts_of_whole_texts(spark, tmp_path):
     lead = "word " * 100
     spark.createDataFrame([(3, lead + "Late"), (4, "late x"), (5, None)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
-    got = {r.label: (r.total, r.selected) for r in QUERIES["tag_carried_counts_all"](spark, str(tmp_path)).collect()}
+    got = {r.label: (r.total, r.selected) for r in QUERIES["tag_carried_counts"](spark, str(tmp_path)).collect()}
     assert got == {"word": (1, 1), "late": (2, 1), "x": (1, 0)}
-    text = "soft " * 60 + ", warm pads, slow drums, low strings, instrumental"
+    text = "soft " * 60 + ", warm pads, slow drums, low strings, no vocals, instrumental"
     spark.createDataFrame([(1, text)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
-    rules = {r.rule for r in QUERIES["prompt_validate_all"](spark, str(tmp_path)).collect()}
+    rules = {r.rule for r in QUERIES["prompt_validate"](spark, str(tmp_path)).collect()}
     assert not rules & {"missing_instrumental", "description_descriptor_count"} and "description_too_long" in rules
