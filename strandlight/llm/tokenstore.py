@@ -2,13 +2,15 @@
 
 Layout under one folder, all Parquet:
 
-* ``objects``: each unique chunk once: key (sha-256 of its ids), n, ids (little-endian, 16 bits where the vocabulary allows);
+* ``sections/kind=0``: each unique chunk once: key (sha-256 of its ids, 32 bits each), n, ids (little-endian, 16 bits each where all fit, else 32);
 * ``recipes``: for each document, ascending by doc_id: the keys of its chunks in order, start, n_tokens, ids_crc32 and the Merkle root over the keys;
 * ``manifest``: for each recipes part the Merkle root over its documents' roots.
 
 Chunks end where a rolling hash of the last WINDOW ids has MASK bits zero, so equal passages give
 equal chunks wherever they stand.  Null text is the empty text; a document of only the end id is one
-chunk.  Repeated doc_ids are kept as separate documents.
+chunk.  Repeated doc_ids, and repeated rows, are kept as separate documents; of equal ids the smaller
+CRC and then count comes first, and null ids come before all.  A very long text is one document of many chunks.  An
+empty table gives a store without rows.  Columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -19,17 +21,18 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strandlight.llm.common import shared_folder
+from strandlight.llm.common import cut_lineage, groups_for, shared_folder
 from strandlight.llm.wordcodec import codec
 
 WINDOW = 16
 MASK = 0xFF  # a cut each 256 ids on average
 LEAST, MOST = 64, 2048
-WIDTH = 2
-REMEMBERED = 500_000  # chunk keys that a task remembers, so as not to send a chunk again
+REMEMBERED = 250_000  # chunk keys that a task remembers, so as not to send a chunk again
+DOCUMENTS_PER_PART = 20_000  # of a recipes part, which one task numbers and one group's Merkle tree covers
+SENT_BYTES = 8 << 20  # of chunks and keys that a task hands over at once
 
 _MULTIPLIERS = None
 
@@ -73,62 +76,69 @@ def merkle_root(leaves: list[bytes]) -> bytes:
 ROWS = "bucket long, kind int, key binary, doc_id long, n int, crc long, keys binary, ids binary"
 
 
+def packed(ids: np.ndarray) -> bytes:
+    """``ids`` (32 bits) as they are stored: in 16 bits each if all fit."""
+    return (ids if int(ids.max(initial=0)) >> 16 else ids.astype("<u2")).tobytes()
+
+
+def unpacked(data: bytes, n: int) -> bytes:
+    """The ``n`` stored ids in 32 bits each."""
+    return data if n and len(data) // n == 4 else np.frombuffer(data, "<u2").astype("<u4").tobytes()
+
+
 def _sections(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     """Recipe rows (kind 1) and chunk rows (kind 0, at most one for each chunk and task while remembered)."""
 
+    def batch_of(kind, bucket, key, doc_id, n, crc, keys, ids):
+        rows = len(n)
+        columns = (bucket, [kind] * rows, key or pa.nulls(rows), doc_id or pa.nulls(rows), n, crc or pa.nulls(rows), keys or pa.nulls(rows), ids or pa.nulls(rows))
+        types = (pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
+        return pa.RecordBatch.from_arrays([c.cast(t) if isinstance(c, pa.NullArray) else pa.array(c, t) for c, t in zip(columns, types)], names=[x.split()[0] for x in ROWS.split(", ")])
+
     def sections(batches):
         words, end, sent, row = codec(tokenizer), end_id.to_bytes(4, "little"), set(), 0
+        sha, number = hashlib.sha256, int.from_bytes
         for batch in batches:
-            out = [[] for _ in range(8)]
-            held = 0
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                wide = words.encode(text or "") + end
+            chunks, recipes, held = ([], [], [], []), ([], [], [], [], []), 0
+            for doc_id, text in zip(batch.column(0), batch.column(1)):
+                wide = words.encode(text.as_py() or "") + end
                 ids = np.frombuffer(wide, "<u4")
-                if WIDTH == 2 and int(ids.max()) >> 16:
-                    raise ValueError("ids over 16 bits")
-                short = ids.astype(f"<u{WIDTH}").tobytes()
                 keys, start = [], 0
                 for stop in boundaries(ids):
-                    part = short[WIDTH * start : WIDTH * stop]
-                    key = hashlib.sha256(part).digest()
+                    key = sha(wide[4 * start : 4 * stop]).digest()
                     keys.append(key)
                     if key not in sent:
                         if len(sent) >= REMEMBERED:
                             sent.clear()
                         sent.add(key)
+                        part = packed(ids[start:stop])
                         held += len(part)
-                        for column, value in zip(out, (int.from_bytes(key[:8], "little", signed=True), 0, key, None, stop - start, None, None, part)):
-                            column.append(value)
+                        chunks[0].append(number(key[:8], "little", signed=True))
+                        chunks[1].append(key)
+                        chunks[2].append(stop - start)
+                        chunks[3].append(part)
                     start = stop
                 crc, row = zlib.crc32(wide), row + 1
-                for column, value in zip(out, (int.from_bytes(hashlib.sha256(b"%d %d" % (crc, row)).digest()[:8], "little", signed=True), 1, None, doc_id, len(ids), crc, b"".join(keys), None)):
-                    column.append(value)
-                if held > 16 << 20:
-                    yield batch_of(out)
-                    out, held = [[] for _ in range(8)], 0
-            yield batch_of(out)
-
-    def batch_of(out):
-        types = (pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names=[x.split()[0] for x in ROWS.split(", ")])
+                recipes[0].append(number(sha(b"%d %d" % (crc, row)).digest()[:8], "little", signed=True))
+                recipes[1].append(doc_id.as_py())
+                recipes[2].append(len(ids))
+                recipes[3].append(crc)
+                recipes[4].append(b"".join(keys))
+                held += 32 * len(keys)
+                if held > SENT_BYTES:
+                    yield batch_of(0, chunks[0], chunks[1], None, chunks[2], None, None, chunks[3])
+                    yield batch_of(1, recipes[0], None, *recipes[1:], None)
+                    chunks, recipes, held = ([], [], [], []), ([], [], [], [], []), 0
+            yield batch_of(0, chunks[0], chunks[1], None, chunks[2], None, None, chunks[3])
+            yield batch_of(1, recipes[0], None, *recipes[1:], None)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(sections, ROWS)
 
 
 def _unique(rows: DataFrame) -> DataFrame:
-    """Keeps the first row of each chunk key; equal keys share a partition and stand next to each other."""
-
-    def first(batches):
-        last = None
-        for batch in batches:
-            keep = []
-            for key in batch.column(2).to_pylist():
-                keep.append(key is None or key != last)
-                if key is not None:
-                    last = key
-            yield batch.filter(pa.array(keep, pa.bool_()))
-
-    return rows.mapInArrow(first, ROWS)
+    """Recipe rows, and of the chunk rows one for each key.  Rows are dealt by bucket, which a key decides."""
+    place = F.row_number().over(Window.partitionBy("bucket", "key").orderBy("kind"))
+    return rows.withColumn("_place", place).where("kind = 1 or _place = 1").drop("_place")
 
 
 def _stored(spark: SparkSession, folder: str, kind: int) -> DataFrame:
@@ -140,67 +150,85 @@ def write_store(docs: DataFrame, folder: str, tokenizer: str, end_id: int) -> No
     """Encode ``docs`` and write the store.  One shuffle carries the chunks to where they are stored."""
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sent = _sections(docs, tokenizer, end_id).repartition(parts, F.col("bucket")).sortWithinPartitions("key")
+    sent = _sections(docs, tokenizer, end_id).repartition(parts, F.col("bucket"))
     _unique(sent).write.partitionBy("kind").option("compression", "zstd").parquet(f"{folder}/sections")
-    recipes = _stored(spark, folder, 1).select("doc_id", "n", "crc", "keys")
-    _write_recipes(spark, recipes, folder, parts)
+    _write_recipes(spark, _stored(spark, folder, 1).select("doc_id", "n", "crc", "keys"), folder)
 
 
-def _write_recipes(spark: SparkSession, recipes: DataFrame, folder: str, parts: int) -> None:
+def _write_recipes(spark: SparkSession, recipes: DataFrame, folder: str) -> None:
     """Recipes ascending by doc_id (nulls first), with each document's start; then the manifest."""
-    ordered = recipes.repartitionByRange(parts, "doc_id", "crc", "n").sortWithinPartitions("doc_id", "crc", "n")
-    ordered.withColumn("part", F.spark_partition_id()).write.option("compression", "zstd").parquet(f"{folder}/ordered")
-    ordered = spark.read.parquet(f"{folder}/ordered")
+    order = ("doc_id", "crc", "n")
+    parts = groups_for(recipes.count(), DOCUMENTS_PER_PART)
+    # kept once in order, so that counts and starts are taken from the same partitions
+    ordered = cut_lineage(recipes.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id()))
     starts, total = {}, 0
     for r in ordered.groupBy("part").agg(F.sum("n").alias("n")).orderBy("part").collect():  # a row for each partition
         starts[r.part], total = total, total + r.n
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long, keys binary, root binary, part int"
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    def number(batches):
+        at = None
+        for batch in batches:
+            if len(batch):
+                n = batch.column(1).to_numpy().astype(np.int64)
+                at = starts[batch.column(4)[0].as_py()] if at is None else at
+                ends = at + np.cumsum(n)
+                roots = [merkle_root(_leaves(k)) for k in batch.column(3).to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ends - n), pa.array(n), batch.column(2), batch.column(3), pa.array(roots, pa.binary()), batch.column(4)], names=names)
+                at = int(ends[-1])
 
-    def number(group: pa.Table) -> pa.Table:
-        group = group.sort_by([("doc_id", "ascending"), ("crc", "ascending"), ("n", "ascending")])
-        doc_ids = group.column("doc_id").to_pylist()
-        nulls = [i for i, d in enumerate(doc_ids) if d is None]
-        if nulls:
-            group = group.take(pa.array(nulls + [i for i, d in enumerate(doc_ids) if d is not None], pa.int64()))
-        n = group.column("n").to_numpy().astype(np.int64)
-        part = group.column("part")[0].as_py()
-        start = starts[part] + np.cumsum(n) - n
-        roots = [merkle_root([k[i : i + 32] for i in range(0, len(k), 32)]) for k in group.column("keys").to_pylist()]
-        return pa.table([group.column("doc_id"), pa.array(start), pa.array(n), group.column("crc"), group.column("keys"), pa.array(roots, pa.binary()), group.column("part")], names=[x.split()[0] for x in schema.split(", ")])
-
-    numbered = ordered.groupBy("part").applyInArrow(number, schema)
-    numbered.sortWithinPartitions("part", "start").write.option("compression", "zstd").parquet(f"{folder}/recipes")
+    ordered.mapInArrow(number, schema).write.option("compression", "zstd").parquet(f"{folder}/recipes")
 
     def shard(group: pa.Table) -> pa.Table:
         group = group.sort_by("start")
         return pa.table({"part": group.column("part")[:1], "documents": pa.array([len(group)], pa.int64()), "root": pa.array([merkle_root(group.column("root").to_pylist())], pa.binary())})
 
-    spark.read.parquet(f"{folder}/recipes").select("part", "start", "root").groupBy("part").applyInArrow(shard, "part int, documents long, root binary").write.parquet(f"{folder}/manifest")
+    spark.read.schema(schema).parquet(f"{folder}/recipes").select("part", "start", "root").groupBy("part").applyInArrow(shard, "part int, documents long, root binary").write.parquet(f"{folder}/manifest")
 
 
-def crc32_append(crc_a: int, crc_b: int, matrix: list[int]) -> int:
-    """CRC-32 of two byte strings in a row from those of each; ``matrix`` moves a CRC past the second."""
-    out, k = 0, 0
-    while crc_a:
-        if crc_a & 1:
-            out ^= matrix[k]
-        crc_a >>= 1
-        k += 1
-    return out ^ crc_b
+def _leaves(keys: bytes) -> list[bytes]:
+    return [keys[i : i + 32] for i in range(0, len(keys), 32)]
 
 
-_SHIFTS: dict[int, list[int]] = {}
+_SHIFTS: dict[int, np.ndarray] = {}
 
 
-def _shift(n_bytes: int) -> list[int]:
+def _shift(n_bytes: int) -> np.ndarray:
     """The linear map that n zero bytes apply to a CRC: its value on each single bit."""
     if n_bytes not in _SHIFTS:
         zeros = b"\0" * n_bytes
         base = zlib.crc32(zeros)
-        _SHIFTS[n_bytes] = [zlib.crc32(zeros, 1 << k) ^ base for k in range(32)]
+        _SHIFTS[n_bytes] = np.array([zlib.crc32(zeros, 1 << k) ^ base for k in range(32)], np.uint32)
     return _SHIFTS[n_bytes]
 
 
+def crc32_append(before: np.ndarray, after: np.ndarray, shifts: np.ndarray) -> np.ndarray:
+    """CRC-32 of two byte strings in a row from those of each; ``shifts`` move a CRC past the second ones."""
+    out = after.copy()
+    for k in range(32):
+        out ^= np.where(before >> np.uint32(k) & np.uint32(1), shifts[:, k], np.uint32(0))
+    return out
+
+
+def joined_crcs(rows: np.ndarray, n: np.ndarray, crcs: np.ndarray, total: int) -> np.ndarray:
+    """Each of ``total`` documents' CRC-32 from those of its chunks of ``n`` ids, which stand in order by ``rows``, the documents' numbers.
+
+    The k-th chunks of all documents are appended together.
+    """
+    sizes, which = np.unique(n, return_inverse=True)
+    shifts = np.stack([_shift(4 * int(x)) for x in sizes]) if len(sizes) else np.zeros((0, 32), np.uint32)
+    begins = np.searchsorted(rows, np.arange(total))
+    counts = np.searchsorted(rows, np.arange(total), side="right") - begins
+    out = np.zeros(total, np.uint32)
+    out[counts > 0] = crcs[begins[counts > 0]]
+    for k in range(1, int(counts.max(initial=0))):
+        more = np.flatnonzero(counts > k)
+        at = begins[more] + k
+        out[more] = crc32_append(out[more], crcs[at], shifts[which[at]])
+    return out
+
+
 def read_store(spark: SparkSession, folder: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32, verified) from the files alone.
 
@@ -213,32 +241,30 @@ def read_store(spark: SparkSession, folder: str) -> DataFrame:
 
     def read(batches):
         for batch in batches:
-            rows = []
-            for key, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if hashlib.sha256(ids).digest() == key:
-                    wide = np.frombuffer(ids, f"<u{WIDTH}").astype("<u4").tobytes()
-                    rows.append((key, len(wide) // 4, zlib.crc32(wide)))
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.int64())], names=["key", "n", "crc"])
-
-    objects = _stored(spark, folder, 0).select("key", "ids").mapInArrow(read, "key binary, n int, crc long")
+            good, crcs = [], []
+            for key, n, ids in zip(*(c.to_pylist() for c in batch.columns)):
+                wide = unpacked(ids, n)
+                good.append(len(wide) == 4 * n and hashlib.sha256(wide).digest() == key)
+                crcs.append(zlib.crc32(wide))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(crcs, pa.int64())], names=["key", "n", "crc"]).filter(pa.array(good, pa.bool_()))
+
+    objects = _stored(spark, folder, 0).select("key", "n", "ids").mapInArrow(read, "key binary, n int, crc long")
     recipes = spark.read.parquet(f"{folder}/recipes")
     uses = recipes.select("start", F.expr("explode(transform(sequence(0, length(keys) div 32 - 1), i -> struct(i as pos, substring(keys, i * 32 + 1, 32) as key)))").alias("u")).select("start", "u.pos", "u.key")
     joined = uses.join(objects, "key", "left").groupBy("start").agg(F.collect_list(F.struct("pos", "n", "crc")).alias("parts"))
 
     def combine(batches):
         for batch in batches:
-            ns, crcs = [], []
-            for parts in batch.column(1).to_pylist():
-                n, crc = 0, 0
-                for p in sorted(parts, key=lambda p: p["pos"]):
-                    if p["n"] is None:
-                        n = None
-                        break
-                    crc = crc32_append(crc, p["crc"], _shift(4 * p["n"])) if n else p["crc"]
-                    n += p["n"]
-                ns.append(n)
-                crcs.append(None if n is None else crc)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ns, pa.int64()), pa.array(crcs, pa.int64())], names=["start", "read_n", "read_crc"])
+            parts = batch.column(1)
+            flat, rows = parts.flatten(), np.repeat(np.arange(len(batch)), parts.value_lengths().to_numpy())
+            pos, n, crcs = (flat.field(k) for k in range(3))
+            lost = np.unique(rows[n.is_null().to_numpy(zero_copy_only=False)])
+            n, crcs = n.fill_null(0).to_numpy().astype(np.int64), crcs.fill_null(0).to_numpy().astype(np.uint32)
+            order = np.lexsort((pos.to_numpy(), rows))
+            total = np.bincount(rows, n, len(batch)).astype(np.int64)
+            whole = joined_crcs(rows[order], n[order], crcs[order], len(batch)).astype(np.int64)
+            bad = np.isin(np.arange(len(batch)), lost)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(total, mask=bad), pa.array(whole, mask=bad)], names=["start", "read_n", "read_crc"])
 
     found = joined.mapInArrow(combine, "start long, read_n long, read_crc long")
     out = recipes.select("doc_id", "start", "n_tokens", "ids_crc32").join(found, "start", "left").join(_rooted(spark, folder), "start", "full")
@@ -254,7 +280,7 @@ def _rooted(spark: SparkSession, folder: str) -> DataFrame:
 
     def roots(batches):
         for batch in batches:
-            own = [merkle_root([k[i : i + 32] for i in range(0, len(k), 32)]) for k in batch.column(2).to_pylist()]
+            own = [merkle_root(_leaves(k)) for k in batch.column(2).to_pylist()]
             same = [a == b for a, b in zip(own, batch.column(3).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(own, pa.binary()), pa.array(same, pa.bool_())], names=["part", "start", "root", "same"])
 
@@ -275,13 +301,13 @@ def _rooted(spark: SparkSession, folder: str) -> DataFrame:
 def read_documents(spark: SparkSession, folder: str) -> DataFrame:
     """(doc_id, start, ids array<int>): whole documents put together from their chunks."""
     recipes = spark.read.parquet(f"{folder}/recipes")
-    objects = _stored(spark, folder, 0).select("key", F.col("ids").alias("part"))
+    objects = _stored(spark, folder, 0).select("key", F.col("n").alias("size"), F.col("ids").alias("part"))
     uses = recipes.select("doc_id", "start", F.expr("explode(transform(sequence(0, length(keys) div 32 - 1), i -> struct(i as pos, substring(keys, i * 32 + 1, 32) as key)))").alias("u")).select("doc_id", "start", "u.pos", "u.key")
-    parts = uses.join(objects, "key").groupBy("doc_id", "start").agg(F.array_sort(F.collect_list(F.struct("pos", "part"))).alias("p"))
+    parts = uses.join(objects, "key").groupBy("doc_id", "start").agg(F.array_sort(F.collect_list(F.struct("pos", "size", "part"))).alias("p"))
 
     def join(batches):
         for batch in batches:
-            ids = [np.frombuffer(b"".join(x["part"] for x in p), f"<u{WIDTH}").astype(np.int32).tolist() for p in batch.column(2).to_pylist()]
+            ids = [np.frombuffer(b"".join(unpacked(x["part"], x["size"]) for x in p), "<i4").tolist() for p in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "start", "ids"])
 
     return parts.mapInArrow(join, "doc_id long, start long, ids array<int>")
