@@ -10,6 +10,7 @@ Null text packs as the empty text.  An empty table gives no rows.  Repeated rows
 
 from __future__ import annotations
 
+import itertools
 import zlib
 
 import numpy as np
@@ -22,7 +23,6 @@ from strandlight.llm.wordcodec import codec
 
 CAPACITY = 2048
 PER_PARTITION = 50_000  # items packed by one task; bounds its memory
-ROUNDS = 4
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, deal long"
 
@@ -105,11 +105,11 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[
     return bins, offsets, capacity - np.array(room_of, np.int64)
 
 
-def pack(items: DataFrame, capacity: int = CAPACITY, per_partition: int = PER_PARTITION, rounds: int = ROUNDS, report: list | None = None) -> DataFrame:
+def pack(items: DataFrame, capacity: int = CAPACITY, per_partition: int = PER_PARTITION, report: list | None = None) -> DataFrame:
     """``items`` (with ``length`` from 1 to capacity and ``deal``, any number) and for each
     ``sequence_id``, ``offset``, ``certified`` (its partition met its lower bound).
 
-    ``report``, if given, gets a (bins, lower bound) of each round's partitions, summed.
+    Partitions exchange as long as that saves a bin.  ``report``, if given, gets a (bins, lower bound) of each round's partitions, summed.
     """
     names = items.columns
     schema = items.schema.simpleString()[len("struct<") : -1]
@@ -138,7 +138,7 @@ def pack(items: DataFrame, capacity: int = CAPACITY, per_partition: int = PER_PA
     final = None
     if report is not None:
         report.append(tuple(totals(current)))
-    for turn in range(1, rounds + 1):
+    for turn in itertools.count(1):
         gap = F.col("bins") > F.col("bound")
         pool = current.where(gap & (F.col("slack") > 0))
         n, before = pool.agg(F.count(F.lit(1)), F.count_distinct("part", "bin")).first()
@@ -154,7 +154,7 @@ def pack(items: DataFrame, capacity: int = CAPACITY, per_partition: int = PER_PA
         final = kept if final is None else final.unionByName(kept)
         current = again
     final = current if final is None else final.unionByName(current)
-    sequence = (F.col("turn").cast("long") * F.lit(1 << 58)) + F.col("part").cast("long") * F.lit(1 << 26) + F.col("bin")
+    sequence = F.col("turn").cast("long") * F.lit(1 << 54) + F.col("part").cast("long") * F.lit(1 << 20) + F.col("bin")
     return final.select(*names, sequence.alias("sequence_id"), "offset", (F.col("bins") <= F.col("bound")).alias("certified"))
 
 
