@@ -2,11 +2,13 @@
 
 The URLs that a rule decides are the labelled ones (block is 1).  Trees are grown on a bounded sample
 of them, on histograms of lexical features: lengths, depth, digit ratio, entropy, parameter counts, and
-the smoothed block rate of the host's suffixes.  The model becomes SQL expressions, so that every URL is scored
-within generated code, without Python.
+the smoothed block rate of the host's suffixes.  The trees become SQL expressions, and the suffix rates tables to join with, so
+that every URL is scored within the JVM, without Python.
 
 Null URLs, and those without ``://``, have an empty host and path and no rule; their verdict is the
 trees'.  Without labelled URLs, or with one verdict alone among them, that verdict (or ``allow``) stands for all.
+Repeated rows give repeated results, and a URL counts once in the sample.  Of equally long rules the first wins, of equally good cuts the first
+feature's lowest.  Very long URLs are read whole; lengths and entropy are of code points.  An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -20,7 +22,6 @@ from pyspark.sql import functions as F
 
 SAMPLE = 20_000  # labelled URLs that trees are grown on at most
 TREES, DEPTH, RATE, BINS = 24, 3, 0.3, 32
-SUFFIXES = 200  # suffixes with statistics at most, the most frequent of the sample
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
@@ -51,11 +52,16 @@ def lexical(url: Column) -> dict[str, Column]:
     host, path = F.col("host"), F.col("path")
     query = F.regexp_extract(url, r"(?s)^[^?#]*\?([^#]*)", 1)
     length = F.length(url)
-    chars = F.split(url, "(?s)")
-    # Shannon entropy over the characters, of at most 64 kinds by what is left when one is taken out
-    kinds = F.array_distinct(F.filter(chars, lambda c: c != ""))
-    share = lambda c: (length - F.length(F.replace(url, c))) / length
-    entropy = F.when(length > 0, -F.aggregate(kinds, F.lit(0.0), lambda acc, c: acc + share(c) * F.log2(share(c)))).otherwise(0.0)
+    chars = F.array_sort(F.regexp_extract_all(url, F.lit("(?s)."), F.lit(0)))
+
+    def run(state: Column, c: Column) -> Column:
+        """One more of the same character, or the first of the next: sum has n * log2(n) of the runs before."""
+        same = state["last"] == c
+        return F.struct(c.alias("last"), F.when(same, state["n"] + 1).otherwise(F.lit(1.0)).alias("n"), F.when(same, state["sum"]).otherwise(state["sum"] + state["n"] * F.log2(state["n"])).alias("sum"))
+
+    runs = F.aggregate(chars, F.struct(F.lit("").alias("last"), F.lit(1.0).alias("n"), F.lit(0.0).alias("sum")), run, lambda state: state["sum"] + state["n"] * F.log2(state["n"]))
+    # Shannon entropy over the characters
+    entropy = F.when(length > 0, F.log2(length) - runs / length).otherwise(0.0)
     found = {
         "length": length,
         "host_length": F.length(host),
@@ -167,7 +173,7 @@ def fit(pages: DataFrame, rules=RULES, sample: int = SAMPLE) -> Trees:
             stats = got[half != h].groupby("s_" + name)["blocked"].agg(["sum", "count"])
             rate = (stats["sum"] + 5 * prior) / (stats["count"] + 5)
             own[half == h] = keys[half == h].map(rate).fillna(prior)
-        stats = got.groupby("s_" + name)["blocked"].agg(["sum", "count"]).reset_index().sort_values(["count", "s_" + name], ascending=[False, True])[:SUFFIXES]
+        stats = got.groupby("s_" + name)["blocked"].agg(["sum", "count"]).reset_index()
         rates[name] = {k: round(float((s + 5 * prior) / (c + 5)), 6) for k, s, c in zip(stats["s_" + name], stats["sum"], stats["count"])}
         columns.append(own[:, None])
     base, trees = boost(np.concatenate(columns, axis=1), blocked)
@@ -183,17 +189,18 @@ def _expression(tree, names: list[str]) -> Column:
 
 def judge(pages: DataFrame, model: Trees | None = None, rules=RULES) -> DataFrame:
     """(page_id, host, path, rule, verdict, score): score is the trees' chance of block, for all URLs."""
+    spark = pages.sparkSession
     model = model or fit(pages, rules)
     rule, verdict = rule_of(rules)
     own = with_parts(pages.select("page_id", F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url")))
     if model.constant is not None:
         return own.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, F.lit(model.constant)).alias("verdict"), F.lit(1.0 if model.constant == "block" else 0.0).alias("score"))
-    suffixes = {}
-    for name, column in suffix_columns().items():
-        table = F.create_map(*[F.lit(x) for pair in model.rates[name].items() for x in pair])
-        suffixes["s_" + name] = F.coalesce(F.try_element_at(table, column), F.lit(model.prior))
-    own = own.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("_verdict"), *[c.alias(k) for k, c in lexical(F.col("url")).items()], *[c.alias(k) for k, c in suffixes.items()])
-    names = [*FEATURES, *suffixes]
+    own = own.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("_verdict"), *[c.alias(k) for k, c in lexical(F.col("url")).items()], *[c.alias("k_" + k) for k, c in suffix_columns().items()])
+    for name, rates in model.rates.items():
+        # one row for each suffix of the sample, and so of a bounded size
+        table = spark.createDataFrame(list(rates.items()), f"k_{name} string, s_{name} double")
+        own = own.join(F.broadcast(table), "k_" + name, "left").withColumn("s_" + name, F.coalesce("s_" + name, F.lit(model.prior)))
+    names = [*FEATURES, *("s_" + name for name in model.rates)]
     odds = F.lit(model.base)
     for tree in model.trees:
         odds = odds + _expression(tree, names)
