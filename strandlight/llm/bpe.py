@@ -1,12 +1,16 @@
 """BPE encoding and decoding by a table of distinct words.
 
-The texts are cut into words where the tokenizer itself must cut.  The corpus's distinct words form
-a table dealt by word; each is encoded once there, and its ids are decoded by a join with
-the vocabulary (id to piece).  The results go back to the blocks of documents that use the word,
-and each document's ids are put together by position.
+The texts are cut into words where the tokenizer itself must cut, in blocks of some megabytes of text.  Each block sends
+its distinct words to buckets dealt by word, and each document becomes the positions of its words among its block's.  A bucket's
+distinct words are encoded once.  Their ids go back to the blocks; the pieces of a block's ids come from a join with
+the vocabulary (id to piece), and documents are put together by position.
 
-A block is some thousand neighbouring rows, so a word travels once for each block, not for each time
-it occurs.  Null text encodes as the empty text; repeated rows give repeated results.
+A word travels once for each block, not for each time it occurs, and texts do not travel.  Rows are at most the blocks' distinct words, in
+proportion to the corpus.  A task holds a block (BLOCK_BYTES of text, or one longer text) or the distinct words of a bucket
+(about WORDS_PER_BUCKET), whatever the corpus.
+
+Null text encodes as the empty text; repeated rows give repeated results; a very long text is a block of its own.  An
+empty table gives no rows.  Columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -14,186 +18,232 @@ from __future__ import annotations
 import hashlib
 import json
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+import zstandard
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandlight.llm.common import cut_lineage
 from strandlight.llm.wordcodec import BYTE_LETTERS, codec, cut_spaced
 
-BLOCK_ROWS = 8192
+BLOCK_BYTES = 12 << 20  # of text; a block ends with the row that reaches it
 WORDS_PER_BUCKET = 400_000
+BYTES_PER_WORD = 40  # of text for each distinct word of a corpus, at least
+
+
+def _shrunk(data: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(data)
+
+
+def _grown(data: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(data)
+
+
+def pack_numbers(values: np.ndarray) -> bytes:
+    """32-bit numbers, byte by byte of significance: the high bytes are nearly all alike."""
+    return _shrunk(np.ascontiguousarray(values.astype("<u4")).view(np.uint8).reshape(-1, 4).T.tobytes())
 
 
-def row_blocks(rows: int = BLOCK_ROWS) -> Column:
-    """A block for each run of ``rows`` neighbouring rows of a file; the same whenever it is read."""
-    return F.xxhash64(F.col("_metadata.file_path"), F.expr(f"_metadata.row_index div {rows}"))
+def unpack_numbers(data: bytes) -> np.ndarray:
+    return np.frombuffer(_grown(data), np.uint8).reshape(4, -1).T.copy().view("<u4").ravel()
 
 
-def pack_words(words: list[str]) -> bytes:
-    """Sorted words share beginnings, which compresses well."""
-    return zlib.compress("\0".join(words).encode("utf-8", "surrogatepass"), 1)
+def pack_words(words: list[str]) -> tuple[bytes, bytes]:
+    """(text, lengths in characters).  Sorted words share beginnings, which compresses well."""
+    return _shrunk("".join(words).encode("utf-8", "surrogatepass")), pack_numbers(np.fromiter(map(len, words), np.uint32, len(words)))
 
 
-def unpack_words(data: bytes) -> list[str]:
-    return zlib.decompress(data).decode("utf-8", "surrogatepass").split("\0")
+def unpack_words(text: bytes, lengths: bytes) -> list[str]:
+    whole, ends = _grown(text).decode("utf-8", "surrogatepass"), np.cumsum(unpack_numbers(lengths)).tolist()
+    return [whole[a:b] for a, b in zip([0, *ends], ends)]
 
 
 def id_to_piece(spark: SparkSession, tokenizer: str) -> DataFrame:
     """(id, piece): the bytes that each id of a byte-level vocabulary stands for.  Its size is that of the vocabulary."""
     with open(tokenizer, encoding="utf-8") as f:
         spec = json.load(f)
-    byte_of = {v: k for k, v in BYTE_LETTERS.items()}
-    pieces = {i: bytes(byte_of[ord(c)] for c in piece) for piece, i in spec["model"]["vocab"].items()}
+    byte_of = {letter: byte for byte, letter in enumerate(BYTE_LETTERS)}
+    pieces = {i: bytes(byte_of[c] for c in piece) for piece, i in spec["model"]["vocab"].items()}
     pieces |= {t["id"]: t["content"].encode() for t in spec["added_tokens"]}
     rows = pa.table({"id": pa.array(list(pieces), pa.int32()), "piece": pa.array(list(pieces.values()), pa.binary())})
     return spark.createDataFrame(rows)
 
 
-def word_table(docs: DataFrame, tokenizer: str, buckets: int) -> DataFrame:
-    """(bucket, block, words): the distinct words of each block, packed, by the bucket of words that will encode them.
+class _Numbers(dict):
+    """Words numbered as they come."""
 
-    ``docs`` has block and text.  Word lists travel packed; the distinct words of a bucket are
-    made in one task, which holds about WORDS_PER_BUCKET of them.
-    """
+    def __missing__(self, word: str) -> int:
+        self[word] = number = len(self)
+        return number
 
-    def lists(batches):
-        seen: dict[int, set[str]] = {}
-        held = 0
 
-        def flush():
-            for block, words in seen.items():
-                for bucket, own in bucketed(words, buckets).items():
-                    yield bucket, block, pack_words(own)
-            seen.clear()
+def _blocks(batches: Iterator[pa.RecordBatch], most_bytes: int) -> Iterator[tuple[int, list, list[np.ndarray], _Numbers]]:
+    """(block, doc_ids, each document's words as numbers, the words) of a task's rows (doc_id, text).  Blocks are numbered by task and turn."""
+    task, turn = TaskContext.get().partitionId(), 0
+    ids, rows, numbers, held = [], [], _Numbers(), 0
+    for batch in batches:
+        for doc_id, text in zip(batch.column(0), batch.column(1)):
+            text = text.as_py() or ""
+            words = cut_spaced(text) if text else []
+            ids.append(doc_id.as_py())
+            rows.append(np.fromiter(map(numbers.__getitem__, words), np.uint32, len(words)))
+            held += len(text) + 16
+            if held >= most_bytes:
+                yield task << 32 | turn, ids, rows, numbers
+                turn += 1
+                ids, rows, numbers, held = [], [], _Numbers(), 0
+    if ids:
+        yield task << 32 | turn, ids, rows, numbers
 
-        def batch_of(rows):
-            b, k, w = zip(*rows)
-            return pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), pa.array(k, pa.int64()), pa.array(w, pa.binary())], names=["bucket", "block", "words"])
 
-        for batch in batches:
-            for block, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if text:
-                    words = cut_spaced(text)
-                    seen.setdefault(block, set()).update(words)
-                    held += len(text)
-            if held > 64 << 20:
-                if rows := list(flush()):
-                    yield batch_of(rows)
-                held = 0
-        if rows := list(flush()):
-            yield batch_of(rows)
-
-    return docs.select("block", "text").mapInArrow(lists, "bucket int, block long, words binary")
-
-
-def bucketed(words, buckets: int) -> dict[int, list[str]]:
-    """Each bucket's words, sorted.  Words with the byte that parts packed words are left to the reader."""
+def _dealt(words: _Numbers, buckets: int) -> list[tuple[int, list[str]]]:
+    """Each bucket's words, sorted, by bucket."""
     out: dict[int, list[str]] = {}
     for w in words:
-        if w and "\0" not in w:
-            out.setdefault(zlib.crc32(w.encode("utf-8", "surrogatepass")) % buckets, []).append(w)
+        out.setdefault(zlib.crc32(w.encode("utf-8", "surrogatepass")) % buckets, []).append(w)
     for own in out.values():
         own.sort()
-    return out
+    return sorted(out.items())
 
 
-def checksum(words: list[str]) -> int:
+def _check(words: list[str]) -> int:
     return zlib.crc32("\0".join(words).encode("utf-8", "surrogatepass"))
 
 
-def encoded_words(lists: DataFrame, tokenizer: str) -> DataFrame:
+def word_lists(docs: DataFrame, buckets: int, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(bucket, block, words, lengths): the distinct words of each block of ``docs`` (doc_id, text), by the bucket that will encode them."""
+    names = ["bucket", "block", "words", "lengths"]
+
+    def lists(batches):
+        for block, _, _, numbers in _blocks(batches, block_bytes):
+            rows = [(bucket, block, *pack_words(own)) for bucket, own in _dealt(numbers, buckets)]
+            for at in range(0, len(rows), 1000):
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[at : at + 1000]), (pa.int32(), pa.int64(), pa.binary(), pa.binary()))], names=names)
+
+    return docs.mapInArrow(lists, "bucket int, block long, words binary, lengths binary")
+
+
+def encoded_words(lists: DataFrame, tokenizer: str, buckets: int) -> DataFrame:
     """Each bucket's distinct words, encoded once: (block, bucket, check, counts, ids), where counts and ids stand for the
     block's words of that bucket in sorted order, and ``check`` is those words' checksum.  The words themselves need not travel back."""
+    names = ["block", "bucket", "check", "counts", "ids"]
 
-    def encode(group: pa.Table) -> pa.Table:
-        words_of = codec(tokenizer)
-        ids: dict[str, bytes] = {}
-        out: dict[int, set[str]] = {}
-        for block, packed in zip(group.column("block").to_pylist(), group.column("words").to_pylist()):
-            out.setdefault(block, set()).update(unpack_words(packed))
-        rows = []
-        for block, words in out.items():
-            own = sorted(words)
-            for w in own:
-                if w not in ids:
+    def encode(batches):
+        words_of, ids, last = codec(tokenizer), {}, None
+        for batch in batches:
+            rows = []
+            for bucket, block, packed, lengths in zip(*(c.to_pylist() for c in batch.columns)):
+                if bucket != last:
+                    ids, last = {}, bucket  # a bucket's rows stand together
+                own = unpack_words(packed, lengths)
+                for w in set(own).difference(ids):
                     ids[w] = words_of.word(w)
-            counts = np.array([len(ids[w]) // 4 for w in own], "<u4")
-            flat = np.frombuffer(b"".join(ids[w] for w in own), "<u4")
-            # byte by byte of significance: the high bytes are nearly all alike
-            rows.append((block, checksum(own), zlib.compress(counts.view(np.uint8).reshape(-1, 4).T.tobytes(), 1), zlib.compress(flat.view(np.uint8).reshape(-1, 4).T.tobytes(), 1)))
-        kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary())
-        columns = [pa.array(c, k) for c, k in zip(zip(*rows), kinds)]
-        return pa.table([columns[0], pa.array([group.column("bucket")[0].as_py()] * len(rows), pa.int32()), *columns[1:]], names=["block", "bucket", "check", "counts", "ids"])
+                found = [ids[w] for w in own]
+                flat = np.frombuffer(b"".join(found), "<u4")
+                rows.append((block, bucket, _check(own), pack_numbers(np.fromiter(map(len, found), np.uint32, len(found)) // 4), pack_numbers(flat)))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary()))], names=names)
+
+    dealt = lists.repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    return dealt.mapInArrow(encode, "block long, bucket int, check long, counts binary, ids binary")
+
+
+def block_pieces(encoded: DataFrame, tokenizer: str) -> DataFrame:
+    """(block, pieces): the (id, piece) of all ids that a block uses, by a join with the vocabulary.  The vocabulary is of a fixed size, and so may be broadcast."""
+
+    def used(batches):
+        for batch in batches:
+            for block, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                own = np.unique(unpack_numbers(ids)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), block), pa.int64()), pa.array(own, pa.int32())], names=["block", "id"])
+
+    ids = encoded.select("block", "ids").mapInArrow(used, "block long, id int").distinct()
+    joined = ids.join(F.broadcast(id_to_piece(encoded.sparkSession, tokenizer)), "id")
+    return joined.groupBy("block").agg(F.collect_list("id").alias("piece_ids"), F.collect_list("piece").alias("pieces"))
 
-    return lists.groupBy("bucket").applyInArrow(encode, "block long, bucket int, check long, counts binary, ids binary")
 
+def positions(docs: DataFrame, buckets: int, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(block, doc_ids, sizes, numbers, order, dealt, checks): a row for each block.  Its documents' words, as numbers given as words come;
+    ``order`` has those numbers in the order of buckets and words; of each bucket the number of words and their checksum."""
+    names = ["block", "doc_ids", "sizes", "numbers", "order", "dealt", "checks"]
 
-def _planes(data: bytes) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(data), np.uint8).reshape(4, -1).T.copy().view("<u4").ravel()
+    def place(batches):
+        for block, ids, rows, numbers in _blocks(batches, block_bytes):
+            dealt = _dealt(numbers, buckets)
+            order = np.fromiter((numbers[w] for _, own in dealt for w in own), np.uint32, len(numbers))
+            row = (block, ids, pack_numbers(np.array([len(r) for r in rows])), pack_numbers(np.concatenate(rows)), pack_numbers(order), [b for b, _ in dealt], [_check(own) for _, own in dealt])
+            kinds = (pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, kinds)], names=names)
 
+    return docs.mapInArrow(place, "block long, doc_ids array<long>, sizes binary, numbers binary, order binary, dealt array<int>, checks array<long>")
 
-def encode_documents(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """(doc_id, ids, decoded) for ``docs`` (doc_id, text, block): 32-bit little-endian ids and the bytes
-    that they decode to."""
-    return _assemble(docs, tokenizer, "doc_id long, ids binary, decoded binary", lambda i, ids, dec: (i, ids, dec), [pa.int64(), pa.binary(), pa.binary()])
+
+def encode_documents(docs: DataFrame, tokenizer: str, stable: bool = False, **sizes) -> DataFrame:
+    """(doc_id, ids, decoded) for ``docs`` (doc_id, text): 32-bit little-endian ids and the bytes that they decode to.
+
+    ``docs`` is read twice, and its partitions must be the same then.  Those of files are (``stable``); others are kept first.
+    """
+    return _assemble(docs, tokenizer, stable, "doc_id long, ids binary, decoded binary", lambda i, ids, dec: (i, ids, dec), [pa.int64(), pa.binary(), pa.binary()], **sizes)
 
 
-def encode_digests(docs: DataFrame, tokenizer: str) -> DataFrame:
+def encode_digests(docs: DataFrame, tokenizer: str, stable: bool = False, **sizes) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256): digests of what ``encode_documents`` returns."""
 
     def digest(i, ids, dec):
         return i, len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(dec.decode("utf-8", "replace").encode()).hexdigest()
 
-    return _assemble(docs, tokenizer, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", digest, [pa.int64(), pa.int64(), pa.string(), pa.string()])
+    return _assemble(docs, tokenizer, stable, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", digest, [pa.int64(), pa.int64(), pa.string(), pa.string()], **sizes)
 
 
-def _assemble(docs: DataFrame, tokenizer: str, schema: str, row, types) -> DataFrame:
-    spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), "block")
+def _assemble(docs: DataFrame, tokenizer: str, stable: bool, schema: str, row, types, block_bytes: int = BLOCK_BYTES, words_per_bucket: int = WORDS_PER_BUCKET) -> DataFrame:
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = docs if stable else cut_lineage(docs)
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    # a distinct word for about every 40 bytes of text at most; buckets follow the corpus
-    buckets = max(12, -(-size // (40 * WORDS_PER_BUCKET)))
-    vocabulary = spark.sparkContext.broadcast({r.id: bytes(r.piece) for r in id_to_piece(spark, tokenizer).collect()})
-    encoded = encoded_words(word_table(docs, tokenizer, buckets), tokenizer)
+    buckets = max(12, -(-size // (BYTES_PER_WORD * words_per_bucket)))  # they follow the corpus
+    encoded = cut_lineage(encoded_words(word_lists(docs, buckets, block_bytes), tokenizer, buckets))
     names = [x.split()[0] for x in schema.split(", ")]
 
-    def assemble(key, texts: pa.Table, words: pa.Table) -> pa.Table:
-        table: dict[str, tuple[bytes, bytes]] = {"": (b"", b"")}
-        piece, words_of = vocabulary.value, None
-        used: set[str] = set()
-        for text in texts.column("text"):
-            used.update(cut_spaced(text.as_py()))
-        own_words = bucketed(used, buckets)
-        del used
-        for bucket, check, counts, ids in zip(*(words.column(c).to_pylist() for c in ("bucket", "check", "counts", "ids"))):
-            own = own_words.pop(bucket, [])
-            if checksum(own) != check:
-                raise ValueError(f"the word table does not fit block {key[0]}: its rows changed between reads")
-            counts, ids = _planes(counts), _planes(ids)
-            decoded = [piece[i] for i in ids.tolist()]
-            flat, start = ids.tobytes(), 0
-            for w, n in zip(own, counts.tolist()):
-                table[w] = flat[4 * start : 4 * (start + n)], b"".join(decoded[start : start + n])
-                start += n
-        if own_words:
-            raise ValueError(f"the word table lacks words of block {key[0]}")
+    def table_of(block: int, dealt: list, checks: list, words: pa.Table) -> tuple[list[bytes], list[bytes]]:
+        """Ids and decoded bytes of a block's words, in the order of buckets and words."""
+        found, piece = {}, {}
+        for bucket, check, counts, ids, own_ids, own_pieces in zip(*(words.column(c).to_pylist() for c in ("bucket", "check", "counts", "ids", "piece_ids", "pieces"))):
+            if bucket is None:
+                piece = dict(zip(own_ids, own_pieces))
+            else:
+                found[bucket] = check, counts, ids
+        if [found.get(b, (None,))[0] for b in dealt] != checks:
+            raise ValueError(f"the word table does not fit block {block}: its rows changed between reads")
+        ids_of, bytes_of = [], []
+        for b in dealt:
+            counts, ids = unpack_numbers(found[b][1]), unpack_numbers(found[b][2])
+            flat, pieces = ids.tobytes(), [piece[i] for i in ids.tolist()]
+            ends = np.cumsum(counts).tolist()
+            for a, z in zip([0, *ends], ends):
+                ids_of.append(flat[4 * a : 4 * z])
+                bytes_of.append(b"".join(pieces[a:z]))
+        return ids_of, bytes_of
+
+    def assemble(key, places: pa.Table, words: pa.Table) -> pa.Table:
         out = []
-        for i, text in zip(texts.column("doc_id").to_pylist(), texts.column("text").to_pylist()):
-            found = []
-            for w in cut_spaced(text):
-                if w in table:
-                    found.append(table[w])
-                else:  # holds the byte that parts packed words
-                    words_of = words_of or codec(tokenizer)
-                    own = words_of.word(w)
-                    found.append((own, b"".join([piece[i] for i in np.frombuffer(own, "<u4").tolist()])))
-            out.append(row(i, b"".join([x[0] for x in found]), b"".join([x[1] for x in found])))
+        for at in range(len(places)):
+            doc_ids, sizes, numbers, order, dealt, checks = (places.column(c)[at].as_py() for c in ("doc_ids", "sizes", "numbers", "order", "dealt", "checks"))
+            ids_of, bytes_of = table_of(key[0], dealt, checks, words)
+            rank = np.zeros(len(ids_of), np.uint32)
+            rank[unpack_numbers(order)] = np.arange(len(ids_of), dtype=np.uint32)
+            where, ends = rank[unpack_numbers(numbers)], np.cumsum(unpack_numbers(sizes)).tolist()
+            for i, a, z in zip(doc_ids, [0, *ends], ends):
+                own = where[a:z].tolist()
+                out.append(row(i, b"".join([ids_of[k] for k in own]), b"".join([bytes_of[k] for k in own])))
         return pa.table([pa.array([r[k] for r in out], t) for k, t in enumerate(types)], names=names)
 
-    return docs.groupBy("block").cogroup(encoded.groupBy("block")).applyInArrow(assemble, schema)
+    pieces = block_pieces(encoded, tokenizer)
+    none = {c: F.lit(None).cast(t) for c, t in (("piece_ids", "array<int>"), ("pieces", "array<binary>"))}
+    words = encoded.select("*", *[c.alias(k) for k, c in none.items()]).unionByName(pieces, allowMissingColumns=True)
+    return positions(docs, buckets, block_bytes).groupBy("block").cogroup(words.groupBy("block")).applyInArrow(assemble, schema)
 
 
 def decode(ids: DataFrame, tokenizer: str) -> DataFrame:

@@ -27,10 +27,9 @@ def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_bpe_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from strandlight.llm.bpe import encode_digests, row_blocks
+    from strandlight.llm.bpe import encode_digests
 
-    docs = table(spark, sf_dir, "documents").withColumn("block", row_blocks())
-    return encode_digests(docs, _vocabulary("byte_bpe_50k.json"))
+    return encode_digests(table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"), stable=True)
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
