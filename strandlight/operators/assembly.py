@@ -36,7 +36,7 @@ def segments(shots: DataFrame, cuts: DataFrame, frames: DataFrame, heights: Data
     empty = F.col("trimmed_end_s") <= F.col("trimmed_start_s")
     window = own.select("seg_id", "file_id", F.when(empty, F.col("start_s")).otherwise(F.col("trimmed_start_s")).alias("start_s"), F.when(empty, F.col("end_s")).otherwise(F.col("trimmed_end_s")).alias("end_s"))
     means = telemetry.span_means(window, frames, list(METRICS))
-    bucketed = window.join(heights, "file_id").where((F.col("time_s") >= F.col("start_s")) & (F.col("time_s") < F.col("end_s")))
+    bucketed = scoring.inside(window, heights, ["height_m"])
     flown = bucketed.groupBy("seg_id").agg(F.count("height_m").alias("heights"), F.max("height_m").alias("max_height_m"), F.min("height_m").alias("min_height_m"))
     joined = own.join(means, "seg_id").join(flown, "seg_id", "left").withColumn("heights", F.coalesce("heights", F.lit(0)))
     reason = rules.rejection_reason(config.rules, F.col("trimmed_end_s") - F.col("trimmed_start_s"), F.col("heights"), F.col("max_height_m"), F.col("exposure_clipped"), F.col("motion"), F.col("stability"))
@@ -46,8 +46,15 @@ def segments(shots: DataFrame, cuts: DataFrame, frames: DataFrame, heights: Data
 
 
 def motion_slices(segments: DataFrame, frames: DataFrame, target: float) -> DataFrame:
-    """(seg_id, motion): the motion values in time order within half the target of the centre, end excluded; empty without any."""
-    near = segments.join(frames, "file_id").where((F.col("time_s") >= F.col("center_s") - target / 2) & (F.col("time_s") < F.col("center_s") + target / 2))
+    """(seg_id, motion): the motion values in time order within half the target of the centre, end excluded; empty without any.
+
+    Centres and frames meet in time buckets of the target's length.
+    """
+    bucket = lambda c: F.floor(c / target)
+    low, high = F.col("center_s") - target / 2, F.col("center_s") + target / 2
+    spread = segments.select("seg_id", "file_id", low.alias("_low"), high.alias("_high"), F.explode(F.sequence(bucket(low), bucket(high))).alias("_b"))
+    rows = frames.select("file_id", "time_s", "motion", bucket(F.col("time_s")).alias("_b"))
+    near = spread.join(rows, ["file_id", "_b"]).where((F.col("time_s") >= F.col("_low")) & (F.col("time_s") < F.col("_high")))
     listed = near.groupBy("seg_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("time_s", "motion"))), lambda x: x["motion"]).alias("motion"))
     return segments.select("seg_id").join(listed, "seg_id", "left").select("seg_id", F.coalesce("motion", F.array().cast("array<double>")).alias("motion"))
 
@@ -61,10 +68,18 @@ def features(candidates: DataFrame, files: DataFrame, pictures: DataFrame, vecto
 
 
 def part_at(parts: DataFrame, times: DataFrame) -> DataFrame:
-    """(at, order) of the montage part that plays at each time; the last part past the end.  Parts have order, start_s, end_s."""
-    last = parts.agg(F.max("order").alias("_last"))
-    hit = times.join(parts, (F.col("at") >= F.col("start_s")) & (F.col("at") < F.col("end_s")), "left")
-    return hit.join(F.broadcast(last)).select("at", F.coalesce("order", "_last").alias("order"))
+    """(at, order) of the montage part that plays at each time; between parts and past the end, the last part.  Parts have order, start_s, end_s
+    and do not overlap.
+
+    Both are dealt by time ranges that parts are looked up in, so a time meets the parts of its range alone.
+    """
+    spans = parts.select("order", "start_s", "end_s")
+    measure = spans.agg(F.max("order").alias("last"), F.avg(F.col("end_s") - F.col("start_s")).alias("mean")).first()
+    width = max(float(measure["mean"] or 1.0), 1e-6)
+    spread = spans.select("*", F.explode(F.sequence(F.floor(F.col("start_s") / width), F.floor(F.col("end_s") / width))).alias("_b"))
+    hit = times.withColumn("_b", F.floor(F.col("at") / width)).join(spread, "_b").where((F.col("at") >= F.col("start_s")) & (F.col("at") < F.col("end_s")))
+    found = hit.groupBy("at").agg(F.min("order").alias("order"))
+    return times.join(found, "at", "left").select("at", F.coalesce("order", F.lit(measure["last"])).alias("order"))
 
 
 def card_order(segments: DataFrame) -> DataFrame:
@@ -82,7 +97,7 @@ def summary_html(counts: DataFrame, title: str) -> str:
     """A page with the header counts, which are a few rows whatever the project."""
     from html import escape
 
-    body = "".join(f"<tr><td>{escape(r.grain)}</td><td>{escape(r.key or '-')}</td><td>{r.n}</td><td>{r.seconds or 0:.1f}</td></tr>" for r in counts.orderBy("grain", "key").limit(1000).collect())
+    body = "".join(f"<tr><td>{escape(r.grain)}</td><td>{escape(r.key or '-')}</td><td>{r.n}</td><td>{r.seconds or 0:.1f}</td></tr>" for r in counts.orderBy("grain", "key").collect())
     return f"<!doctype html><title>{escape(title)}</title><table>{body}</table>"
 
 

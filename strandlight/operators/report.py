@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandlight.functions.ranks import value_ranks
+
 
 def header_counts(segments: DataFrame) -> DataFrame:
     """(grain, key, n, seconds) by outcome, by reason and in all, in one pass over the segments."""
@@ -15,9 +17,17 @@ def header_counts(segments: DataFrame) -> DataFrame:
 
 
 def metric_percentiles(segments: DataFrame, metric: str, by: str, points=(0.05, 0.10, 0.25, 0.50, 0.75, 0.95)) -> DataFrame:
-    """(by, p5, ...) by class and pooled as ``all``; interpolated."""
-    own = segments.groupingSets([[by], []], by).agg(F.grouping_id().alias("g"), F.percentile(metric, F.array(*[F.lit(p) for p in points])).alias("p"))
-    return own.select(F.when(F.col("g") == 1, "all").otherwise(F.col(by)).alias(by), *[F.col("p")[k].alias(f"p{round(100 * x)}") for k, x in enumerate(points)])
+    """(by, p5, ...) by class and pooled as ``all``; interpolated.
+
+    Values are counted, and their places among the sorted rows say which are the two about each point: no task holds a class.
+    """
+    counted = segments.where(F.col(metric).isNotNull()).select(F.explode(F.array(F.struct(F.col(by).alias("k"), F.lit(0).alias("g")), F.struct(F.lit(None).cast(segments.schema[by].dataType).alias("k"), F.lit(1).alias("g")))).alias("x"), F.col(metric).cast("double").alias("v"))
+    ranks = value_ranks(counted.select("x.g", "x.k", "v"), ["g", "k"], "v")
+    holds = lambda at: F.max(F.when((F.col("below") <= at) & (at < F.col("below") + F.col("tied")), F.col("v")))
+    cuts = {p: (F.col("n") - 1) * p for p in points}
+    own = ranks.groupBy("g", "k", "n").agg(*[holds(F.floor(at)).alias(f"low{k}") for k, at in enumerate(cuts.values())], *[holds(F.ceil(at)).alias(f"high{k}") for k, at in enumerate(cuts.values())])
+    between = [(F.col(f"low{k}") + (F.col(f"high{k}") - F.col(f"low{k}")) * (at - F.floor(at))).alias(f"p{round(100 * p)}") for k, (p, at) in enumerate(cuts.items())]
+    return own.select(F.when(F.col("g") == 1, "all").otherwise(F.col("k")).alias(by), *between)
 
 
 def mix(rows: DataFrame, by: list[str], kind: str) -> DataFrame:

@@ -7,9 +7,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandlight.functions.ranks import WINDOW_ROWS, fits_window, low_rank, with_average_rank
+from strandlight.functions.ranks import WINDOW_ROWS, average_rank, low_rank, with_ranks
 
 LOWER_IS_BETTER = ("exposure_clipped",)
+BUCKET_S, MOST_BUCKETS = 60.0, 64  # of interval joins: seconds of a bucket, buckets that a span is looked up in at most
 
 
 def _weighted(parts: list[tuple[Column, Column, float]]) -> Column:
@@ -25,25 +26,21 @@ def composite_score(segments: DataFrame, weights: dict[str, float], by: str = "s
     A metric with a null in a class is left out for the whole class.  Metrics of weight 0 are not ranked.
     """
     used = {m: w for m, w in weights.items() if w > 0}
-    out = segments
-    parts = []
-    whole = Window.partitionBy(by)
-    window = fits_window(segments.select(by), [by], window_rows)
-    for m, w in used.items():
-        out = with_average_rank(out, m, [by], f"_rank_{m}", window)
-        rank = 1 - F.col(f"_rank_{m}") if m in lower else F.col(f"_rank_{m}")
-        parts.append((F.count(m).over(whole) == F.count(F.lit(1)).over(whole), rank, w))
-    return out.withColumn(name, _weighted(parts)).drop(*[f"_rank_{m}" for m in used])
+    out = with_ranks(segments, list(used), by, average_rank, window_rows=window_rows)
+    # which metrics a class has for all of its rows: a row for each class
+    whole = segments.groupBy(F.col(by).alias("_class")).agg(*[(F.count(m) == F.count(F.lit(1))).alias(f"_all_{m}") for m in used]) if used else None
+    if whole is not None:
+        out = out.join(whole, F.col(by).eqNullSafe(F.col("_class")))
+    parts = [(F.col(f"_all_{m}"), 1 - F.col(f"_rank_{m}") if m in lower else F.col(f"_rank_{m}"), w) for m, w in used.items()]
+    return out.withColumn(name, _weighted(parts)).select(*[c for c in segments.columns if c != name], name)
 
 
 def frame_scores(frames: DataFrame, weights: dict[str, float], by: str = "source_class", lower=LOWER_IS_BETTER) -> DataFrame:
     """Score of each frame from its metrics' low ranks among all frames of the class."""
-    parts = []
-    for m, w in weights.items():
-        if w > 0 and m != "aesthetic":
-            rank = low_rank(F.col(m), [by])
-            parts.append((F.col(m).isNotNull(), 1 - rank if m in lower else rank, w))
-    return frames.withColumn("frame_score", _weighted(parts))
+    used = {m: w for m, w in weights.items() if w > 0 and m != "aesthetic"}
+    out = with_ranks(frames, list(used), by, low_rank)
+    parts = [(F.col(m).isNotNull(), 1 - F.col(f"_rank_{m}") if m in lower else F.col(f"_rank_{m}"), w) for m, w in used.items()]
+    return out.withColumn("frame_score", _weighted(parts)).select(*[c for c in frames.columns if c != "frame_score"], "frame_score")
 
 
 def motion_minima(frames: DataFrame, by: str = "file_id", at: str = "time_s", value: str = "motion") -> DataFrame:
@@ -54,15 +51,36 @@ def motion_minima(frames: DataFrame, by: str = "file_id", at: str = "time_s", va
     return frames.withColumn("_min", kept & before.isNotNull() & after.isNotNull()).where("_min").drop("_min")
 
 
+def inside(segments: DataFrame, frames: DataFrame, values: list[str] | None = None) -> DataFrame:
+    """(seg_id, file_id, start_s, end_s, time_s, values...) of the frames with start <= time < end, by time buckets and so as an equi-join on file and bucket."""
+    bucket = lambda c: F.floor(c / BUCKET_S)
+    last = F.greatest("start_s", "end_s")
+    wide = F.greatest(F.ceil((last - F.col("start_s")) / BUCKET_S / MOST_BUCKETS), F.lit(1))  # of a very long span, buckets of its own size
+    sized = segments.select("seg_id", "file_id", "start_s", "end_s").withColumn("_w", F.pow(F.lit(2), F.ceil(F.log2(wide.cast("double")))).cast("long"))
+    spread = sized.select("*", F.explode(F.sequence(F.floor(bucket(F.col("start_s")) / F.col("_w")), F.floor(bucket(last) / F.col("_w")))).alias("_b"))
+    widths = sized.select("file_id", "_w").distinct()
+    rows = frames.select("file_id", "time_s", *(values or [])).join(widths, "file_id").withColumn("_b", F.floor(bucket(F.col("time_s")) / F.col("_w")))
+    return spread.join(rows, ["file_id", "_w", "_b"]).where((F.col("time_s") >= F.col("start_s")) & (F.col("time_s") < F.col("end_s"))).select("seg_id", "file_id", "start_s", "end_s", "time_s", *(values or []))
+
+
 def _candidate_means(segments: DataFrame, frames: DataFrame, target: float) -> DataFrame:
-    """(seg_id, start_s, end_s, file_id, c, mean): windows that begin at a frame or end flush with the span."""
-    inside = segments.join(frames, "file_id").where((F.col("time_s") >= F.col("start_s")) & (F.col("time_s") < F.col("end_s")))
-    starts = inside.where(F.col("time_s") + target <= F.col("end_s")).select("seg_id", "file_id", "start_s", "end_s", F.col("time_s").alias("c"))
+    """(seg_id, start_s, end_s, file_id, c, mean): windows that begin at a frame or end flush with the span.
+
+    Sums and counts of a file's scores before each window's start and end come from one sort of its frames and those times, so no
+    frame is read again for each window that holds it.
+    """
+    starts = inside(segments, frames).where(F.col("time_s") + target <= F.col("end_s")).select("seg_id", "file_id", "start_s", "end_s", F.col("time_s").alias("c"))
     flush = segments.where(F.col("end_s") - F.col("start_s") > target).select("seg_id", "file_id", "start_s", "end_s", (F.col("end_s") - target).alias("c"))
     candidates = starts.unionByName(flush).distinct()
-    f = frames.select(F.col("file_id").alias("_f"), F.col("time_s").alias("_t"), F.col("frame_score").alias("_v"))
-    hit = (F.col("file_id") == F.col("_f")) & (F.col("_t") >= F.col("c")) & (F.col("_t") < F.col("c") + target)
-    return candidates.join(f, hit, "left").groupBy("seg_id", "file_id", "start_s", "end_s", "c").agg(F.avg("_v").alias("mean"))
+    asked = candidates.select("file_id", F.explode(F.array(F.col("c"), F.col("c") + target)).alias("t")).distinct()
+    line = frames.select("file_id", F.col("time_s").alias("t"), F.lit(1).alias("kind"), F.col("frame_score").cast("double").alias("v")).unionByName(asked.select("file_id", "t", F.lit(0).alias("kind"), F.lit(None).cast("double").alias("v")))
+    before = Window.partitionBy("file_id").orderBy("t", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sums = line.select("file_id", "t", "kind", F.sum("v").over(before).alias("s"), F.count("v").over(before).alias("n")).where("kind = 0").select("file_id", "t", F.coalesce("s", F.lit(0.0)).alias("s"), "n")
+    first = sums.select("file_id", F.col("t").alias("c"), F.col("s").alias("_s0"), F.col("n").alias("_n0"))
+    last = sums.select("file_id", F.col("t").alias("_e"), F.col("s").alias("_s1"), F.col("n").alias("_n1"))
+    joined = candidates.withColumn("_e", F.col("c") + target).join(first, ["file_id", "c"]).join(last, ["file_id", "_e"])
+    mean = F.try_divide(F.col("_s1") - F.col("_s0"), F.col("_n1") - F.col("_n0"))
+    return joined.select("seg_id", "file_id", "start_s", "end_s", "c", F.round(mean, 9).alias("mean"))
 
 
 def best_windows(segments: DataFrame, frames: DataFrame, target: float) -> DataFrame:
@@ -74,7 +92,7 @@ def best_windows(segments: DataFrame, frames: DataFrame, target: float) -> DataF
     span = F.col("end_s") - F.col("start_s")
     means = _candidate_means(segments, frames, target)
     best = means.groupBy("seg_id").agg(F.min_by("c", F.struct((-F.coalesce("mean", F.lit(float("-inf")))).alias("m"), F.col("c"))).alias("c"))
-    framed = segments.join(frames, "file_id").where((F.col("time_s") >= F.col("start_s")) & (F.col("time_s") < F.col("end_s"))).select("seg_id").distinct().withColumn("_framed", F.lit(True))
+    framed = inside(segments, frames).select("seg_id").distinct().withColumn("_framed", F.lit(True))
     joined = segments.join(best, "seg_id", "left").join(framed, "seg_id", "left")
     middle = (F.col("start_s") + F.col("end_s")) / 2
     centre = F.when(span <= 0, F.col("start_s")).when((span <= target) | F.col("_framed").isNull(), middle).otherwise(F.col("c") + target / 2)

@@ -7,6 +7,8 @@ similarities come as pairs, made by distributed joins beforehand.
 from __future__ import annotations
 
 import math
+from bisect import bisect_left, insort
+from collections import Counter
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -25,58 +27,68 @@ def greedy(rows: list[dict], sims: dict, config: Selection, max_clips: int | Non
     order up to its share; then all.  A pick first tries every cap, then those of file and cluster alone.
     """
     limit = max_clips if max_clips is not None else min(config.max_clips, math.ceil(config.candidate_share * len(rows)))
-    taken: list[dict] = []
     out: list[tuple[str, bool]] = []
-    best_sim = {r["id"]: 0.0 for r in rows}
-    left = {r["id"]: r for r in rows}
-
-    def take(r: dict, relaxed: bool) -> None:
-        taken.append(r)
+    place = {r["id"]: k for k, r in enumerate(rows)}
+    score = [r["score"] or 0.0 for r in rows]
+    best_sim = [0.0] * len(rows)
+    near: dict[str, list] = {}
+    for (a, b), s in sims.items():
+        if a in place and b in place:
+            near.setdefault(a, []).append((place[b], s))
+    left = [True] * len(rows)
+    counts = {k: Counter() for k in ("file_id", "cluster_id", "tag", "visit_id", "source_class")}
+    times: list[float] = []
+
+    def take(k: int, relaxed: bool) -> None:
+        r = rows[k]
+        left[k] = False
         out.append((r["id"], relaxed))
-        del left[r["id"]]
-        for other in left:
-            s = sims.get((r["id"], other), 0.0)
+        for name, seen in counts.items():
+            if r.get(name) is not None:
+                seen[r[name]] += 1
+        if r.get("time_s") is not None:
+            insort(times, r["time_s"])
+        for other, s in near.get(r["id"], ()):
             if s > best_sim[other]:
                 best_sim[other] = s
 
     def allowed(r: dict, strict: bool) -> bool:
-        per_file = config.per_file.get(r["source_class"], config.per_file["generic"])
-        if sum(t["file_id"] == r["file_id"] for t in taken) >= per_file:
+        if counts["file_id"][r["file_id"]] >= config.per_file.get(r["source_class"], config.per_file["generic"]):
             return False
-        if r.get("cluster_id") is not None and sum(t.get("cluster_id") == r["cluster_id"] for t in taken) >= config.per_cluster:
+        if r.get("cluster_id") is not None and counts["cluster_id"][r["cluster_id"]] >= config.per_cluster:
             return False
         if not strict:
             return True
-        if r.get("tag") is not None and config.tag_share < 1 and limit and sum(t.get("tag") == r["tag"] for t in taken) / limit >= config.tag_share:
+        if r.get("tag") is not None and config.tag_share < 1 and limit and counts["tag"][r["tag"]] / limit >= config.tag_share:
             return False
-        if r.get("visit_id") is not None and sum(t.get("visit_id") == r["visit_id"] for t in taken) >= config.per_visit:
+        if r.get("visit_id") is not None and counts["visit_id"][r["visit_id"]] >= config.per_visit:
             return False
-        return not (r.get("time_s") is not None and any(t.get("time_s") is not None and abs(t["time_s"] - r["time_s"]) < config.gap_s for t in taken))
+        at = r.get("time_s")
+        if at is None:
+            return True
+        k = bisect_left(times, at)
+        return not any(abs(t - at) < config.gap_s for t in times[max(0, k - 1) : k + 1])
 
-    def pick(pool: list[dict]) -> bool:
+    def pick(pool: list[int]) -> bool:
+        # by value, best first; the first that the caps allow is the pick
+        order = sorted((k for k in pool if left[k]), key=lambda k: (config.diversity * best_sim[k] - score[k], k))
         for strict in (True, False):
-            best, top = None, -math.inf
-            for r in pool:
-                if r["id"] in left and allowed(r, strict):
-                    value = (r["score"] or 0.0) - config.diversity * best_sim[r["id"]]
-                    if value > top:
-                        best, top = r, value
-            if best is not None:
-                take(best, not strict)
-                return True
+            for k in order:
+                if allowed(rows[k], strict):
+                    take(k, not strict)
+                    return True
         return False
 
-    for r in rows:
+    for k, r in enumerate(rows):
         if r.get("pinned"):
-            take(r, False)
+            take(k, False)
     for c in CLASSES:
-        own = [r for r in rows if r["source_class"] == c]
-        share = config.min_share.get(c, 0.0)
-        reserved = sum(t["source_class"] != c for t in taken)
-        want = min(math.ceil(share * limit), len(own), limit - reserved)
-        while sum(t["source_class"] == c for t in taken) < want and pick(own):
+        own = [k for k, r in enumerate(rows) if r["source_class"] == c]
+        taken = counts["source_class"]
+        want = min(math.ceil(config.min_share.get(c, 0.0) * limit), len(own), limit - (len(out) - taken[c]))
+        while taken[c] < want and pick(own):
             pass
-    while len(taken) < limit and pick(rows):
+    while len(out) < limit and pick(range(len(rows))):
         pass
     return out
 

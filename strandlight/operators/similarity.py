@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from strandlight.config import Similarity
 from strandlight.functions.scalar import EARTH_RADIUS_M, dot, haversine_m
@@ -87,6 +91,47 @@ def pairs_within(df: DataFrame, block: list[str], ident: str) -> DataFrame:
     return a.join(b, on)
 
 
+TILE = 1024
+
+
+def dot_pairs(vectors: DataFrame, by: str, ident: str, vector: str, least: float, tile: int = TILE) -> DataFrame:
+    """(by, a, b, sim) of the pairs a < b of a block whose vectors' dot product, held to [0, 1], is ``least`` or more.
+
+    Blocks are cut into tiles of about ``tile`` rows; a pair of tiles is multiplied as matrices in one task, so a block of any size is
+    spread, and only pairs at the threshold leave it.  Vectors that are null, hold nulls or differ in length from their partners make no pair.
+    """
+    kinds = {k: vectors.schema[k].dataType for k in (by, ident)}
+    own = vectors.select(by, F.col(ident).alias("_id"), F.col(vector).cast("array<double>").alias("_v"), F.size(vector).alias("_w")).where(F.col(ident).isNotNull() & F.forall("_v", lambda x: x.isNotNull()))
+    counts = own.groupBy(by, "_w").agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("_k"))
+    dealt = own.join(counts, [by, "_w"]).withColumn("_t", F.pmod(F.xxhash64("_id"), F.col("_k")).cast("int"))
+    left = dealt.select(by, "_w", "_id", "_v", F.col("_t").alias("_i"), F.explode(F.sequence(F.col("_t"), F.col("_k") - 1)).alias("_j"))
+    right = dealt.select(by, "_w", "_id", "_v", F.explode(F.sequence(F.lit(0), F.col("_t"))).alias("_i"), F.col("_t").alias("_j"))
+    right = right.select(*[F.col(c).alias(c) for c in right.columns])
+    block = [by, "_w", "_i", "_j"]
+    schema = StructType([StructField(by, kinds[by]), StructField("a", kinds[ident]), StructField("b", kinds[ident]), StructField("sim", DoubleType())])
+
+    def multiply(these: pa.Table, those: pa.Table) -> pa.Table:
+        names = [by, "a", "b", "sim"]
+        if not len(these) or not len(those):
+            return pa.table([pa.array([], t) for t in (these.schema.field(by).type, these.schema.field("_id").type, these.schema.field("_id").type, pa.float64())], names=names)
+        width = these.column("_w")[0].as_py()
+        x, y = (t.column("_v").combine_chunks().flatten().to_numpy().reshape(-1, width) for t in (these, those))
+        sims = np.clip(x @ y.T, 0.0, 1.0)
+        hit = sims >= least
+        if these.column("_i")[0].as_py() == these.column("_j")[0].as_py():
+            ids = these.column("_id").to_pylist()
+            rank = np.argsort(np.argsort(np.array(ids, dtype=object if isinstance(ids[0], str) else None), kind="stable"), kind="stable")
+            place = dict(zip(ids, rank.tolist()))
+            other = np.array([place[i] for i in those.column("_id").to_pylist()])
+            hit &= rank[:, None] < other[None, :]
+        r, c = np.nonzero(hit)
+        one, two = these.column("_id").take(pa.array(r)), those.column("_id").take(pa.array(c))
+        swap = pc.greater(one, two)
+        return pa.table([pa.array([these.column(by)[0].as_py()] * len(r), these.schema.field(by).type), pc.if_else(swap, two, one), pc.if_else(swap, one, two), pa.array(sims[r, c])], names=names)
+
+    return left.groupBy(*block).cogroup(right.groupBy(*block)).applyInArrow(multiply, schema)
+
+
 def single_linkage(nodes: DataFrame, pairs: DataFrame, threshold: float, ident: str = "id") -> DataFrame:
     """``nodes(id)`` with cluster_id: components of the pairs (a, b, sim) at or over the threshold, numbered by first id."""
     linked = pairs.where(F.col("sim") >= threshold).select("a", "b")

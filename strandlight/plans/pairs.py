@@ -21,9 +21,8 @@ DOTS = "p AS (SELECT a.vec_id AS a, b.vec_id AS b, a.label AS c, list_dot_produc
 
 @query(f"WITH {DOTS} SELECT a, b, round(least(greatest(d, 0), 1), 6) AS sim FROM p WHERE d >= 0.15")
 def pair_similarity_semantic(spark, sf_dir):
-    p = similarity.pairs_within(vectors(spark, sf_dir), ["source_class"], "id")
-    p = p.select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), similarity.semantic(F.col("a_vector"), F.col("b_vector"), 0.0).alias("sim"))
-    return p.where("sim >= 0.15").select("a", "b", F.round("sim", 6).alias("sim"))
+    p = similarity.dot_pairs(vectors(spark, sf_dir), "source_class", "id", "vector", 0.15)
+    return p.select("a", "b", F.round("sim", 6).alias("sim"))
 
 
 FIXES = "v AS (SELECT vec_id AS id, label, CAST(embedding AS DOUBLE[]) AS e, CASE WHEN vec_id % 3 > 0 THEN vec_id % 50 * 0.001 END AS lat, vec_id % 40 * 0.001 AS lon, CASE WHEN vec_id % 4 > 0 THEN vec_id * 7.0 END AS t, vec_id % 2 AS faces FROM embeddings)"
@@ -91,7 +90,7 @@ c AS (SELECT n AS id, min(m) AS root FROM r GROUP BY 1)
 SELECT id, dense_rank() OVER (ORDER BY root) - 1 AS cluster_id FROM c""")
 def cluster_single_linkage(spark, sf_dir):
     v = vectors(spark, sf_dir)
-    p = similarity.pairs_within(v, ["source_class"], "id").select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), similarity.semantic(F.col("a_vector"), F.col("b_vector"), 0.0).alias("sim"))
+    p = similarity.dot_pairs(v, "source_class", "id", "vector", THRESHOLD)
     return similarity.single_linkage(v, p, THRESHOLD).select("id", "cluster_id")
 
 
@@ -123,9 +122,9 @@ def candidates(spark, sf_dir):
 
 
 def pairs_of_projects(spark, sf_dir):
-    p = similarity.pairs_within(vectors(spark, sf_dir), ["source_class"], "id")
+    p = similarity.dot_pairs(vectors(spark, sf_dir), "source_class", "id", "vector", 1e-9)
     pad = lambda c: F.lpad(F.col(c).cast("string"), 8, "0")
-    return p.select(F.col("a_source_class").cast("string").alias("project"), pad("a_id").alias("a"), pad("b_id").alias("b"), similarity.semantic(F.col("a_vector"), F.col("b_vector"), 0.0).alias("sim"))
+    return p.select(F.col("source_class").cast("string").alias("project"), pad("a").alias("a"), pad("b").alias("b"), "sim")
 
 
 @query()
@@ -140,7 +139,7 @@ e AS (SELECT a AS id, b AS other, d FROM p UNION ALL SELECT b, a, d FROM p), h A
 SELECT vec_id AS id, round(coalesce(d, 0), 6) AS similarity, CASE WHEN d >= {THRESHOLD} THEN other END AS lost_to FROM embeddings LEFT JOIN h ON h.id = vec_id AND rn = 1 WHERE vec_id % 7 <> 0""")
 def lost_to_winner(spark, sf_dir):
     v = vectors(spark, sf_dir)
-    p = similarity.pairs_within(v, ["source_class"], "id").select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), similarity.semantic(F.col("a_vector"), F.col("b_vector"), 0.0).alias("sim"))
+    p = similarity.dot_pairs(v, "source_class", "id", "vector", 1e-9)
     chosen = selection.edit_order(v.where("id % 7 = 0"), "id", "id", ["source_class"])
     best = similarity.best_selected(v.where("id % 7 != 0"), p, chosen)
     return best.select("id", F.round("similarity", 6).alias("similarity"), F.when(F.col("similarity") >= THRESHOLD, F.col("winner")).alias("lost_to"))
