@@ -22,11 +22,14 @@ PICKS = "project string, id string, pick int, relaxed boolean"
 def greedy(rows: list[dict], sims: dict, config: Selection, max_clips: int | None = None) -> list[tuple[str, bool]]:
     """(id, relaxed) in the order picked.
 
-    Rows have id, score, file_id, source_class, cluster_id, place_id/visit_id, tag, time_s, pinned, and stand in
+    Rows have id, score, file_id, source_class, cluster_id, visit_id, tag, time_s, pinned, excluded, and stand in
     candidate order, which decides ties.  Kept rows go first and are above the caps; then each class in its fixed
     order up to its share; then all.  A pick first tries every cap, then those of file and cluster alone.
     """
-    limit = max_clips if max_clips is not None else min(config.max_clips, math.ceil(config.candidate_share * len(rows)))
+    able = sum(not r.get("excluded") for r in rows)
+    limit = config.max_clips if max_clips is None else max_clips
+    if max_clips is None and config.candidate_share > 0 and able:
+        limit = min(limit, math.ceil(config.candidate_share * able))
     out: list[tuple[str, bool]] = []
     place = {r["id"]: k for k, r in enumerate(rows)}
     score = [r["score"] or 0.0 for r in rows]
@@ -59,7 +62,7 @@ def greedy(rows: list[dict], sims: dict, config: Selection, max_clips: int | Non
             return False
         if not strict:
             return True
-        if r.get("tag") is not None and config.tag_share < 1 and limit and counts["tag"][r["tag"]] / limit >= config.tag_share:
+        if r.get("tag") is not None and config.tag_share > 0 and limit > 0 and counts["tag"][r["tag"]] / limit >= config.tag_share:
             return False
         if r.get("visit_id") is not None and counts["visit_id"][r["visit_id"]] >= config.per_visit:
             return False
@@ -71,7 +74,7 @@ def greedy(rows: list[dict], sims: dict, config: Selection, max_clips: int | Non
 
     def pick(pool: list[int]) -> bool:
         # by value, best first; the first that the caps allow is the pick
-        order = sorted((k for k in pool if left[k]), key=lambda k: (config.diversity * best_sim[k] - score[k], k))
+        order = sorted((k for k in pool if left[k] and not rows[k].get("excluded")), key=lambda k: (config.diversity * best_sim[k] - score[k], k))
         for strict in (True, False):
             for k in order:
                 if allowed(rows[k], strict):
@@ -82,11 +85,12 @@ def greedy(rows: list[dict], sims: dict, config: Selection, max_clips: int | Non
     for k, r in enumerate(rows):
         if r.get("pinned"):
             take(k, False)
+    reserved = 0
     for c in CLASSES:
         own = [k for k, r in enumerate(rows) if r["source_class"] == c]
-        taken = counts["source_class"]
-        want = min(math.ceil(config.min_share.get(c, 0.0) * limit), len(own), limit - (len(out) - taken[c]))
-        while taken[c] < want and pick(own):
+        quota = max(0, min(math.ceil(config.min_share.get(c, 0.0) * limit), len(own), limit - reserved))
+        reserved += quota
+        while len(out) < limit and counts["source_class"][c] < quota and pick(own):
             pass
     while len(out) < limit and pick(range(len(rows))):
         pass

@@ -81,17 +81,27 @@ def combined(signals: dict[str, Column], config: Similarity, faces_a: Column | N
     return score
 
 
-def pairs_within(df: DataFrame, block: list[str], ident: str) -> DataFrame:
-    """Pairs a < b that share a block, as ``a_*`` and ``b_*`` columns: an equi-join on the block."""
-    a = df.select(*[F.col(c).alias(f"a_{c}") for c in df.columns])
-    b = df.select(*[F.col(c).alias(f"b_{c}") for c in df.columns])
+TILE = 1024
+
+
+def pairs_within(df: DataFrame, block: list[str], ident: str, tile: int = TILE) -> DataFrame:
+    """Pairs a < b that share a block, as ``a_*`` and ``b_*`` columns: an equi-join on the block.
+
+    Where a block has more than ``tile`` rows, blocks are cut into tiles, and each pair of tiles is joined on its own.
+    """
     on = F.col(f"a_{ident}") < F.col(f"b_{ident}")
     for c in block:
         on &= F.col(f"a_{c}") == F.col(f"b_{c}")
-    return a.join(b, on)
-
-
-TILE = 1024
+    left, right = ([F.col(c).alias(f"{side}_{c}") for c in df.columns] for side in "ab")
+    sizes = df.groupBy(*block).count()
+    if (sizes.agg(F.max("count")).first()[0] or 0) <= tile:
+        return df.select(*left).join(df.select(*right), on)
+    tiles = sizes.select(*block, F.ceil(F.col("count") / tile).cast("int").alias("_k"))
+    dealt = df.join(tiles, block).withColumn("_t", F.pmod(F.xxhash64(ident), F.col("_k")).cast("int"))
+    every = F.sequence(F.lit(0), F.col("_k") - 1)
+    a = dealt.select(*left, F.col("_t").alias("_ai"), F.explode(every).alias("_aj"))
+    b = dealt.select(*right, F.explode(every).alias("_bi"), F.col("_t").alias("_bj"))
+    return a.join(b, on & (F.col("_ai") == F.col("_bi")) & (F.col("_aj") == F.col("_bj"))).drop("_ai", "_aj", "_bi", "_bj")
 
 
 def dot_pairs(vectors: DataFrame, by: str, ident: str, vector: str, least: float, tile: int = TILE) -> DataFrame:
@@ -138,15 +148,15 @@ def single_linkage(nodes: DataFrame, pairs: DataFrame, threshold: float, ident:
     return numbered(components(nodes.select(ident), linked, ident), ident, "cluster_id")
 
 
-def within_radius(points: DataFrame, radius_m: float, ident: str = "id") -> DataFrame:
-    """(a, b, metres) of points at most ``radius_m`` apart: points meet in grid cells of that size, then are measured.
+def within_radius(points: DataFrame, radius_m: float, ident: str = "id", by: str | None = None) -> DataFrame:
+    """(a, b, metres) of points at most ``radius_m`` apart (and, if given, alike in ``by``): points meet in grid cells of that size, then are measured.
 
     Rows of cells are a radius high, and cells wide enough for their latitude; each point is looked up in
     its own cell and the eight around it, so no pair of points that are far apart is made.
     """
     degrees = radius_m / EARTH_RADIUS_M * 180 / 3.141592653589793
     row = F.floor(F.col("lat") / degrees).cast("long")
-    placed = points.where("lat is not null and lon is not null").select(F.col(ident), "lat", "lon", row.alias("row"))
+    placed = points.where("lat is not null and lon is not null").select(F.col(ident), "lat", "lon", row.alias("row"), (F.lit(0) if by is None else F.col(by)).alias("_by"))
 
     def cell(lon: Column, r: Column) -> Column:
         edge = F.least(F.greatest(F.abs(r * degrees), F.abs((r + 1) * degrees)) + degrees, F.lit(89.9))
@@ -154,15 +164,15 @@ def within_radius(points: DataFrame, radius_m: float, ident: str = "id") -> Data
         return F.floor((lon + 180) / wide).cast("long"), F.floor(F.lit(360.0) / wide).cast("long")
 
     home, _ = cell(F.col("lon"), F.col("row"))
-    right = placed.select(F.col(ident).alias("b"), F.col("lat").alias("lat_b"), F.col("lon").alias("lon_b"), F.col("row").alias("r"), home.alias("c"))
-    near = placed.select(F.col(ident).alias("a"), F.col("lat").alias("lat_a"), F.col("lon").alias("lon_a"), F.explode(F.array(*[F.col("row") + d for d in (-1, 0, 1)])).alias("r"))
+    right = placed.select(F.col(ident).alias("b"), F.col("lat").alias("lat_b"), F.col("lon").alias("lon_b"), F.col("row").alias("r"), home.alias("c"), "_by")
+    near = placed.select(F.col(ident).alias("a"), F.col("lat").alias("lat_a"), F.col("lon").alias("lon_a"), F.explode(F.array(*[F.col("row") + d for d in (-1, 0, 1)])).alias("r"), "_by")
     own, last = cell(F.col("lon_a"), F.col("r"))
     # the grid joins at 180 degrees: the cells past either end are those of the other
     around = F.array(*[own + d for d in (-1, 0, 1)])
     around = F.array_distinct(F.concat(around, F.transform(F.filter(around, lambda c: c <= 0), lambda c: c + last), F.transform(F.filter(around, lambda c: c <= 0), lambda c: c + last + 1), F.transform(F.filter(around, lambda c: c >= last - 1), lambda c: c - last), F.transform(F.filter(around, lambda c: c >= last - 1), lambda c: c - last - 1)))
-    left = near.select("a", "lat_a", "lon_a", "r", F.explode(around).alias("c"))
+    left = near.select("a", "lat_a", "lon_a", "r", "_by", F.explode(around).alias("c"))
     metres = haversine_m(F.col("lat_a"), F.col("lon_a"), F.col("lat_b"), F.col("lon_b"))
-    return left.join(right, ["r", "c"]).where("a < b").withColumn("metres", metres).where(F.col("metres") <= radius_m).select("a", "b", "metres").distinct()
+    return left.join(right, ["r", "c", "_by"]).where("a < b").withColumn("metres", metres).where(F.col("metres") <= radius_m).select("a", "b", "metres").distinct()
 
 
 def places(points: DataFrame, radius_m: float, at: str, ident: str = "id") -> DataFrame:

@@ -5,8 +5,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from strandlight.config import Selection, Similarity, per_class
-from strandlight.operators import selection, similarity, tags
+from strandlight.config import CLASSES, Config, Selection, Similarity, merged, per_class
+from strandlight.operators import edit, selection, similarity, tags
 from strandlight.plans.registry import query, table
 
 THRESHOLD = 0.3  # the table's vectors are nearly orthogonal; the engine's default is 0.75
@@ -30,7 +30,7 @@ FIXES = "v AS (SELECT vec_id AS id, label, CAST(embedding AS DOUBLE[]) AS e, CAS
 
 @query(f"""
 WITH {FIXES}, p AS (SELECT a.id AS a, b.id AS b, least(greatest(list_dot_product(a.e, b.e), 0), 1) AS sem,
-  2 * 6371000.0 * asin(sqrt(least(pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2), 1))) AS m, abs(a.t - b.t) AS dt, a.faces = b.faces AS same FROM v a JOIN v b ON a.label = b.label AND a.id < b.id),
+  CASE WHEN a.lat IS NOT NULL AND b.lat IS NOT NULL THEN 2 * 6371000.0 * asin(sqrt(least(pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2), 1))) END AS m, abs(a.t - b.t) AS dt, a.faces = b.faces AS same FROM v a JOIN v b ON a.label = b.label AND a.id < b.id),
 q AS (SELECT a, b, same, sem, least(greatest(1 - m / 3000, 0), 1) AS sp, least(greatest(1 - dt / 600, 0), 1) AS te, m, dt FROM p)
 SELECT a, b, round(CASE WHEN NOT same THEN 0 ELSE (0.5 * sem + CASE WHEN m IS NULL THEN 0 ELSE 0.2 * sp END + CASE WHEN dt IS NULL THEN 0 ELSE 0.2 * te END) / (0.5 + CASE WHEN m IS NULL THEN 0 ELSE 0.2 END + CASE WHEN dt IS NULL THEN 0 ELSE 0.2 END) END, 6) AS sim FROM q WHERE same AND (0.5 * sem + CASE WHEN m IS NULL THEN 0 ELSE 0.2 * sp END + CASE WHEN dt IS NULL THEN 0 ELSE 0.2 * te END) / (0.5 + CASE WHEN m IS NULL THEN 0 ELSE 0.2 END + CASE WHEN dt IS NULL THEN 0 ELSE 0.2 END) >= 0.2""")
 def pair_similarity_combined(spark, sf_dir):
@@ -133,6 +133,23 @@ def mmr_select(spark, sf_dir):
     return selection.select_diverse(candidates(spark, sf_dir), pairs_of_projects(spark, sf_dir), Selection(per_file=per_class(1, 1, 1, 1, 1)), 10)
 
 
+@query()
+def select_edit(spark, sf_dir):
+    """The whole selection of each label's vectors as a project; tested against a plain loop."""
+    return edit.select_edit(edit_candidates(spark, sf_dir), EDIT, 12)
+
+
+#: the table's vectors are nearly orthogonal
+EDIT = merged(Config(), {"selection": {"per_file": per_class(2, 2, 1, 1, 1), "min_share": per_class(0.2, 0.0, 0.1, 0.0, 0.0), "cluster_threshold": 0.3, "per_visit": 2, "gap_s": 30.0}, "similarity": {"semantic_floor": 0.0, "radius_m": 600.0}, "places": {"radius_m": 700.0, "visit_gap_s": 3000.0}})
+
+
+def edit_candidates(spark, sf_dir):
+    i = F.col("id")
+    v = vectors(spark, sf_dir).select(F.col("source_class").cast("string").alias("project"), F.lpad(i.cast("string"), 8, "0").alias("id"), "vector", i.alias("i"))
+    i = F.col("i")
+    return v.select("project", "id", "vector", (i % 41).cast("string").alias("file_id"), F.element_at(F.array(*[F.lit(c) for c in CLASSES]), (i % 5 + 1).cast("int")).alias("source_class"), (i % 101 / 100).alias("score"), F.when(i % 6 > 0, (i % 4).cast("string")).alias("tag"), F.when(i % 7 > 0, i % 30 * 0.01).alias("lat"), (i % 3 * 0.004).alias("lon"), F.when(i % 11 > 0, i * 17.0).alias("time_s"), F.when(i % 5 > 1, i % 2).alias("faces"), (1.0 + i % 6).alias("span_s"), F.when(i % 29 == 0, "vertical").alias("reason"), F.when(i % 37 == 0, "reject").when(i % 53 == 0, "keep").alias("user_decision"))
+
+
 @query(f"""
 WITH {DOTS}, s AS (SELECT vec_id AS id, label, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS o FROM embeddings WHERE vec_id % 7 = 0),
 e AS (SELECT a AS id, b AS other, d FROM p UNION ALL SELECT b, a, d FROM p), h AS (SELECT e.id, e.other, d, row_number() OVER (PARTITION BY e.id ORDER BY d DESC, o) AS rn FROM e JOIN s ON s.id = e.other WHERE d > 0)
