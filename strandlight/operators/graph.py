@@ -30,10 +30,10 @@ def roots(edges: DataFrame, rounds: int = 60) -> DataFrame:
             break
         both = now.union(now.select("v", "u")).toDF("u", "v")
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        upward = kept(down(both.join(low, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))))
+        upward = kept(down(both.join(low, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))), state[0])
         low = upward.groupBy("u").agg(F.min("v").alias("m"))
         hung = upward.join(low, "u")
-        now = kept(down(hung.select(F.col("v").alias("a"), F.col("m").alias("b")).union(hung.select(F.col("u").alias("a"), F.col("m").alias("b")))))
+        now = kept(down(hung.select(F.col("v").alias("a"), F.col("m").alias("b")).union(hung.select(F.col("u").alias("a"), F.col("m").alias("b")))), 2 * state[0])
         state, before = mark(now), state
         if state == before:
             break

@@ -20,7 +20,15 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """``df`` computed now and kept in the shared folder: its lineage is cut, and lost executors cost no recomputation."""
+ROWS_A_FILE = 50_000  # of a kept table of narrow rows
+
+
+def kept(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """``df`` computed now and kept in the shared folder: its lineage is cut, and lost executors cost no recomputation.
+
+    Where the number of narrow ``rows`` is known (or a bound of it), they are put into no more files than they fill.
+    """
     shared_folder(df.sparkSession)
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // ROWS_A_FILE)))
     return df.checkpoint(eager=True)
