@@ -96,3 +96,22 @@ def uniform(parts: DataFrame, columns: list[str]) -> DataFrame:
 def audio_filter(total_s: Column, fade_s: float) -> Column:
     """Padding, then a fade that ends with the edit."""
     return F.format_string("apad,afade=t=out:st=%.3f:d=%.3f", F.greatest(total_s - fade_s, F.lit(0.0)), F.lit(fade_s))
+
+
+def identity(path: Column, size: Column, mtime: Column) -> Column:
+    """A file by its path, size and whole second of its last change; empty without a path."""
+    return F.when(path.isNull(), F.lit("")).otherwise(F.concat_ws(":", path, F.coalesce(size.cast("string"), F.lit("-")), F.coalesce(mtime.cast("long").cast("string"), F.lit("-"))))
+
+
+def part_digests(clips: DataFrame, height: int, preset: str, quality: int) -> DataFrame:
+    """``part_digest``: 16 hex digits over what one part of a montage is made from, so that a change renders that part alone."""
+    what = [F.col("id"), *[F.format_string(f, c) for f, c in (("%.4f", "plan_start_s"), ("%.4f", "duration_s"), ("%.4f", "out_s"), ("%.3f", "target_fps"))], F.col("ratio").cast("string"), F.lit(f"{height}|{preset}|{quality}"), identity(F.col("path"), F.col("size"), F.col("mtime"))]
+    return clips.withColumn("part_digest", F.substring(F.sha2(F.concat_ws("|", *what), 256), 1, 16))
+
+
+def chained_digests(clips: DataFrame, by: str, settings: str, digest: str = "part_digest") -> DataFrame:
+    """(by, edit_digest): 16 hex digits over the settings and the digests of an edit's clips in order, for montages and for the whole render.
+    What is gathered for an edit is a short text for each of its clips."""
+    parts = clips.groupBy(by).agg(F.sort_array(F.collect_list(F.struct("order", "id", digest))).alias("p"))
+    listed = F.array_join(F.transform("p", lambda x: F.concat_ws(":", x["id"].cast("string"), x["order"].cast("string"), F.coalesce(x[digest], F.lit("-")))), "|")
+    return parts.select(by, F.substring(F.sha2(F.concat(F.lit(settings + "|"), listed), 256), 1, 16).alias("edit_digest"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandlight.functions.ranks import value_ranks
+from strandlight.functions.ranks import numbered, value_ranks
 
 
 def header_counts(segments: DataFrame) -> DataFrame:
@@ -94,3 +94,45 @@ def usage(outcomes: DataFrame) -> DataFrame:
 
 def run_stats(files: DataFrame) -> DataFrame:
     return files.agg(F.count_if(F.col("error").isNull()).alias("files_analyzed"), F.count_if("from_cache").alias("files_from_cache"), F.count_if(F.col("error").isNotNull()).alias("files_failed"))
+
+
+def describe_scope(segments: DataFrame, scope: str) -> DataFrame:
+    """What a description run covers, with ``place`` from 1: the selected ones in edit order, or those and the candidates by id."""
+    own = segments.where(F.col("outcome") == "selected") if scope == "selected" else segments.where(F.col("outcome").isin("candidate", "selected"))
+    order = [F.coalesce("order", F.lit(0)), F.col("id")] if scope == "selected" else [F.col("id")]
+    return numbered(own, order, "place", start=1)
+
+
+def capture_order(segments: DataFrame) -> DataFrame:
+    """The rejected ones in order of capture, those without a time first, with ``place`` from 1."""
+    return numbered(segments.where(F.col("outcome") == "rejected"), [F.coalesce("time_s", F.lit(0.0)), F.col("id")], "place", start=1)
+
+
+def first_of(rows: DataFrame, by: list[str], value: str, order: list, most: int, name: str) -> DataFrame:
+    """(by, name): the first ``most`` values that are not blank, in order.  No more than those are gathered for a group."""
+    known = rows.where(F.coalesce(F.col(value), F.lit("")) != "")
+    kept = known.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("_n") <= most)
+    return kept.groupBy(*by).agg(F.transform(F.sort_array(F.collect_list(F.struct("_n", F.col(value).alias("v")))), lambda x: x["v"]).alias(name))
+
+
+def signal_lists(selected: DataFrame, places: DataFrame, by: list[str], captions: int = 5, names: int = 3) -> DataFrame:
+    """(by, captions, place_names, regions): the first captions in edit order, the names of the places with the most segments (first of
+    equals by place_id), and the regions, sorted."""
+    regions = places.where(F.coalesce(F.col("region"), F.lit("")) != "").groupBy(*by).agg(F.array_sort(F.collect_set("region")).alias("regions"))
+    out = selected.select(*by).union(places.select(*by)).distinct()
+    for part in (first_of(selected, by, "caption", ["order", "id"], captions, "captions"), first_of(places, by, "name", [F.col("segments").desc(), "place_id"], names, "place_names"), regions):
+        out = out.join(part, by, "left")
+    empty = F.array().cast("array<string>")
+    return out.select(*by, *[F.coalesce(c, empty).alias(c) for c in ("captions", "place_names", "regions")])
+
+
+def face_counts(frames: DataFrame, detections: DataFrame, least_score: float, height_share: float) -> DataFrame:
+    """(file_id, frame, faces): how many of a frame's detections are sure enough and high enough."""
+    good = detections.join(frames, ["file_id", "frame"]).where((F.col("score") >= least_score) & (F.col("box_height") >= height_share * F.col("frame_height")))
+    counts = good.groupBy("file_id", "frame").agg(F.count(F.lit(1)).alias("faces"))
+    return frames.select("file_id", "frame").join(counts, ["file_id", "frame"], "left").select("file_id", "frame", F.coalesce("faces", F.lit(0)).alias("faces"))
+
+
+def synced_against(track: Column, bpm: Column, synced_track: Column, synced_bpm: Column) -> Column:
+    """Whether clips' bounds come from this track at this tempo."""
+    return F.coalesce((track == synced_track) & (F.abs(bpm - synced_bpm) < 0.05), F.lit(False))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from strandlight.functions.scalar import bit_depth, display_size, iso6709, rational
 
-#: fixed values: file name endings
+#: File name endings
 ACCEPTED = ("mp4", "mov", "mkv", "avi", "m4v", "insv")
 PROXIES = ("lrv", "lrf")
 MIB = 1 << 20
@@ -46,20 +46,27 @@ def companions(recordings: DataFrame, files: DataFrame, endings: tuple[str, ...]
 
 
 def content_keys(files: DataFrame) -> DataFrame:
-    """(path, key): BLAKE2b of size, time, the first MiB and the last; from binaryFile rows with content and ``mtime_ns``."""
+    """(path, key): BLAKE2b of size, time, the first MiB and the last; from binaryFile rows with content and ``mtime_ns``.
+
+    Only those two pieces of a file leave the JVM.
+    """
+    size = F.col("size").cast("long")
+    head = F.substring("content", 1, MIB)
+    tail = F.when(size > MIB, F.expr(f"substring(content, cast(greatest(size - {MIB}, {MIB}) as int) + 1, {MIB})"))
+    own = files.select("path", size.alias("size"), "mtime_ns", head.alias("head"), tail.alias("tail"))
 
     def keys(batches):
         for batch in batches:
-            out = []
-            for size, ns, content in zip(*(batch.column(c).to_pylist() for c in ("size", "mtime_ns", "content"))):
-                h = hashlib.blake2b(f"{size}:{ns}:".encode(), digest_size=16)
-                h.update(content[:MIB])
-                if size > MIB:
-                    h.update(content[max(size - MIB, MIB) :])
-                out.append(h.hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array(out, pa.string())], names=["path", "key"])
+            for at in range(0, len(batch), 16):
+                part, out = batch.slice(at, 16), []
+                for n, ns, first, last in zip(*(part.column(c).to_pylist() for c in ("size", "mtime_ns", "head", "tail"))):
+                    h = hashlib.blake2b(f"{n}:{ns}:".encode(), digest_size=16)
+                    h.update(first or b"")
+                    h.update(last or b"")
+                    out.append(h.hexdigest())
+                yield pa.RecordBatch.from_arrays([part.column("path"), pa.array(out, pa.string())], names=["path", "key"])
 
-    return files.select("path", "size", "mtime_ns", "content").mapInArrow(keys, "path string, key string")
+    return own.mapInArrow(keys, "path string, key string")
 
 
 PROBE = """
@@ -67,6 +74,7 @@ streams array<struct<index:int,codec_type:string,codec_name:string,width:int,hei
   duration:string,disposition:struct<attached_pic:int>,tags:map<string,string>,side_data_list:array<struct<rotation:double>>>>,
 format struct<duration:string,tags:map<string,string>>
 """
+#: Codecs of still covers
 COVERS = ("mjpeg", "png", "bmp", "gif")
 
 
@@ -103,6 +111,21 @@ def probe(answers: DataFrame, column: str = "probe") -> DataFrame:
     return out.withColumns({"display_width": w, "display_height": h}).drop("_p", "_v")
 
 
+def taken_at() -> Column:
+    """A file's time: of creation, else of its last change, else the epoch."""
+    return F.coalesce("creation_time", "mtime", F.lit("1970-01-01").cast("timestamp"))
+
+
 def chronological(files: DataFrame) -> DataFrame:
-    """By time of creation, else of the file, else the epoch; then path."""
-    return files.orderBy(F.coalesce("creation_time", "mtime", F.lit("1970-01-01").cast("timestamp")), "path")
+    """By a file's time, then path."""
+    return files.orderBy(taken_at(), "path")
+
+
+STREAMS = "streams array<struct<index:int,codec_type:string,codec_name:string,codec_tag_string:string,tags:map<string,string>>>"
+
+
+def streams(answers: DataFrame, kind: str, ident: str, column: str = "probe") -> DataFrame:
+    """(ident, index, codec_name, codec_tag, handler_name, language) of a probe's streams of one kind; blanks are null."""
+    found = answers.select(ident, F.from_json(column, STREAMS).alias("p")).select(ident, F.explode(F.filter("p.streams", lambda s: s["codec_type"] == kind)).alias("s"))
+    known = lambda c: F.nullif(F.btrim(c), F.lit(""))
+    return found.select(ident, F.coalesce("s.index", F.lit(0)).alias("index"), known(F.col("s.codec_name")).alias("codec_name"), known(F.col("s.codec_tag_string")).alias("codec_tag"), known(F.try_element_at("s.tags", F.lit("handler_name"))).alias("handler_name"), known(F.try_element_at("s.tags", F.lit("language"))).alias("language"))

@@ -92,6 +92,21 @@ def beatmap(clips: DataFrame, beats: DataFrame, path: str) -> None:
     one.unionByName(two).orderBy("part", "at").select("value").coalesce(1).write.mode("overwrite").text(path)
 
 
+def prompt_lines(prompts: DataFrame, ident: str = "edit") -> DataFrame:
+    """(ident, variant, n, line): the lines of a prompt file: title, description and structure of each variant (title, description, lines)."""
+    head = [F.concat(F.lit("## Variant "), F.col("variant").cast("string"), F.lit(" ("), F.coalesce("origin", F.lit("template")), F.lit(")")), F.lit("")]
+    block = lambda title, text: [F.lit(f"**{title}**"), F.lit(""), text, F.lit("")]
+    first = F.array(*head, *block("Title", F.col("title")), *block("Description", F.col("description")), F.lit("**Structure**"), F.lit(""), F.lit("```"))
+    every = F.concat(first, "lines", F.array(F.lit("```"), F.lit("")))
+    return prompts.select(ident, "variant", F.posexplode(every).alias("n", "line"))
+
+
+def prompt_files(prompts: DataFrame, folder: str, ident: str = "edit") -> None:
+    """A text file for each edit, in a folder of its name.  An edit's lines are a few dozen, and written in order by one task."""
+    rows = prompt_lines(prompts, ident).repartition(ident).sortWithinPartitions(ident, "variant", "n")
+    rows.select(ident, F.col("line").alias("value")).write.mode("overwrite").partitionBy(ident).text(folder)
+
+
 def run_record(spark: SparkSession, kind: str, config, counts: dict) -> DataFrame:
     """One row for the table of runs."""
     return spark.createDataFrame([(kind, json.dumps(counts, sort_keys=True), repr(config))], "kind string, counts string, config string").withColumn("at", F.current_timestamp())

@@ -276,6 +276,27 @@ def test_prompts_of_every_shape_keep_the_rules(spark):
         assert len(one.lines) == 17 and one.lines[-1] == "[end]" and one.lines[0] == "[sparse intro]"
 
 
+def test_content_keys_and_listing(spark, tmp_path):
+    import hashlib
+
+    from strandlight.sources import files
+
+    mib = files.MIB
+    sizes = {"a.mp4": 0, "b.mp4": 10, "c.mp4": mib, "d.mp4": mib + 5, "e.mp4": 2 * mib + 7}
+    texts = {n: random.Random(n).randbytes(k) for n, k in sizes.items()}
+    for n, t in texts.items():
+        (tmp_path / n).write_bytes(t)
+    read = spark.read.format("binaryFile").load(str(tmp_path)).select("path", F.col("length").alias("size"), F.lit(5).cast("long").alias("mtime_ns"), "content")
+    got = {r.path.rsplit("/", 1)[1]: r.key for r in files.content_keys(read).collect()}
+    for n, t in texts.items():
+        h = hashlib.blake2b(f"{len(t)}:5:".encode(), digest_size=16)
+        h.update(t[:mib])
+        h.update(t[max(len(t) - mib, mib) :] if len(t) > mib else b"")
+        assert got[n] == h.hexdigest()
+    listed = files.listing(spark, [str(tmp_path)])
+    assert sorted((r.path.rsplit("/", 1)[1], r.size) for r in files.scan(listed).collect()) == sorted(sizes.items())
+
+
 def test_streams(spark, tmp_path):
     from strandlight import streaming
 
