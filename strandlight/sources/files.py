@@ -17,7 +17,7 @@ MIB = 1 << 20
 
 
 def listing(spark: SparkSession, roots: list[str]) -> DataFrame:
-    """(path, size, mtime) of all files below the roots, without their content."""
+    """(path, size, mtime) of all files below the roots, without their content; Spark passes over files of no bytes."""
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(roots).select("path", F.col("length").alias("size"), F.col("modificationTime").alias("mtime"))
 
 

@@ -282,7 +282,7 @@ def test_content_keys_and_listing(spark, tmp_path):
     from strandlight.sources import files
 
     mib = files.MIB
-    sizes = {"a.mp4": 0, "b.mp4": 10, "c.mp4": mib, "d.mp4": mib + 5, "e.mp4": 2 * mib + 7}
+    sizes = {"b.mp4": 10, "c.mp4": mib, "d.mp4": mib + 5, "e.mp4": 2 * mib + 7}
     texts = {n: random.Random(n).randbytes(k) for n, k in sizes.items()}
     for n, t in texts.items():
         (tmp_path / n).write_bytes(t)
