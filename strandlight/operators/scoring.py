@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from strandlight.functions.ranks import WINDOW_ROWS, average_rank, low_rank, with_ranks
 
 LOWER_IS_BETTER = ("exposure_clipped",)
-BUCKET_S, MOST_BUCKETS = 60.0, 64  # of interval joins: seconds of a bucket, buckets that a span is looked up in at most
+BUCKET_S, MOST_BUCKETS = 60.0, 2  # of interval joins: the least bucket in seconds; longer spans have buckets of half their length or more
 
 
 def _weighted(parts: list[tuple[Column, Column, float]]) -> Column:
