@@ -32,6 +32,7 @@ from strandlight.llm.wordcodec import BYTE_LETTERS, codec, cut_spaced
 
 BLOCK_BYTES = 12 << 20  # of text; a block ends with the row that reaches it
 WORDS_PER_BUCKET = 400_000
+ROW_WORDS = 100_000  # of documents that travel in one row
 BYTES_PER_WORD = 40  # of text for each distinct word of a corpus, at least
 
 
@@ -153,31 +154,48 @@ def encoded_words(lists: DataFrame, tokenizer: str, buckets: int) -> DataFrame:
 
 
 def block_pieces(encoded: DataFrame, tokenizer: str) -> DataFrame:
-    """(block, pieces): the (id, piece) of all ids that a block uses, by a join with the vocabulary.  The vocabulary is of a fixed size, and so may be broadcast."""
+    """(block, piece_ids, pieces): all ids that a block uses and what they stand for, by a join with the vocabulary.  The vocabulary is of a
+    fixed size, and so may be broadcast; a block has at most as many rows."""
 
-    def used(batches):
+    def own(batches):
         for batch in batches:
-            for block, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                own = np.unique(unpack_numbers(ids)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), block), pa.int64()), pa.array(own, pa.int32())], names=["block", "id"])
-
-    ids = encoded.select("block", "ids").mapInArrow(used, "block long, id int").distinct()
+            ids = [pack_numbers(np.unique(unpack_numbers(x))) for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], names=["block", "ids"])
+
+    def used(group: pa.Table) -> pa.Table:
+        seen = np.zeros(1 << 16, bool)
+        for x in group.column("ids").to_pylist():
+            ids = unpack_numbers(x)
+            if len(ids) and int(ids[-1]) >= len(seen):
+                seen = np.concatenate([seen, np.zeros(int(ids[-1]) + 1 - len(seen), bool)])
+            seen[ids] = True
+        ids = np.flatnonzero(seen).astype(np.int32)
+        return pa.table({"block": pa.array(np.full(len(ids), group.column("block")[0].as_py()), pa.int64()), "id": pa.array(ids)})
+
+    ids = encoded.select("block", "ids").mapInArrow(own, "block long, ids binary").groupBy("block").applyInArrow(used, "block long, id int")
     joined = ids.join(F.broadcast(id_to_piece(encoded.sparkSession, tokenizer)), "id")
     return joined.groupBy("block").agg(F.collect_list("id").alias("piece_ids"), F.collect_list("piece").alias("pieces"))
 
 
 def positions(docs: DataFrame, buckets: int, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(block, doc_ids, sizes, numbers, order, dealt, checks): a row for each block.  Its documents' words, as numbers given as words come;
-    ``order`` has those numbers in the order of buckets and words; of each bucket the number of words and their checksum."""
+    """(block, doc_ids, sizes, numbers, order, dealt, checks): a block's documents in rows of about ROW_WORDS words, as numbers given as words come.
+    A block's first row has besides: ``order``, those numbers in the order of buckets and words, and each bucket's number and checksum."""
     names = ["block", "doc_ids", "sizes", "numbers", "order", "dealt", "checks"]
+    kinds = (pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int64()))
 
     def place(batches):
         for block, ids, rows, numbers in _blocks(batches, block_bytes):
             dealt = _dealt(numbers, buckets)
             order = np.fromiter((numbers[w] for _, own in dealt for w in own), np.uint32, len(numbers))
-            row = (block, ids, pack_numbers(np.array([len(r) for r in rows])), pack_numbers(np.concatenate(rows)), pack_numbers(order), [b for b, _ in dealt], [_check(own) for _, own in dealt])
-            kinds = (pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, kinds)], names=names)
+            head = pack_numbers(order), [b for b, _ in dealt], [_check(own) for _, own in dealt]
+            at, held = 0, 0
+            for k, own in enumerate(rows, 1):
+                held += len(own)
+                if held >= ROW_WORDS or k == len(rows):
+                    part = rows[at:k]
+                    row = (block, ids[at:k], pack_numbers(np.array([len(r) for r in part])), pack_numbers(np.concatenate(part)), *head)
+                    yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, kinds)], names=names)
+                    at, held, head = k, 0, (None, None, None)
 
     return docs.mapInArrow(place, "block long, doc_ids array<long>, sizes binary, numbers binary, order binary, dealt array<int>, checks array<long>")
 
@@ -229,13 +247,15 @@ def _assemble(docs: DataFrame, tokenizer: str, stable: bool, schema: str, row, t
 
     def assemble(key, places: pa.Table, words: pa.Table) -> pa.Table:
         out = []
-        for at in range(len(places)):
-            doc_ids, sizes, numbers, order, dealt, checks = (places.column(c)[at].as_py() for c in ("doc_ids", "sizes", "numbers", "order", "dealt", "checks"))
+        if len(places):
+            first = next(k for k, x in enumerate(places.column("order")) if x.is_valid)
+            order, dealt, checks = (places.column(c)[first].as_py() for c in ("order", "dealt", "checks"))
             ids_of, bytes_of = table_of(key[0], dealt, checks, words)
             rank = np.zeros(len(ids_of), np.uint32)
             rank[unpack_numbers(order)] = np.arange(len(ids_of), dtype=np.uint32)
-            where, ends = rank[unpack_numbers(numbers)], np.cumsum(unpack_numbers(sizes)).tolist()
-            for i, a, z in zip(doc_ids, [0, *ends], ends):
+        for doc_ids, sizes, numbers in zip(*(places.column(c) for c in ("doc_ids", "sizes", "numbers"))):
+            where, ends = rank[unpack_numbers(numbers.as_py())], np.cumsum(unpack_numbers(sizes.as_py())).tolist()
+            for i, a, z in zip(doc_ids.as_py(), [0, *ends], ends):
                 own = where[a:z].tolist()
                 out.append(row(i, b"".join([ids_of[k] for k in own]), b"".join([bytes_of[k] for k in own])))
         return pa.table([pa.array([r[k] for r in out], t) for k, t in enumerate(types)], names=names)
