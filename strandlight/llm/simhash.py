@@ -178,8 +178,9 @@ def links(distinct: DataFrame, parts: list[tuple[list[int], int]], radius: int =
     index = distinct.select("fp", F.explode(_keys(F.col("fp"), parts, False)).alias("k")).select("fp", "k.part", "k.key")
     wide = any(t > 0 for _, t in parts)
     probe = distinct.select("fp", F.explode(_keys(F.col("fp"), parts, True)).alias("k")).select("fp", "k.part", "k.key") if wide else index
-    full = cut_lineage(index.groupBy("part", "key").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > hot).select("part", "key"))
-    many = full.limit(1).count() > 0
+    size = distinct.count()
+    full = cut_lineage(index.groupBy("part", "key").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > hot).select("part", "key"), size * len(parts) // hot)
+    many = size > hot and full.limit(1).count() > 0
     cold_index, cold_probe = index, probe
     if many:
         cold_index, cold_probe = index.join(full, ["part", "key"], "left_anti"), probe.join(full, ["part", "key"], "left_anti")
@@ -205,7 +206,7 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 def _grouped(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """``near_duplicates`` with ``root``: groups that share their smallest doc_id share a component_id, but no root."""
     found = cut_lineage(fingerprints(docs))
-    distinct = cut_lineage(found.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    distinct = cut_lineage(found.groupBy("fp").agg(F.min("doc_id").alias("first")), found.count())
     n = distinct.count()
     sample = distinct.select("fp").orderBy(F.xxhash64("fp")).limit(SAMPLE).toPandas()["fp"].to_numpy(dtype=np.int64).view(np.uint64)
     parts = plan(sample, n, radius)
@@ -237,7 +238,7 @@ def keep_first(docs: DataFrame, repeats: bool = False) -> DataFrame:
     groups = cut_lineage(_grouped(docs).where("doc_id is not null"))
     first = F.col("doc_id") == F.col("component_id")
     ids = groups.groupBy(F.col("doc_id").alias("__simhash_id")).agg(F.count(F.lit(1)).alias("n"), (F.bool_or(first) if repeats else F.bool_and(first)).alias("stays"))
-    ids = cut_lineage(ids.where("n > 1 or not stays"))
+    ids = cut_lineage(ids.where("n > 1 or not stays"), groups.count())
     gone, repeated = ids.where("not stays").select("__simhash_id"), ids.where("n > 1").select("__simhash_id")
     own = docs["doc_id"].cast("long") == F.col("__simhash_id")
     kept = docs.join(gone, own, "left_anti")
