@@ -2,7 +2,8 @@
 
 Words are seen twice: as normalised words, and as shapes (case, digits, outer punctuation), since text
 that is broken in form shares no words.  A feature's value is its share of the document's words, so a score is a sparse dot product over
-the occurrences.  Null and empty texts score the bias alone.  Without labels the score is 1.
+the occurrences.  Null and empty texts score the bias alone; very long ones are read whole.  Repeated rows get equal scores, and of an
+id's repeated labels the larger counts.  A score at the threshold is on the upper side.  An empty table gives no rows.  Without labels the score is 1.
 """
 
 from __future__ import annotations

@@ -118,13 +118,13 @@ base AS (
 more AS (SELECT doc_id, o, x.s AS s, x.s + x.z AS e, 3 AS k, x.v AS v FROM g WHERE regexp_matches(x.v, '[a-z]') AND regexp_matches(x.v, '[A-Z]') AND regexp_matches(x.v, '[0-9]')
   AND NOT EXISTS (SELECT 1 FROM base WHERE base.doc_id = g.doc_id AND base.s < g.x.s + g.x.z AND g.x.s < base.e)),
 every AS (SELECT * FROM base UNION ALL SELECT * FROM more),
-n AS (SELECT v FROM every GROUP BY v HAVING count(DISTINCT o) <= 1 AND count(DISTINCT doc_id) <= 50),
-live AS (SELECT every.* FROM every JOIN n USING (v)),
-shown AS (SELECT * FROM base UNION ALL SELECT * FROM live WHERE k = 3),
+n AS (SELECT v, count(DISTINCT t) AS repos FROM every JOIN d USING (doc_id) GROUP BY v HAVING count(DISTINCT every.o) <= 1),
+live AS (SELECT every.*, repos FROM every JOIN n USING (v)),
+shown AS (SELECT * FROM base UNION ALL SELECT * EXCLUDE (repos) FROM live WHERE k = 3),
 names AS (SELECT doc_id, string_agg(['assign', 'access', 'hex', 'live'][k + 1] || ':' || s || ':' || e, ',' ORDER BY s, k) AS spans FROM shown GROUP BY 1),
 digest AS (SELECT doc_id, string_agg(['assign', 'access', 'hex'][k + 1] || ':' || s || ':' || e, ',' ORDER BY s, k) AS spans, count_if(k = 0) AS n0, count_if(k = 1) AS n1, count_if(k = 2) AS n2 FROM base GROUP BY 1),
-alive AS (SELECT doc_id, count(*) AS n FROM live GROUP BY 1)
-SELECT doc_id, coalesce(n0, 0) AS n_assign, coalesce(n1, 0) AS n_access, coalesce(n2, 0) AS n_hex, sha256(coalesce(digest.spans, '')) AS base_sha256, coalesce(names.spans, '') AS spans, coalesce(alive.n, 0) AS n_live
+alive AS (SELECT doc_id, count(*) AS n, max(repos) AS repos FROM live GROUP BY 1)
+SELECT doc_id, coalesce(n0, 0) AS n_assign, coalesce(n1, 0) AS n_access, coalesce(n2, 0) AS n_hex, sha256(coalesce(digest.spans, '')) AS base_sha256, coalesce(names.spans, '') AS spans, coalesce(alive.n, 0) AS n_live, coalesce(alive.repos, 0) AS n_repositories
 FROM d LEFT JOIN digest USING (doc_id) LEFT JOIN names USING (doc_id) LEFT JOIN alive USING (doc_id)"""
 
 ORACLES: dict[str, str] = {"op3_embedding_dedup": OP3_SQL, "op8_secret_scan": OP8_SQL}

@@ -1,9 +1,10 @@
 """Secret scans with corpus-wide ownership frequency, in DataFrame functions alone.
 
 Base spans are the matches of three patterns.  Other long tokens of mixed characters are candidates.  The hash
-of every candidate's value is counted over distinct repositories and owners of the whole corpus: a
-value that several owners share, or very many repositories, is a widely copied example; one that a single owner has looks live.  Candidates
-that look live become further spans (kind ``live``); base spans stay, each marked as live or example.
+of every candidate's value is counted over distinct owners and repositories of the whole corpus: a
+value that several owners share is a widely copied example; one that a single owner has, in however many of its repositories, looks live.  Candidates
+that look live become further spans (kind ``live``); base spans stay, each marked as live or example.  Without a column of
+repositories each distinct text counts as one, so that copies of a document are no repositories of their own.
 
 Spans are start:end in code points, end exclusive.  Null text is the empty text, without spans.
 Repeated rows give repeated results.  An owner that is null is an owner of its own.  An empty table gives no rows.  Very
@@ -27,7 +28,6 @@ HEX = r"[0-9a-f]{24,}"
 TOKEN = r"[A-Za-z0-9+/_=-]{20,}"
 KINDS = ("assign", "access", "hex", "live")
 MAX_OWNERS = 1  # more owners than this make a value an example
-MAX_REPOSITORIES = 50  # and so do more repositories
 
 SPAN = "array<struct<start:int,end:int,kind:int,value:string>>"
 
@@ -118,26 +118,23 @@ def candidate_spans(text: Column) -> Column:
     return F.coalesce(own.cast(SPAN), F.array().cast(SPAN))
 
 
-def scan(docs: DataFrame, repository: str = "doc_id", owner: str = "source", max_owners: int = MAX_OWNERS, max_repositories: int | None = MAX_REPOSITORIES) -> DataFrame:
-    """(doc_id, text_key, base, added, live): for each distinct (doc_id, text), its base spans, the added
-    ones, and the spans of either that look live.  ``text_key`` is a hash of the text.  Without ``max_repositories`` owners alone decide."""
+def scan(docs: DataFrame, repository: str | None = None, owner: str = "source", max_owners: int = MAX_OWNERS) -> DataFrame:
+    """(doc_id, text_key, base, added, live, repositories): for each distinct (doc_id, text), its base spans, the added
+    ones, the spans of either that look live, and the most repositories that one of those values is in.  ``text_key`` is a hash of the text."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), F.coalesce(F.col(repository).cast("string"), F.lit("")).alias("_repo"), F.coalesce(F.col(owner).cast("string"), F.lit("")).alias("_owner"), base_spans(text).alias("base"), candidate_spans(text).alias("more"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), (F.xxhash64(text).cast("string") if repository is None else F.coalesce(F.col(repository).cast("string"), F.lit(""))).alias("_repo"), F.coalesce(F.col(owner).cast("string"), F.lit("")).alias("_owner"), base_spans(text).alias("base"), candidate_spans(text).alias("more"))
     rows = rows.withColumn("more", apart(F.col("more"), F.col("base")))
     rows = cut_lineage(rows)  # spans without texts: small, and searched for once
     single = rows.select("doc_id", "text_key", "_repo", "_owner", F.explode(F.concat("base", "more")).alias("s")).select("doc_id", "text_key", "_repo", "_owner", "s", F.sha2(F.col("s.value"), 256).alias("hash"))
     # distinct owners and repositories of a value, each counted on rows that are made distinct before they are dealt
     owners = single.select("hash", "_owner").distinct().groupBy("hash").agg(F.count(F.lit(1)).alias("owners"))
-    counts, is_live = owners, F.col("owners") <= max_owners
-    if max_repositories is not None:
-        repos = single.select("hash", "_repo").distinct().groupBy("hash").agg(F.count(F.lit(1)).alias("repositories"))
-        counts, is_live = owners.join(repos, "hash"), is_live & (F.col("repositories") <= max_repositories)
-    marked = single.join(counts, "hash").withColumn("is_live", is_live)
-    by_doc = marked.where("is_live").groupBy("doc_id", "text_key").agg(F.collect_set(F.col("s")).alias("live"))
+    repos = single.select("hash", "_repo").distinct().groupBy("hash").agg(F.count(F.lit(1)).alias("repositories"))
+    counts = owners.where(F.col("owners") <= max_owners).join(repos, "hash")
+    by_doc = single.join(counts, "hash").groupBy("doc_id", "text_key").agg(F.collect_set(F.col("s")).alias("live"), F.max("repositories").alias("repositories"))
     plain = rows.select("doc_id", "text_key", "base", "more")
     joined = plain.join(by_doc.withColumnsRenamed({"doc_id": "_d", "text_key": "_t"}), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("text_key") == F.col("_t")), "left").drop("_d", "_t")
     live = F.array_sort(F.coalesce(F.col("live"), F.array().cast(SPAN)))
-    return joined.select("doc_id", "text_key", "base", F.filter(live, lambda s: s["kind"] == 3).alias("added"), live.alias("live"))
+    return joined.select("doc_id", "text_key", "base", F.filter(live, lambda s: s["kind"] == 3).alias("added"), live.alias("live"), F.coalesce("repositories", F.lit(0)).alias("repositories"))
 
 
 def listed(spans: Column) -> Column:
@@ -148,21 +145,18 @@ def listed(spans: Column) -> Column:
 
 
 def secret_report(docs: DataFrame, **settings) -> DataFrame:
-    """What op8 returns: counts, digest and spans of each document, and how many spans look live."""
+    """What op8 returns: counts, digest and spans of each document, how many spans look live, and the most repositories of one of those."""
     found = scan(docs, **settings)
 
     def count(kind: int) -> Column:
         return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
 
-    return found.select("doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.concat("base", "added")).alias("spans"), F.size("live").cast("long").alias("n_live"))
+    return found.select("doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.concat("base", "added")).alias("spans"), F.size("live").cast("long").alias("n_live"), F.col("repositories").cast("long").alias("n_repositories"))
 
 
-def redact(docs: DataFrame, mark: str = "[secret]", max_repositories: int | None = None, **settings) -> DataFrame:
-    """``docs`` with each span that looks live replaced by ``mark``; examples that many owners share stay.
-
-    A document is no repository here: a value with one owner goes, however many copies of it there are.
-    """
-    found = scan(docs, max_repositories=max_repositories, **settings).where(F.size("live") > 0).select(F.col("doc_id").alias("__secret_id"), F.col("text_key").alias("__secret_text"), F.transform("live", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))).alias("__secret_spans")).dropDuplicates(["__secret_id", "__secret_text"])
+def redact(docs: DataFrame, mark: str = "[secret]", **settings) -> DataFrame:
+    """``docs`` with each span that looks live replaced by ``mark``; examples that several owners share stay.  Null text stays null."""
+    found = scan(docs, **settings).where(F.size("live") > 0).select(F.col("doc_id").alias("__secret_id"), F.col("text_key").alias("__secret_text"), F.transform("live", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))).alias("__secret_spans")).dropDuplicates(["__secret_id", "__secret_text"])
     keyed = docs.withColumn("__secret_key", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
     joined = keyed.join(found, F.col("doc_id").cast("long").eqNullSafe(F.col("__secret_id")) & (F.col("__secret_key") == F.col("__secret_text")), "left")
     text = F.col("text")

@@ -10,9 +10,12 @@ A bucket with more than HOT fingerprints is not paired.  Its fingerprints are li
 work instead: two fingerprints are within two bits of each other if and only if some value lies within one bit of
 both, so each is sent to the 65 values within one bit, and all that meet at a value are linked.
 
+That linear way is exact for a radius of two bits and no other; a larger radius raises an error where a bucket is full.
+
 Null text counts as empty.  Texts without words have fingerprint 0 and link like any other.  Rows with equal
 fingerprints are linked, whatever their number.  A null doc_id never becomes a group's name
-unless it is alone in it.
+unless it is alone in it.  Very long texts are read whole.  An empty table gives no rows.  Columns other than doc_id and text are
+not read, and those of ``keep_first`` stay as they are whatever their names.
 """
 
 from __future__ import annotations

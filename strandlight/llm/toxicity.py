@@ -1,7 +1,8 @@
 """Toxicity: FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
 A feature is present or not, whatever the document's length, so that a few words are found in a very
-long text as well.  Null and empty texts score the bias alone.  Without labels the score is 0.
+long text as well.  Null and empty texts score the bias alone; very long ones are read whole.  Repeated rows get equal scores, and of an
+id's repeated labels the larger counts.  A score at the threshold is on the upper side.  An empty table gives no rows.  Without labels the score is 0.
 """
 
 from __future__ import annotations

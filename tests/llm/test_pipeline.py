@@ -2,6 +2,7 @@
 
 import corpus_pipeline
 import pytest
+from pyspark.sql import functions as F
 
 from strandlight.llm import simhash
 from strandlight.llm.common import ship_package
@@ -51,3 +52,26 @@ def test_empty_corpus(spark, stages):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, SF)
     assert docs.count() == 0
+
+
+def test_awkward_rows_go_through_every_stage(spark, tmp_path):
+    """Nulls in any column, empty and very long texts, repeated rows and ids, and columns whose names the operators use."""
+    plain = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 40")
+    kinds = dict(plain.dtypes)
+    odd = [(9001, None, None, None, None), (9002, "", "en", "s", 0), (9003, "ordinary words of a long text " * 20_000, "en", "s", 1), (9004, "x" * 200_000, None, "s", 1), (None, "a text without an id but with words", "en", None, 1), (None, None, None, None, None)]
+    odd += [(9005, "the same row twice, word for word", "en", "s", 33)] * 2 + [(9006, "one text under an id", "en", "s", 1), (9006, "and another under it", "en", "s", 1)]
+    docs = plain.unionByName(spark.createDataFrame(odd, ", ".join(f"{c} {kinds[c]}" for c in ("doc_id", "text", "lang", "source", "n_chars"))))
+    for c in ("fp", "score", "_id", "_y", "root", "live", "base", "part", "bin", "length", "_text", "turn"):
+        docs = docs.withColumn(c, F.lit(1))
+    columns = docs.columns
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, docs, SF).write.parquet(str(tmp_path / str(k)))
+        before, docs = docs, spark.read.parquet(str(tmp_path / str(k)))
+        if name != "packing":
+            assert docs.columns == columns and 0 < docs.count() <= before.count()
+            assert docs.select("doc_id").subtract(before.select("doc_id")).count() == 0
+        if name == "near_duplicates":
+            kept = [(r.doc_id, r.text) for r in docs.where("doc_id >= 9001").collect()]
+            assert len(kept) == len(set(kept))  # of repeated rows one stays
+    lengths = {r.doc_id: r.n for r in docs.groupBy("doc_id").agg(F.sum("length").alias("n")).collect()}
+    assert lengths.keys() == {r.doc_id for r in before.select("doc_id").distinct().collect()} and all(n >= 1 for n in lengths.values())
