@@ -2,6 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that the one before it kept; all but the last
 return the columns of documents.  ``run`` writes each stage's rows as Parquet to the shared folder and reads them again.
+
+In every stage null text is the empty text (and stays null), very long texts are read whole, repeated rows are judged alike, columns of any
+further name pass through, and an empty table gives no rows.  A null doc_id is kept by the filters and by the near-duplicate stage.
 """
 
 from __future__ import annotations
@@ -15,31 +18,31 @@ from strandlight.llm.common import shared_folder, ship_package, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier rejects go."""
+    """Documents that the quality classifier rejects go; without labels all stay."""
     ship_package(spark)
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity classifier rejects go."""
+    """Documents that the toxicity classifier rejects go; without labels all stay."""
     ship_package(spark)
     return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays."""
+    """One document of each group of near duplicates stays: the one with the smallest id; of repeated rows one."""
     ship_package(spark)
     return simhash.keep_first(docs, repeats=True)
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Credentials that look live are blanked; widely copied examples stay as they are."""
+    """Credentials that look live, those of one source alone, are blanked; examples that several sources share stay as they are."""
     ship_package(spark)
     return secret_scan.redact(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents' token pieces, packed into sequences."""
+    """The documents' token pieces, packed into sequences; repeated rows are packed each."""
     import public_tokenizers
 
     ship_package(spark)
