@@ -2,27 +2,34 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandlight.functions.scalar import even, fit_inside, reaches, short_digest, slow_motion_ratio
+from strandlight.functions.scalar import even, fit_inside, short_digest, slow_motion_ratio
 
 
 MOST_RATES = 10_000  # distinct rates that are compared with each other
 
 
 def dominant_rate(clips: DataFrame, rate: str = "fps", fallback: float = 25.0) -> DataFrame:
-    """(rate, clips): the distinct rate that most clips are whole multiples of, the lowest of equals; the fallback where no rate is known.
+    """(rate, clips): the distinct rate that most clips are whole multiples of (within a hundredth), the lowest of equals; the fallback where no rate is known.
 
-    Clips are reduced to counts of distinct rates before those are compared with each other.
+    Clips are reduced to counts of distinct rates, of which MOST_RATES at most are compared; more are refused.
     """
-    rates = clips.select(F.round(rate, 3).alias("r")).where("r > 0").groupBy("r").agg(F.count(F.lit(1)).alias("n"))
-    if rates.count() > MOST_RATES:
+    spark = clips.sparkSession
+    counts = clips.select(F.round(rate, 3).cast("double").alias("r")).where("r > 0").groupBy("r").agg(F.count(F.lit(1)).alias("n"))
+    found = sorted(tuple(x) for x in counts.limit(MOST_RATES + 1).collect())
+    if len(found) > MOST_RATES:
         raise ValueError(f"over {MOST_RATES} distinct rates")
-    targets = F.broadcast(rates.select(F.col("r").alias("rate")))
-    reached = rates.join(targets).groupBy("rate").agg(F.sum(F.when(reaches(F.col("r"), F.col("rate")), F.col("n")).otherwise(0)).alias("clips"))
-    best = reached.agg(F.min_by(F.struct("rate", "clips"), F.struct((-F.col("clips")).alias("m"), "rate")).alias("b"))
-    return best.select(F.coalesce("b.rate", F.lit(fallback)).alias("rate"), F.coalesce("b.clips", F.lit(0)).alias("clips"))
+    rates, n = np.array([x[0] for x in found]), np.array([x[1] for x in found])
+    best = (fallback, 0)
+    for target in rates.tolist():
+        ratio = rates / target
+        reached = int(n[(np.rint(ratio) >= 1) & (np.abs(ratio - np.rint(ratio)) <= 0.01)].sum())
+        if reached > best[1]:
+            best = (target, reached)
+    return spark.createDataFrame([best], "rate double, clips long")
 
 
 def common_frame(clips: DataFrame, most_w: int, most_h: int, width: str = "width", height: str = "height") -> DataFrame:

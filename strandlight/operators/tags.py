@@ -2,32 +2,62 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, IntegerType, StringType, StructField, StructType
 
 from strandlight.functions.scalar import clip, dot, finite_in, l2_normalise
 
 TAGS = "array<struct<label:string,confidence:double,source:string,group:string,primary:boolean>>"
 
 
+MOST_LABELS = 10_000  # of the configuration table of labels, more are refused
+
+
 def zero_shot(vectors: DataFrame, labels: DataFrame, scale: float, threshold: float, most: int, ident: str = "seg_id") -> DataFrame:
     """(id, label, confidence, primary, place) of the labels kept.
 
-    ``labels`` (group, label, vector, primary; a null label is a group's "none of these") is a configuration table and is broadcast.
+    ``labels`` (group, label, vector, primary; a null label is a group's "none of these") is a configuration table.
     Within a group, softmax over scale x dot; a label stays at ``threshold`` or more and above the null label.  Across groups the
-    most confident primary one comes first, then by confidence; ``most`` at most.
+    most confident primary one comes first, then by confidence; ``most`` at most.  Batches of vectors are multiplied with all labels at once; a
+    vector that is null, holds nulls or has another length than the labels' gets none.
     """
-    small = F.broadcast(labels.select("group", "label", F.col("vector").alias("_lv"), "primary"))
-    logits = vectors.select(ident, "vector").join(small).select(ident, "group", "label", "primary", (dot(F.col("vector"), F.col("_lv")) * scale).alias("x"))
-    w = Window.partitionBy(ident, "group")
-    soft = logits.withColumn("e", F.exp(F.col("x") - F.max("x").over(w)))
-    soft = soft.withColumn("p", F.col("e") / F.sum("e").over(w)).withColumn("none", F.coalesce(F.max(F.when(F.col("label").isNull(), F.col("p"))).over(w), F.lit(0.0)))
-    kept = soft.where("label is not null").where((F.col("p") >= threshold) & (F.col("p") > F.col("none")))
-    every = Window.partitionBy(ident)
-    top = F.row_number().over(every.orderBy(F.col("primary").desc(), F.round("p", 9).desc(), "label")) == 1
-    ranked = kept.withColumn("_first", top & F.col("primary"))
-    place = F.row_number().over(every.orderBy(F.col("_first").desc(), F.round("p", 9).desc(), "label"))
-    return ranked.withColumn("place", place).where(F.col("place") <= most).select(ident, "label", F.col("p").alias("confidence"), "primary", "place")
+    table = labels.select("group", "label", F.col("vector").cast("array<double>").alias("vector"), "primary").limit(MOST_LABELS + 1).collect()
+    if len(table) > MOST_LABELS:
+        raise ValueError(f"more than {MOST_LABELS} labels")
+    width = len(table[0]["vector"]) if table else 0
+    matrix = np.array([r["vector"] for r in table], float).reshape(len(table), width)
+    groups = [np.array([k for k, r in enumerate(table) if r["group"] == g]) for g in dict.fromkeys(r["group"] for r in table)]
+    named = np.array([r["label"] is not None for r in table], bool)
+    names = [r["label"] for r in table]
+    leading = [bool(r["primary"]) for r in table]
+
+    def tag(batches):
+        for batch in batches:
+            out: tuple[list, list, list, list, list] = ([], [], [], [], [])
+            own = [k for k, v in enumerate(batch.column(1)) if v.is_valid and len(v) == width and v.values.null_count == 0]
+            if own and len(table):
+                x = np.stack([batch.column(1)[k].values.to_numpy(zero_copy_only=False) for k in own]) @ matrix.T * scale
+                shares, keep = np.zeros_like(x), np.zeros(x.shape, bool)
+                for g in groups:
+                    e = np.exp(x[:, g] - x[:, g].max(axis=1, keepdims=True))
+                    p = e / e.sum(axis=1, keepdims=True)
+                    none = p[:, ~named[g]].max(axis=1, initial=0.0)
+                    shares[:, g], keep[:, g] = p, named[g] & (p >= threshold) & (p > none[:, None])
+                for n, k in enumerate(own):
+                    found = sorted(np.flatnonzero(keep[n]).tolist(), key=lambda j: (not leading[j], -round(shares[n, j], 9), names[j]))
+                    first = found[:1] if found and leading[found[0]] else []
+                    rest = sorted((j for j in found if j not in first), key=lambda j: (-round(shares[n, j], 9), names[j]))
+                    for place, j in enumerate((first + rest)[:most], 1):
+                        for column, value in zip(out, (batch.column(0)[k], names[j], float(shares[n, j]), leading[j], place)):
+                            column.append(value)
+            ids = pa.array([i.as_py() for i in out[0]], batch.schema.field(0).type)
+            yield pa.RecordBatch.from_arrays([ids, pa.array(out[1], pa.string()), pa.array(out[2], pa.float64()), pa.array(out[3], pa.bool_()), pa.array(out[4], pa.int32())], names=[ident, "label", "confidence", "primary", "place"])
+
+    schema = StructType([vectors.schema[ident], StructField("label", StringType()), StructField("confidence", DoubleType()), StructField("primary", BooleanType()), StructField("place", IntegerType())])
+    return vectors.select(ident, F.col("vector").cast("array<double>").alias("vector")).mapInArrow(tag, schema)
 
 
 def dominant_tag(tags: Column) -> Column:
