@@ -75,7 +75,9 @@ def finished(rows: DataFrame, picks: DataFrame, pairs: DataFrame, config: Config
     if config.durations.alternate:
         changed = durations.alternate(timed.select("project", "order", "duration_s", "source_class", "hero", "span_s"), config.durations, "project")
         reasons = timed.select("project", "order", "duration_reason", F.col("duration_s").alias("_before"))
-        timed = changed.join(reasons, ["project", "order"]).withColumn("duration_reason", F.when(F.col("duration_s") != F.col("_before"), "alternated").otherwise(F.col("duration_reason")))
+        timed = changed.join(reasons, ["project", "order"]).join(chosen.select("project", "order", "span_s"), ["project", "order"])
+        moved = F.when(F.col("duration_s") >= F.col("span_s"), "clamped").otherwise("alternation")
+        timed = timed.withColumn("duration_reason", F.when(F.col("duration_s") != F.col("_before"), moved).otherwise(F.col("duration_reason")))
     lengths = timed.select("project", "order", "duration_s", "duration_reason")
     rest = rows.join(chosen.select("id"), "id", "left_anti")
     best = similarity.best_selected(rest.select("id"), pairs, chosen.select("id", F.col("pick").alias("order")))

@@ -136,3 +136,11 @@ def face_counts(frames: DataFrame, detections: DataFrame, least_score: float, he
 def synced_against(track: Column, bpm: Column, synced_track: Column, synced_bpm: Column) -> Column:
     """Whether clips' bounds come from this track at this tempo."""
     return F.coalesce((track == synced_track) & (F.abs(bpm - synced_bpm) < 0.05), F.lit(False))
+
+
+def held_by_names(held: DataFrame, cards: DataFrame) -> DataFrame:
+    """(id, held_by_label): the clips that hold a visit (held_by, ids in order) by their cards' order labels, else by their ids."""
+    labels = cards.select(F.col("id").alias("_holder"), F.nullif("order_label", F.lit("")).alias("_label"))
+    single = held.select("id", F.posexplode("held_by").alias("_n", "_holder")).join(labels, "_holder", "left")
+    listed = single.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("_n", F.coalesce("_label", F.col("_holder").cast("string")).alias("v")))).alias("l"))
+    return listed.select("id", F.array_join(F.transform("l", lambda x: x["v"]), ", ").alias("held_by_label"))

@@ -63,6 +63,13 @@ def running_start(clips: DataFrame, order: list[str], duration: str = "duration_
     return clips.withColumn("clip_start_s", F.coalesce(F.sum(duration).over(w), F.lit(0.0)))
 
 
+def montage_index(parts: DataFrame, by: list[str], ident: str = "id") -> DataFrame:
+    """(by, order, id, start_s, end_s, duration_s) of an edit's parts one after another, to four places."""
+    placed = running_start(parts, ["order", ident], by=by)
+    end = F.col("clip_start_s") + F.col("duration_s")
+    return placed.select(*by, "order", ident, F.round("clip_start_s", 4).alias("start_s"), F.round(end, 4).alias("end_s"), F.round("duration_s", 4).alias("duration_s"))
+
+
 def energy_curve(clips: DataFrame, motion: str, order: str, by: str, smoothing: int = 3) -> DataFrame:
     """Smoothed place rank of motion along the edit.
 

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from strandlight.functions import scalar as S
-from strandlight.operators import assembly, export, report, soundtrack, tags, telemetry
+from strandlight.operators import assembly, export, report, series, soundtrack, tags, telemetry
 from strandlight.plans.registry import query, table
 from strandlight.session import shared_folder
 from strandlight.sources import files, store
@@ -47,6 +47,30 @@ def signal_lists(spark, sf_dir):
     return report.signal_lists(chosen, places, ["edit"])
 
 
+@query("""
+WITH h AS (SELECT n_regionkey AS r, list(n_nationkey ORDER BY n_nationkey) AS held, string_agg(CASE WHEN n_nationkey % 3 > 0 THEN lpad(CAST(n_nationkey AS VARCHAR), 3, '0') ELSE CAST(n_nationkey AS VARCHAR) END, ', ' ORDER BY n_nationkey) AS held_by_label FROM nation GROUP BY 1)
+SELECT c_custkey AS id, held_by_label FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN h ON h.r = n_regionkey""")
+def held_by_labels(spark, sf_dir):
+    """A customer's place is held by the nations of its region; two of three have a label."""
+    n = table(spark, sf_dir, "nation")
+    held = n.groupBy("n_regionkey").agg(F.sort_array(F.collect_list("n_nationkey")).alias("held_by"))
+    rows = table(spark, sf_dir, "customer").join(n, F.col("n_nationkey") == F.col("c_nationkey")).join(held, "n_regionkey").select(F.col("c_custkey").alias("id"), "held_by")
+    k = F.col("n_nationkey")
+    return report.held_by_names(rows, n.select(k.alias("id"), F.when(k % 3 > 0, F.lpad(k.cast("string"), 3, "0")).alias("order_label")))
+
+
+@query("""
+WITH p AS (SELECT o_custkey AS edit, o_orderkey AS id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS o, o_orderkey % 7 * 0.25 + 1 AS d FROM orders),
+s AS (SELECT *, coalesce(sum(d) OVER (PARTITION BY edit ORDER BY o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a FROM p)
+SELECT edit, o AS "order", id, round(a, 4) AS start_s, round(a + d, 4) AS end_s, d AS duration_s FROM s""")
+def montage_index(spark, sf_dir):
+    from pyspark.sql import Window
+
+    k = F.col("o_orderkey")
+    parts = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("edit"), k.alias("id"), F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")).alias("order"), (k % 7 * 0.25 + 1).cast("double").alias("duration_s"))
+    return series.montage_index(parts, ["edit"])
+
+
 @query("""
 SELECT l_orderkey AS file_id, 0 AS frame, count_if(l_discount >= 0.05 AND l_quantity >= 0.5 * 40) AS faces FROM lineitem GROUP BY 1""")
 def face_rows(spark, sf_dir):
