@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 
 def motion_series(frames: DataFrame, value: str, by: str = "file_id", order: str = "time_s", name: str = "motion") -> DataFrame:
@@ -36,18 +38,26 @@ def altitude_cuts(samples: DataFrame, threshold: float, by: str = "file_id", ord
 
 def shot_cuts(frames: DataFrame, threshold: float, least_s: float, by: str = "file_id", order: str = "time_s", score: str = "content", end: str | None = None) -> DataFrame:
     """(by, start_s, end_s) of shots: cuts where the score reaches ``threshold``, at least ``least_s`` after the last cut taken and
-    before the end.  A cut depends on the last one taken, so each file's candidates are folded in order."""
-    last = F.max(order) if end is None else F.max(end)
-    candidates = F.sort_array(F.collect_list(F.when(F.col(score) >= threshold, F.col(order))))
-    files = frames.groupBy(by).agg(candidates.alias("at"), F.min(order).alias("begin"), last.alias("stop"))
-
-    def take(acc: Column, t: Column) -> Column:
-        good = (t - F.element_at(acc, -1) >= least_s) & (F.col("stop") - t >= least_s)
-        return F.when(good, F.concat(acc, F.array(t))).otherwise(acc)
-
-    edges = files.select(by, F.concat(F.aggregate("at", F.array(F.col("begin")), take), F.array("stop")).alias("e"))
-    spans = edges.select(by, F.explode(F.transform(F.sequence(F.lit(1), F.size("e") - 1), lambda i: F.struct(F.element_at("e", i).alias("start_s"), F.element_at("e", i + 1).alias("end_s")))).alias("s"))
-    return spans.select(by, "s.start_s", "s.end_s")
+    before the end.  A cut depends on the last one taken, so the files' candidates are read in order as a stream that remembers one cut."""
+    files = frames.groupBy(by).agg(F.min(order).cast("double").alias("begin"), F.max(order if end is None else end).cast("double").alias("stop"))
+    candidates = frames.where(F.col(score) >= threshold).select(by, F.col(order).cast("double").alias("at")).join(files, by)
+    schema = StructType([frames.schema[by], StructField("at", DoubleType())])
+
+    def take(batches):
+        file, last = None, None
+        for batch in batches:
+            keep = []
+            for key, at, begin, stop in zip(*(c.to_pylist() for c in batch.columns)):
+                if last is None or key != file:
+                    file, last = key, begin
+                keep.append(at - last >= least_s and stop - at >= least_s)
+                last = at if keep[-1] else last
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    cuts = candidates.repartition(by).sortWithinPartitions(by, "at").mapInArrow(take, schema)
+    edges = cuts.unionByName(files.select(by, F.explode(F.array("begin", "stop")).alias("at")))
+    spans = edges.select(by, F.col("at").alias("start_s"), F.lead("at").over(Window.partitionBy(by).orderBy("at")).alias("end_s"))
+    return spans.where("end_s is not null")
 
 
 def visits(rows: DataFrame, gap_s: float, by: list[str], at: str, ident: str, name: str = "visit") -> DataFrame:

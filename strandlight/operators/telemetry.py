@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandlight.functions.ranks import value_ranks
+
 #: fixed values: the keys of a cue and the columns they fill
 FIELDS = {"H": "height_m", "H.S": "speed_h_ms", "V.S": "speed_v_ms", "SS": "shutter", "EV": "ev", "ISO": "iso"}
 TIMING = r"^\s*(\d+:\d{2}:\d{2}[,.]\d{1,3})\s*-->\s*(\d+:\d{2}:\d{2}[,.]\d{1,3})"
@@ -121,10 +123,12 @@ def nearest_rows(targets: DataFrame, rows: DataFrame, ident: str = "seg_id", tie
     return both.select(ident, F.when(earlier, F.col("before.row")).otherwise(F.col("after.row")).alias("_row"))
 
 
-def lower_percentile(value: Column, share: float) -> Column:
-    """The sorted value at floor((n - 1) * share) within a group; 0 for an empty one."""
-    listed = F.sort_array(F.collect_list(value))
-    return F.when(F.size(listed) > 0, F.try_element_at(listed, (F.floor((F.size(listed) - 1) * share) + 1).cast("int"))).otherwise(F.lit(0.0))
+def lower_percentile(rows: DataFrame, by: str, value: str, share: float, name: str = "p") -> DataFrame:
+    """(by, name): the sorted value at floor((n - 1) * share) within a group, from counts of its values; 0 for a group without any."""
+    ranks = value_ranks(rows.where(F.col(value).isNotNull()), [by], value)
+    place = F.floor((F.col("n") - 1) * share)
+    found = ranks.where((F.col("below") <= place) & (place < F.col("below") + F.col("tied"))).select(by, F.col(value).alias(name))
+    return rows.select(by).distinct().join(found, by, "left").select(by, F.coalesce(F.col(name), F.lit(0.0)).alias(name))
 
 
 def shot_of(spans: DataFrame, shots: DataFrame, at: str = "time_s") -> DataFrame:

@@ -181,8 +181,8 @@ def face_percentile_lower(spark, sf_dir):
 @query("""
 WITH g AS (SELECT user_id % 50 AS g, value FROM events)
 SELECT g, list_sort(list(value))[CAST(floor((count(*) - 1) * 0.75) AS INT) + 1] AS p FROM g GROUP BY 1""")
-def percentile_lower_by_list(spark, sf_dir):
-    return table(spark, sf_dir, "events").groupBy((F.col("user_id") % 50).alias("g")).agg(telemetry.lower_percentile(F.col("value"), 0.75).alias("p"))
+def percentile_lower(spark, sf_dir):
+    return telemetry.lower_percentile(table(spark, sf_dir, "events").select((F.col("user_id") % 50).alias("g"), "value"), "g", "value", 0.75)
 
 
 @query("""
