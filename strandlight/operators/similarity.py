@@ -81,6 +81,64 @@ def combined(signals: dict[str, Column], config: Similarity, faces_a: Column | N
     return score
 
 
+class Side:
+    """The signals of a table's rows (``vector`` and, if there, lat, lon, time_s, faces) as arrays, with what is there of each.
+
+    A vector that is null or holds nulls isn't there; vectors of different lengths have no product.
+    """
+
+    NUMBERS = ("lat", "lon", "time_s", "faces")
+
+    def __init__(self, rows: pa.Table):
+        listed = rows.column("vector").combine_chunks()
+        sizes = pc.fill_null(pc.list_value_length(listed), 0).to_numpy(zero_copy_only=False)
+        flat = listed.flatten()
+        values = pc.cast(flat, pa.float64()).to_numpy(zero_copy_only=False)
+        self.width = sizes.copy()
+        self.vectors = np.zeros((len(rows), int(sizes.max(initial=0))))
+        owner = np.repeat(np.arange(len(rows)), sizes)
+        self.vectors[owner, np.arange(len(values)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = values
+        self.width[owner[flat.is_null().to_numpy(zero_copy_only=False)]] = -1
+        self.width[listed.is_null().to_numpy(zero_copy_only=False)] = -1
+        self.vectors[self.width < 0] = 0.0
+        self.has, self.value = {}, {}
+        for name in self.NUMBERS:
+            column = rows.column(name).combine_chunks().cast(pa.float64()) if name in rows.column_names else pa.nulls(len(rows), pa.float64())
+            self.has[name] = column.is_valid().to_numpy(zero_copy_only=False)
+            self.value[name] = pc.fill_null(column, 0.0).to_numpy(zero_copy_only=False)
+
+    def part(self, at: slice) -> Side:
+        """The rows of a slice."""
+        own = object.__new__(Side)
+        own.width, own.vectors = self.width[at], self.vectors[at]
+        own.has, own.value = ({k: v[at] for k, v in d.items()} for d in (self.has, self.value))
+        return own
+
+
+def clipped_array(x: np.ndarray) -> np.ndarray:
+    """As ``clipped``: a value that is no number counts as the largest."""
+    return np.fmin(np.maximum(x, 0.0), 1.0)
+
+
+def in_order(row: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+    """Products of one vector with all, summed in order as ``dot`` does, so that equal vectors have equal products."""
+    total = np.zeros(len(vectors))
+    for k in range(min(len(row), vectors.shape[1])):
+        total += row[k] * vectors[:, k]
+    return total
+
+
+def semantic_near(rows: pa.Table):
+    """For ``selection.select_near``: a row's dot products with all, held to [0, 1], from the column ``vector``."""
+    side = Side(rows)
+
+    def near(k: int) -> np.ndarray:
+        both = (side.width == side.width[k]) & (side.width[k] >= 0)
+        return np.where(both, clipped_array(in_order(side.vectors[k], side.vectors)), 0.0)
+
+    return near
+
+
 TILE = 1024
 
 

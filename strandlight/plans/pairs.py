@@ -12,8 +12,8 @@ from strandlight.plans.registry import query, table
 THRESHOLD = 0.3  # the table's vectors are nearly orthogonal; the engine's default is 0.75
 
 
-def vectors(spark, sf_dir):
-    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vector"), F.col("label").alias("source_class"))
+def vectors(spark, sf_dir, kind="array<double>"):
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast(kind).alias("vector"), F.col("label").alias("source_class"))
 
 
 DOTS = "p AS (SELECT a.vec_id AS a, b.vec_id AS b, a.label AS c, list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS d FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id)"
@@ -118,19 +118,14 @@ def place_components(spark, sf_dir):
 
 def candidates(spark, sf_dir):
     i = F.col("id")
-    return vectors(spark, sf_dir).select(F.col("source_class").cast("string").alias("project"), F.lpad(i.cast("string"), 8, "0").alias("id"), (i % 101 / 100).alias("score"), (i % 37).cast("string").alias("file_id"), F.lit("generic").alias("source_class"), F.lit(None).cast("long").alias("cluster_id"), (i % 11).alias("visit_id"), (i % 5).cast("string").alias("tag"), (i * 20.0).alias("time_s"), (i % 50 == 0).alias("pinned"))
-
-
-def pairs_of_projects(spark, sf_dir):
-    p = similarity.dot_pairs(vectors(spark, sf_dir), "source_class", "id", "vector", 1e-9)
-    pad = lambda c: F.lpad(F.col(c).cast("string"), 8, "0")
-    return p.select(F.col("source_class").cast("string").alias("project"), pad("a").alias("a"), pad("b").alias("b"), "sim")
+    return vectors(spark, sf_dir, "array<float>").select(F.col("source_class").cast("string").alias("project"), F.lpad(i.cast("string"), 8, "0").alias("id"), "vector", (i % 101 / 100).alias("score"), (i % 37).cast("string").alias("file_id"), F.lit("generic").alias("source_class"), F.lit(None).cast("long").alias("cluster_id"), (i % 11).alias("visit_id"), (i % 5).cast("string").alias("tag"), (i * 20.0).alias("time_s"), (i % 50 == 0).alias("pinned"))
 
 
 @query()
 def mmr_select(spark, sf_dir):
     """Ten clips of each project; tested against a plain loop."""
-    return selection.select_diverse(candidates(spark, sf_dir), pairs_of_projects(spark, sf_dir), Selection(per_file=per_class(1, 1, 1, 1, 1)), 10)
+    picked = selection.select_near(candidates(spark, sf_dir), similarity.semantic_near, Selection(per_file=per_class(1, 1, 1, 1, 1)), 10)
+    return picked.where("pick is not null").select("project", "id", "pick", "relaxed")
 
 
 @query()
