@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -139,7 +142,115 @@ def semantic_near(rows: pa.Table):
     return near
 
 
+def haversine_array(lat1, lon1, lat2, lon2):
+    """As ``haversine_m``."""
+    h = np.sin(np.radians(lat2 - lat1) / 2) ** 2 + np.cos(np.radians(lat1)) * np.cos(np.radians(lat2)) * np.sin(np.radians(lon2 - lon1) / 2) ** 2
+    return 2 * EARTH_RADIUS_M * np.arcsin(np.sqrt(np.fmin(h, 1.0)))
+
+
+def combined_array(x: Side, y: Side, dots: np.ndarray, config: Similarity, visual: float | None = None) -> np.ndarray:
+    """``combined`` of the rows of ``x`` with those of ``y``, from their vectors' dot products; ``visual`` is the same for all pairs or absent."""
+    top, bottom = np.zeros(dots.shape), np.zeros(dots.shape)
+
+    def add(value, weight: float, use: np.ndarray) -> None:
+        np.add(top, np.where(use, value * weight, 0.0), out=top)
+        np.add(bottom, np.where(use, weight, 0.0), out=bottom)
+
+    def both(name: str) -> np.ndarray:
+        return x.has[name][:, None] & y.has[name][None, :]
+
+    def of(name: str) -> tuple[np.ndarray, np.ndarray]:
+        return x.value[name][:, None], y.value[name][None, :]
+
+    semantic_there = (x.width[:, None] == y.width[None, :]) & (x.width >= 0)[:, None] & (config.semantic > 0)
+    if visual is not None and config.visual > 0:
+        add(visual, config.visual, ~semantic_there)
+    if config.semantic > 0:
+        floor = config.semantic_floor
+        add(clipped_array(dots if floor >= 1 else (dots - floor) / (1 - floor)), config.semantic, semantic_there)
+    if config.spatial > 0:
+        (lat1, lat2), (lon1, lon2) = of("lat"), of("lon")
+        add(clipped_array(1 - haversine_array(lat1, lon1, lat2, lon2) / config.radius_m) if config.radius_m > 0 else 0.0, config.spatial, both("lat") & both("lon"))
+    if config.temporal > 0:
+        t1, t2 = of("time_s")
+        add(clipped_array(1 - np.abs(t1 - t2) / config.radius_s) if config.radius_s > 0 else 0.0, config.temporal, both("time_s"))
+    score = np.divide(top, bottom, out=np.zeros(dots.shape), where=bottom > 0)
+    if config.face_guard:
+        f1, f2 = of("faces")
+        score[both("faces") & (f1 != f2)] = 0.0
+    return score
+
+
+def combined_near(config: Similarity):
+    """For ``selection.select_near``: a row's ``combined`` similarity to all, from the columns vector, lat, lon, time_s and faces."""
+
+    def similar(rows: pa.Table):
+        side = Side(rows)
+        return lambda k: combined_array(side.part(slice(k, k + 1)), side, in_order(side.vectors[k], side.vectors)[None, :], config)[0]
+
+    return similar
+
+
+def combined_pairs(rows: DataFrame, by: str, ident: str, config: Similarity, least: float, visual: float | None = None) -> DataFrame:
+    """(by, a, b, sim) of the pairs a < b of a block whose ``combined`` similarity is ``least`` or more; rows have vector, lat, lon, time_s and faces."""
+
+    def score(x: Side, y: Side) -> np.ndarray:
+        width = min(x.vectors.shape[1], y.vectors.shape[1])
+        return combined_array(x, y, x.vectors[:, :width] @ y.vectors[:, :width].T, config, visual)
+
+    return tile_pairs(rows.select(by, ident, "vector", "lat", "lon", "time_s", "faces"), by, ident, Side, score, least)
+
+
+class Series:
+    """Arrays of numbers, grouped by length, for ``motion_array``; one that is null or holds nulls isn't there."""
+
+    def __init__(self, listed: list):
+        self.listed = listed
+
+    def part(self, at: slice) -> Series:
+        return Series(self.listed[at])
+
+    @classmethod
+    def of(cls, rows: pa.Table) -> Series:
+        return cls([None if v is None or None in v else np.array(v, dtype=float) for v in rows.column("series").to_pylist()])
+
+    def by_length(self) -> dict[int, np.ndarray]:
+        """Places of the arrays of each length of two or more."""
+        lengths = np.array([-1 if v is None else len(v) for v in self.listed])
+        return {int(n): np.flatnonzero(lengths == n) for n in np.unique(lengths) if n >= 2}
+
+    def centred(self, places: np.ndarray, n: int) -> np.ndarray:
+        """Those arrays, all of one length, at ``n`` points, less their means."""
+        v = np.stack([self.listed[k] for k in places])
+        at = np.arange(n) * (v.shape[1] - 1) / (n - 1)
+        low = np.floor(at).astype(int)
+        here = v[:, low]
+        own = here + (v[:, np.minimum(low + 1, v.shape[1] - 1)] - here) * (at - low)
+        return own - (reduce(np.add, own.T, np.zeros(len(own))) / n)[:, None]
+
+
+def motion_array(x: Series, y: Series) -> np.ndarray:
+    """``motion`` of the arrays of ``x`` with those of ``y``; 0 where there is none."""
+    out = np.zeros((len(x.listed), len(y.listed)))
+    for p, rows in x.by_length().items():
+        for q, columns in y.by_length().items():
+            n = min(p, q)
+            dx, dy = x.centred(rows, n), y.centred(columns, n)
+            sx, sy = (reduce(np.add, (d * d).T, np.zeros(len(d))) for d in (dx, dy))
+            both = np.sqrt(sx[:, None] * sy[None, :])
+            r = np.divide(dx @ dy.T, both, out=np.full(both.shape, -1.0), where=both != 0)
+            flat_x, flat_y = (sx <= 1e-24)[:, None], (sy <= 1e-24)[None, :]
+            out[np.ix_(rows, columns)] = np.where(flat_x & flat_y, 1.0, np.where(flat_x | flat_y, 0.0, clipped_array((r + 1) / 2)))
+    return out
+
+
+def motion_pairs(rows: DataFrame, by: str, ident: str, series: str, least: float) -> DataFrame:
+    """(by, a, b, sim) of the pairs a < b of a block whose ``motion`` similarity, ``least`` > 0 or more, comes from arrays."""
+    return tile_pairs(rows.select(by, ident, F.col(series).alias("series")), by, ident, Series.of, motion_array, least)
+
+
 TILE = 1024
+WIDE_TILE, STRIP = 2048, 64  # rows of a tile, and of the part of it whose matrix is held at once, where pairs take more than a product
 
 
 def pairs_within(df: DataFrame, block: list[str], ident: str, tile: int = TILE) -> DataFrame:
@@ -200,21 +311,94 @@ def dot_pairs(vectors: DataFrame, by: str, ident: str, vector: str, least: float
     return left.groupBy(*block).cogroup(right.groupBy(*block)).applyInArrow(multiply, schema)
 
 
+def tile_pairs(rows: DataFrame, by: str, ident: str, load: Callable, score: Callable, least: float, tile: int = WIDE_TILE, strip: int = STRIP) -> DataFrame:
+    """(by, a, b, sim) of the pairs a < b of a block that ``score`` gives ``least`` or more.
+
+    As in ``dot_pairs``, blocks are cut into tiles and each pair of tiles is scored in one task.  ``load`` makes an object with ``part(slice)``
+    from a tile's rows; ``score`` makes a matrix from two of them, of which only ``strip`` rows at a time are held.
+    """
+    own = rows.where(F.col(ident).isNotNull() & F.col(by).isNotNull())
+    counts = own.groupBy(by).agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("_k"))
+    dealt = own.join(counts, by).withColumn("_t", F.pmod(F.xxhash64(ident), F.col("_k")).cast("int"))
+    left = dealt.select(*rows.columns, F.col("_t").alias("_i"), F.explode(F.sequence(F.col("_t"), F.col("_k") - 1)).alias("_j"))
+    right = dealt.select(*rows.columns, F.explode(F.sequence(F.lit(0), F.col("_t"))).alias("_i"), F.col("_t").alias("_j"))
+    right = right.select(*[F.col(c).alias(c) for c in right.columns])
+    kind, key = rows.schema[ident].dataType, rows.schema[by].dataType
+    schema = StructType([StructField(by, key), StructField("a", kind), StructField("b", kind), StructField("sim", DoubleType())])
+
+    def compare(these: pa.Table, those: pa.Table) -> pa.Table:
+        ones, twos = these.column(ident).combine_chunks(), those.column(ident).combine_chunks()
+        out = []
+        if len(ones) and len(twos):
+            x, y = load(these), load(those)
+            alone = these.column("_i")[0].as_py() == these.column("_j")[0].as_py()
+            # places in the order of both sides' ids: equal ids have one place
+            order = pa.chunked_array([ones, twos]).combine_chunks().dictionary_encode()
+            rank = np.argsort(pc.array_sort_indices(order.dictionary).to_numpy())[order.indices.to_numpy()]
+            first, second = rank[: len(ones)], rank[len(ones) :]
+            for at in range(0, len(ones), strip):
+                own = slice(at, at + strip)
+                sims = score(x.part(own), y)
+                hit = sims >= least
+                hit &= first[own, None] < second[None, :] if alone else first[own, None] != second[None, :]
+                r, c = np.nonzero(hit)
+                swap = first[own][r] > second[c]
+                one, two = ones.take(pa.array(r + at)), twos.take(pa.array(c))
+                out.append(pa.table([pc.if_else(pa.array(swap), two, one), pc.if_else(pa.array(swap), one, two), pa.array(sims[r, c])], names=["a", "b", "sim"]))
+        found = pa.concat_tables(out) if out else pa.table([ones.slice(0, 0), ones.slice(0, 0), pa.array([], pa.float64())], names=["a", "b", "sim"])
+        label = these.column(by)[0].as_py() if len(found) else None
+        return found.add_column(0, by, pa.array([label] * len(found), these.schema.field(by).type))
+
+    block = [by, "_i", "_j"]
+    return left.groupBy(*block).cogroup(right.groupBy(*block)).applyInArrow(compare, schema)
+
+
 def single_linkage(nodes: DataFrame, pairs: DataFrame, threshold: float, ident: str = "id") -> DataFrame:
     """``nodes(id)`` with cluster_id: components of the pairs (a, b, sim) at or over the threshold, numbered by first id."""
     linked = pairs.where(F.col("sim") >= threshold).select("a", "b")
     return numbered(components(nodes.select(ident), linked, ident), ident, "cluster_id")
 
 
-def within_radius(points: DataFrame, radius_m: float, ident: str = "id", by: str | None = None) -> DataFrame:
-    """(a, b, metres) of points at most ``radius_m`` apart (and, if given, alike in ``by``): points meet in grid cells of that size, then are measured.
+def spots(points: DataFrame, ident: str = "id", by: str | None = None) -> DataFrame:
+    """(ident, lat, lon, _by, spot) of the points that have a position: points at one position (and alike in ``by``) have one spot, the smallest id of them."""
+    placed = points.where("lat is not null and lon is not null").select(F.col(ident), "lat", "lon", (F.lit(0) if by is None else F.col(by)).alias("_by")).distinct()
+    # a position that is no number is at no distance to itself
+    alone = F.when(F.isnan(haversine_m(F.col("lat"), F.col("lon"), F.col("lat"), F.col("lon"))) | F.isnan("lat") | F.isnan("lon"), F.col(ident))
+    placed = placed.withColumn("_alone", alone)
+    first = placed.groupBy("lat", "lon", "_by", "_alone").agg(F.min(ident).alias("spot"))
+    first = first.select(F.col("lat").alias("_lat"), F.col("lon").alias("_lon"), F.col("_by").alias("_b"), F.col("_alone").alias("_a"), "spot")
+    return placed.join(first, (F.col("lat") == F.col("_lat")) & (F.col("lon") == F.col("_lon")) & F.col("_by").eqNullSafe(F.col("_b")) & F.col("_alone").eqNullSafe(F.col("_a"))).select(ident, "lat", "lon", "_by", "spot")
+
+
+def within_radius(points: DataFrame, radius_m: float, ident: str = "id", by: str | None = None, digits: int | None = None) -> DataFrame:
+    """(a, b, metres) of points at most ``radius_m`` apart (and, if given, alike in ``by``), metres rounded to ``digits`` places if given.
 
-    Rows of cells are a radius high, and cells wide enough for their latitude; each point is looked up in
-    its own cell and the eight around it, so no pair of points that are far apart is made.
+    Positions are compared once each, however many points have them; the links of positions are then joined with their points.
     """
+    own = spots(points, ident, by)
+    own = own.withColumn("_self", haversine_m(F.col("lat"), F.col("lon"), F.col("lat"), F.col("lon")))
+    links = spot_links(own, radius_m)
+    # points of one position
+    same = own.where(F.col("_self") <= radius_m).groupBy("spot").agg(F.count(F.lit(1)).alias("n"), F.min("_self").alias("metres")).where("n > 1")
+    links = links.unionByName(same.select(F.col("spot").alias("p"), F.col("spot").alias("q"), "metres"))
+    if digits is not None:
+        links = links.withColumn("metres", F.round("metres", digits))
+    one = own.select(F.col("spot").alias("p"), F.col(ident).alias("_one"))
+    two = own.select(F.col("spot").alias("q"), F.col(ident).alias("_two"))
+    met = links.join(one, "p").join(two, "q").where(F.when(F.col("p") == F.col("q"), F.col("_one") < F.col("_two")).otherwise(F.col("_one") != F.col("_two")))
+    return met.select(F.least("_one", "_two").alias("a"), F.greatest("_one", "_two").alias("b"), "metres")
+
+
+def spot_links(own: DataFrame, radius_m: float) -> DataFrame:
+    """(p, q, metres) of different spots of ``spots`` at most ``radius_m`` apart: they meet in grid cells of that size, then are measured.
+
+    Rows of cells are a radius high, and cells wide enough for their latitude; each spot is looked up in
+    its own cell and the eight around it, so no pair of spots that are far apart is made.
+    """
+    points = own.select("spot", "lat", "lon", "_by").where("not isnan(lat) and not isnan(lon)").dropDuplicates(["spot"])
     degrees = radius_m / EARTH_RADIUS_M * 180 / 3.141592653589793
     row = F.floor(F.col("lat") / degrees).cast("long")
-    placed = points.where("lat is not null and lon is not null").select(F.col(ident), "lat", "lon", row.alias("row"), (F.lit(0) if by is None else F.col(by)).alias("_by"))
+    placed = points.select(F.col("spot"), "lat", "lon", row.alias("row"), "_by")
 
     def cell(lon: Column, r: Column) -> Column:
         edge = F.least(F.greatest(F.abs(r * degrees), F.abs((r + 1) * degrees)) + degrees, F.lit(89.9))
@@ -222,21 +406,31 @@ def within_radius(points: DataFrame, radius_m: float, ident: str = "id", by: str
         return F.floor((lon + 180) / wide).cast("long"), F.floor(F.lit(360.0) / wide).cast("long")
 
     home, _ = cell(F.col("lon"), F.col("row"))
-    right = placed.select(F.col(ident).alias("b"), F.col("lat").alias("lat_b"), F.col("lon").alias("lon_b"), F.col("row").alias("r"), home.alias("c"), "_by")
-    near = placed.select(F.col(ident).alias("a"), F.col("lat").alias("lat_a"), F.col("lon").alias("lon_a"), F.explode(F.array(*[F.col("row") + d for d in (-1, 0, 1)])).alias("r"), "_by")
+    right = placed.select(F.col("spot").alias("q"), F.col("lat").alias("lat_b"), F.col("lon").alias("lon_b"), F.col("row").alias("r"), home.alias("c"), "_by")
+    near = placed.select(F.col("spot").alias("p"), F.col("lat").alias("lat_a"), F.col("lon").alias("lon_a"), F.explode(F.array(*[F.col("row") + d for d in (-1, 0, 1)])).alias("r"), "_by")
     own, last = cell(F.col("lon_a"), F.col("r"))
     # the grid joins at 180 degrees: the cells past either end are those of the other
     around = F.array(*[own + d for d in (-1, 0, 1)])
     around = F.array_distinct(F.concat(around, F.transform(F.filter(around, lambda c: c <= 0), lambda c: c + last), F.transform(F.filter(around, lambda c: c <= 0), lambda c: c + last + 1), F.transform(F.filter(around, lambda c: c >= last - 1), lambda c: c - last), F.transform(F.filter(around, lambda c: c >= last - 1), lambda c: c - last - 1)))
-    left = near.select("a", "lat_a", "lon_a", "r", "_by", F.explode(around).alias("c"))
+    left = near.select("p", "lat_a", "lon_a", "r", "_by", F.explode(around).alias("c"))
     metres = haversine_m(F.col("lat_a"), F.col("lon_a"), F.col("lat_b"), F.col("lon_b"))
-    return left.join(right, ["r", "c", "_by"]).where("a < b").withColumn("metres", metres).where(F.col("metres") <= radius_m).select("a", "b", "metres").distinct()
+    return left.join(right, ["r", "c", "_by"]).where("p < q").withColumn("metres", metres).where(F.col("metres") <= radius_m).select("p", "q", "metres").distinct()
+
+
+
+def radius_components(points: DataFrame, radius_m: float, ident: str = "id", by: str | None = None) -> DataFrame:
+    """(ident, root) of the points that have a position: single linkage by distance (within ``by``), by way of their spots."""
+    own = spots(points, ident, by)
+    if radius_m < 0:
+        return own.select(ident, F.col(ident).alias("root"))
+    rooted = components(own.select("spot").distinct(), spot_links(own, radius_m).select(F.col("p").alias("a"), F.col("q").alias("b")), "spot")
+    return own.join(rooted, "spot").select(ident, "root")
 
 
 def places(points: DataFrame, radius_m: float, at: str, ident: str = "id") -> DataFrame:
     """(id, place_id): single linkage by distance, numbered by earliest time, undated ones last by smallest id."""
     located = points.where("lat is not null and lon is not null")
-    rooted = components(located.select(ident), within_radius(located, radius_m, ident), ident)
+    rooted = radius_components(located, radius_m, ident)
     first = rooted.join(located.select(ident, F.struct(F.col(at).isNull().alias("undated"), F.col(at).alias("t"), F.col(ident).alias("i")).alias("_o")), ident)
     return numbered(first, "_o", "place_id").select(ident, "place_id")
 

@@ -140,7 +140,7 @@ EDIT = merged(Config(), {"selection": {"per_file": per_class(2, 2, 1, 1, 1), "mi
 
 def edit_candidates(spark, sf_dir):
     i = F.col("id")
-    v = vectors(spark, sf_dir).select(F.col("source_class").cast("string").alias("project"), F.lpad(i.cast("string"), 8, "0").alias("id"), "vector", i.alias("i"))
+    v = vectors(spark, sf_dir, "array<float>").select(F.col("source_class").cast("string").alias("project"), F.lpad(i.cast("string"), 8, "0").alias("id"), "vector", i.alias("i"))
     i = F.col("i")
     return v.select("project", "id", "vector", (i % 41).cast("string").alias("file_id"), F.element_at(F.array(*[F.lit(c) for c in CLASSES]), (i % 5 + 1).cast("int")).alias("source_class"), (i % 101 / 100).alias("score"), F.when(i % 6 > 0, (i % 4).cast("string")).alias("tag"), F.when(i % 7 > 0, i % 30 * 0.01).alias("lat"), (i % 3 * 0.004).alias("lon"), F.when(i % 11 > 0, i * 17.0).alias("time_s"), F.when(i % 5 > 1, i % 2).alias("faces"), (1.0 + i % 6).alias("span_s"), F.when(i % 29 == 0, "vertical").alias("reason"), F.when(i % 37 == 0, "reject").when(i % 53 == 0, "keep").alias("user_decision"))
 

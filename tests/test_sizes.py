@@ -3,9 +3,10 @@
 import random
 from functools import reduce
 
+import pytest
 from pyspark.sql import functions as F
 
-from strandlight.config import Selection
+from strandlight.config import Selection, Similarity
 from strandlight.operators import selection, similarity
 from strandlight.plans import pairs
 from tests.test_operators import plain_greedy
@@ -37,3 +38,40 @@ def test_a_selection_by_vectors_makes_no_pairs(spark):
         if r.pick is None:
             assert r.similarity == max(own) and r.winner == (picks[own.index(max(own))] if max(own) > 0 else None)
     assert "CoGroup" not in plan(pairs.mmr_select(spark, SF)) and "Join" not in plan(pairs.mmr_select(spark, SF))
+
+
+def test_the_whole_selection_makes_no_pairs_but_links_and_positions(spark, monkeypatch):
+    def refused(*_, **__):
+        raise AssertionError("pairs of all rows")
+
+    monkeypatch.setattr(similarity, "pairs_within", refused)
+    df = pairs.edit_candidates(spark, SF)
+    assert pairs.select_edit(spark, SF).count() == df.count()
+
+
+def test_combined_pairs_are_those_of_the_columns(spark):
+    rng = random.Random(4)
+    rows = [(i, i % 2, [rng.gauss(0, 0.5) for _ in range(3)], rng.choice([None, 0.001 * (i % 7)]), 0.002 * (i % 5), rng.choice([None, 50.0 * i]), rng.choice([None, 0, 1])) for i in range(60)]
+    rows[3], rows[5], rows[8] = (3, 1, None, *rows[3][3:]), (5, 1, [1.0, None, 0.0], *rows[5][3:]), (8, 0, [1.0, 0.5], *rows[8][3:])
+    df = spark.createDataFrame(rows, "id long, g int, vector array<double>, lat double, lon double, time_s double, faces int")
+    config = Similarity(radius_m=900.0, semantic_floor=0.1)
+    c = F.col
+    p = similarity.pairs_within(df, ["g"], "id")
+    signals = {"visual": F.lit(0.9), "semantic": similarity.semantic(c("a_vector"), c("b_vector"), 0.1), "spatial": similarity.spatial(c("a_lat"), c("a_lon"), c("b_lat"), c("b_lon"), 900.0), "temporal": similarity.temporal(c("a_time_s"), c("b_time_s"), 600.0)}
+    whole = {(r.a_id, r.b_id): r.sim for r in p.withColumn("sim", similarity.combined(signals, config, c("a_faces"), c("b_faces"))).collect() if r.sim >= 0.25}
+    got = {(r.a, r.b): r.sim for r in similarity.combined_pairs(df, "g", "id", config, 0.25, visual=0.9).collect()}
+    assert got == pytest.approx(whole, abs=1e-12) and len(got) > 50
+    load = lambda *a, **k: similarity.tile_pairs(*a, **k, tile=7, strip=3)
+    series = df.select("id", "g", F.when(c("id") % 9 > 0, F.slice(F.array(*[(c("id") * k * k % 11).cast("double") for k in range(1, 7)]), 1, (c("id") % 5 + 2).cast("int"))).alias("series"))
+    both = similarity.pairs_within(series, ["g"], "id").withColumn("sim", similarity.motion(c("a_series"), c("b_series")))
+    moved = {(r.a_id, r.b_id): r.sim for r in both.where("sim >= 0.7").collect()}
+    tiled = {(r.a, r.b): r.sim for r in load(series, "g", "id", similarity.Series.of, similarity.motion_array, 0.7).collect()}
+    assert tiled == pytest.approx(moved, abs=1e-9) and len(tiled) > 50
+
+
+def test_positions_are_compared_once(spark):
+    points = spark.range(400).select("id", (F.col("id") % 5 * 0.01).alias("lat"), F.lit(9.0).alias("lon"))
+    own = similarity.spots(points)
+    assert own.select("spot").distinct().count() == 5 and similarity.spot_links(own, 1200.0).count() == 4
+    got = [(r.a, r.b) for r in similarity.within_radius(points, 1200.0).collect()]
+    assert sorted(got) == [(a, b) for a in range(400) for b in range(a + 1, 400) if abs(a % 5 - b % 5) <= 1]
