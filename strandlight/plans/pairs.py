@@ -79,8 +79,8 @@ def motion_similarity_pairs(spark, sf_dir):
     w = Window.partitionBy("user_id")
     e = table(spark, sf_dir, "events").select(F.col("user_id"), "value", F.ntile(6).over(w.orderBy("ts", "event_id")).alias("k"), F.count(F.lit(1)).over(w).alias("n")).where("n >= 6")
     h = e.groupBy(F.col("user_id").alias("u")).agg(F.array(*[F.avg(F.when(F.col("k") == k, F.col("value"))) for k in range(1, 7)]).alias("x"))
-    p = similarity.pairs_within(h.withColumn("g", F.col("u") % 10), ["g"], "u").withColumn("sim", similarity.motion(F.col("a_x"), F.col("b_x")))
-    return p.where("sim >= 0.9").select(F.col("a_u").alias("a"), F.col("b_u").alias("b"), F.round("sim", 6).alias("sim"))
+    p = similarity.motion_pairs(h.withColumn("g", F.col("u") % 10), "g", "u", "x", 0.9)
+    return p.select("a", "b", F.round("sim", 6).alias("sim"))
 
 
 @query(f"""
