@@ -105,7 +105,7 @@ def points(spark, sf_dir):
 
 @query(f"WITH {PLACES}, p AS (SELECT a.id AS a, b.id AS b, {METRES} AS m FROM c a JOIN c b ON a.id < b.id) SELECT a, b, round(m, 3) AS metres FROM p WHERE m <= 1200")
 def haversine_places(spark, sf_dir):
-    return similarity.within_radius(points(spark, sf_dir), 1200.0).select("a", "b", F.round("metres", 3).alias("metres"))
+    return similarity.within_radius(points(spark, sf_dir), 1200.0, digits=3)
 
 
 @query(f"""
