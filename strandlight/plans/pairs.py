@@ -35,12 +35,9 @@ q AS (SELECT a, b, same, sem, least(greatest(1 - m / 3000, 0), 1) AS sp, least(g
 SELECT a, b, round(CASE WHEN NOT same THEN 0 ELSE (0.5 * sem + CASE WHEN m IS NULL THEN 0 ELSE 0.2 * sp END + CASE WHEN dt IS NULL THEN 0 ELSE 0.2 * te END) / (0.5 + CASE WHEN m IS NULL THEN 0 ELSE 0.2 END + CASE WHEN dt IS NULL THEN 0 ELSE 0.2 END) END, 6) AS sim FROM q WHERE same AND (0.5 * sem + CASE WHEN m IS NULL THEN 0 ELSE 0.2 * sp END + CASE WHEN dt IS NULL THEN 0 ELSE 0.2 * te END) / (0.5 + CASE WHEN m IS NULL THEN 0 ELSE 0.2 END + CASE WHEN dt IS NULL THEN 0 ELSE 0.2 END) >= 0.2""")
 def pair_similarity_combined(spark, sf_dir):
     i = F.col("id")
-    v = vectors(spark, sf_dir).withColumns({"lat": F.when(i % 3 > 0, i % 50 * 0.001), "lon": i % 40 * 0.001, "t": F.when(i % 4 > 0, i * 7.0), "faces": i % 2})
-    p = similarity.pairs_within(v, ["source_class"], "id")
-    c = F.col
-    signals = {"visual": F.lit(0.9), "semantic": similarity.semantic(c("a_vector"), c("b_vector"), 0.0), "spatial": similarity.spatial(c("a_lat"), c("a_lon"), c("b_lat"), c("b_lon"), 3000.0), "temporal": similarity.temporal(c("a_t"), c("b_t"), 600.0)}
-    sim = similarity.combined(signals, Similarity(radius_m=3000.0), c("a_faces"), c("b_faces"))
-    return p.withColumn("sim", sim).where("sim >= 0.2").select(c("a_id").alias("a"), c("b_id").alias("b"), F.round("sim", 6).alias("sim"))
+    v = vectors(spark, sf_dir, "array<float>").withColumns({"lat": F.when(i % 3 > 0, i % 50 * 0.001), "lon": i % 40 * 0.001, "time_s": F.when(i % 4 > 0, i * 7.0), "faces": i % 2})
+    p = similarity.combined_pairs(v, "source_class", "id", Similarity(radius_m=3000.0, radius_s=600.0, semantic_floor=0.0), 0.2, visual=0.9)
+    return p.select("a", "b", F.round("sim", 6).alias("sim"))
 
 
 @query("""
