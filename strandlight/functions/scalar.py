@@ -113,6 +113,24 @@ def clip_name(order: Column, taken: Column, source_class: Column, tag: Column, s
     return F.concat(F.lpad(order.cast("string"), 3, "0"), F.lit("_"), day, F.lit("_"), safe_name(source_class), F.lit("_"), safe_name(tag), F.lit("_"), F.format_string("%.1f", seconds), F.lit("s.mp4"))
 
 
+def two_places(x: Column) -> Column:
+    """Text of a number of 0 or more to two places, rounded as its binary value demands and halves to even, as C and Python print it.
+
+    format_string() rounds the shortest decimal text of a number instead: it makes 0.24 of 0.235, which lies below the half.
+    """
+    low = F.floor(x * 100)
+    odd = (2 * low + 1).cast("double")
+    half = odd / 200
+    # where x is the double nearest the half: which side of it that lies on, from half * 200 in two exact parts
+    split = half * 134217729.0
+    high = split - (split - half)
+    product = half * 200.0
+    over = (product - odd) + ((high * 200.0 - product) + (half - high) * 200.0)
+    up = (x > half) | ((x == half) & ((over > 0) | ((over == 0) & (F.pmod(low, F.lit(2)) == 1))))
+    hundredths = low + up.cast("long")
+    return F.format_string("%d.%02d", F.floor(hundredths / 100), F.pmod(hundredths, F.lit(100)))
+
+
 def timecode(seconds: Column) -> Column:
     """m:ss.s"""
     tenths = F.bround(seconds * 10).cast("long")

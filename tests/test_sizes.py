@@ -7,8 +7,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandlight.config import Selection, Similarity
-from strandlight.operators import selection, similarity
+from strandlight.functions import scalar
+from strandlight.operators import scoring, selection, similarity, telemetry
 from strandlight.plans import pairs
+from strandlight.sources import files
 from tests.test_operators import plain_greedy
 
 SF = "/root/testdata/sf0.001"
@@ -75,3 +77,30 @@ def test_positions_are_compared_once(spark):
     assert own.select("spot").distinct().count() == 5 and similarity.spot_links(own, 1200.0).count() == 4
     got = [(r.a, r.b) for r in similarity.within_radius(points, 1200.0).collect()]
     assert sorted(got) == [(a, b) for a in range(400) for b in range(a + 1, 400) if abs(a % 5 - b % 5) <= 1]
+
+
+def test_shares_are_printed_as_their_binary_values_demand(spark):
+    values = [k / 1000 for k in range(1001)] + [0.125, 0.375, 2.675, 1.005, 12.345, 0.0, 7.0, 0.995, 0.29]
+    df = spark.createDataFrame([(v,) for v in values], "x double").select("x", scalar.two_places(F.col("x")).alias("t"))
+    assert [(r.x, r.t) for r in df.collect() if r.t != f"{r.x:.2f}"] == []
+
+
+def test_a_probe_without_a_duration_over_0_has_0(spark):
+    made = lambda d: '{"streams":[{"codec_type":"video","codec_name":"h264"}],"format":{"duration":' + d + "}}"
+    df = spark.createDataFrame([(0, made('"0.0"')), (1, made("null")), (2, made('"2.5"'))], "id int, probe string")
+    assert [r.duration_s for r in files.probe(df).orderBy("id").collect()] == [0.0, 0.0, 2.5]
+
+
+def test_an_empty_span_has_the_nearest_frame_or_0(spark):
+    spans = spark.createDataFrame([("a", "f", 0.5, 10.0), ("b", "f", 10.0, 20.0)], "seg_id string, file_id string, start_s double, end_s double")
+    frames = spark.createDataFrame([("f", 0.0, 25.5), ("f", 12.0, 3.0)], "file_id string, time_s double, v double")
+    got = {near: {r.seg_id: (r.frames, r.v) for r in telemetry.span_means(spans, frames, ["v"], nearest=near).collect()} for near in (True, False)}
+    assert got == {True: {"a": (1, 25.5), "b": (1, 3.0)}, False: {"a": (0, 0.0), "b": (1, 3.0)}}
+
+
+def test_a_window_that_is_not_moved_keeps_the_digits_of_its_start(spark):
+    at = 520000.061451
+    spans = spark.createDataFrame([("a", "f", 500000.0, 600000.0)], "seg_id string, file_id string, start_s double, end_s double")
+    frames = spark.createDataFrame([("f", at, 5.0, 1.0)], "file_id string, time_s double, frame_score double, motion double")
+    assert at + 15000.0 - 15000.0 != at
+    assert [(r.start_s, r.moved) for r in scoring.snapped_windows(spans, frames, 30000.0, 40000.0, 0.3).collect()] == [(at, False)]
