@@ -83,6 +83,12 @@ def _candidate_means(segments: DataFrame, frames: DataFrame, target: float) -> D
     return joined.select("seg_id", "file_id", "start_s", "end_s", "c", F.round(mean, 9).alias("mean"))
 
 
+def best_starts(means: DataFrame) -> DataFrame:
+    """(seg_id, c0, mean0) of the window with the best mean, the earliest of equals."""
+    best = means.groupBy("seg_id").agg(F.min_by(F.struct("c", "mean"), F.struct((-F.coalesce("mean", F.lit(float("-inf")))).alias("m"), F.col("c"))).alias("w"))
+    return best.select("seg_id", F.col("w.c").alias("c0"), F.col("w.mean").alias("mean0"))
+
+
 def best_windows(segments: DataFrame, frames: DataFrame, target: float) -> DataFrame:
     """(seg_id, centre_s, duration_s) of the window of ``target`` seconds with the best mean score.
 
@@ -91,7 +97,7 @@ def best_windows(segments: DataFrame, frames: DataFrame, target: float) -> DataF
     """
     span = F.col("end_s") - F.col("start_s")
     means = _candidate_means(segments, frames, target)
-    best = means.groupBy("seg_id").agg(F.min_by("c", F.struct((-F.coalesce("mean", F.lit(float("-inf")))).alias("m"), F.col("c"))).alias("c"))
+    best = best_starts(means).select("seg_id", F.col("c0").alias("c"))
     framed = inside(segments, frames).select("seg_id").distinct().withColumn("_framed", F.lit(True))
     joined = segments.join(best, "seg_id", "left").join(framed, "seg_id", "left")
     middle = (F.col("start_s") + F.col("end_s")) / 2
@@ -103,8 +109,9 @@ def best_windows(segments: DataFrame, frames: DataFrame, target: float) -> DataF
 def snapped_windows(segments: DataFrame, frames: DataFrame, target: float, reach_s: float, max_loss: float) -> DataFrame:
     """(seg_id, start_s) of the best window moved to a motion minimum within reach that loses at most ``max_loss`` of the score."""
     means = _candidate_means(segments, frames, target)
-    best = best_windows(segments, frames, target).where(F.col("duration_s") == target).select("seg_id", (F.col("centre_s") - target / 2).alias("c0"))
-    base = best.join(means, "seg_id").where(F.abs(F.col("c") - F.col("c0")) < 1e-9).select("seg_id", "c0", F.col("mean").alias("mean0"))
+    framed = segments.where(F.col("end_s") - F.col("start_s") >= target).select("seg_id").join(inside(segments, frames).select("seg_id").distinct(), "seg_id")
+    # the window's own start: half the target added and taken away again changes its last digits
+    base = best_starts(means).join(framed, "seg_id", "left_semi").where("mean0 is not null")
     lows = motion_minima(frames).select(F.col("file_id"), F.col("time_s").alias("c"), "motion")
     near = means.join(base, "seg_id").join(lows, ["file_id", "c"])
     ok = (F.col("mean0") > 0) & (F.abs(F.col("c") - F.col("c0")) > 1e-9) & (F.abs(F.col("c") - F.col("c0")) <= reach_s) & (F.col("c") >= F.col("start_s")) & (F.col("c") + target <= F.col("end_s")) & (F.try_divide(F.col("mean0") - F.col("mean"), F.col("mean0")) <= max_loss)

@@ -149,7 +149,7 @@ def snap_to_minimum(spark, sf_dir):
 
 def snapped(s, e):
     framed = s.join(e, "file_id").where("time_s >= start_s and time_s < end_s").select("seg_id").distinct()
-    return scoring.snapped_windows(s.join(framed, "seg_id"), e, 30000.0, 40000.0, 0.3).select("seg_id", F.round("start_s", 4).alias("start_s"), "moved")
+    return scoring.snapped_windows(s.join(framed, "seg_id"), e, 30000.0, 40000.0, 0.3).select("seg_id", (F.round(F.col("start_s") * 10000) / 10000).alias("start_s"), "moved")
 
 
 @query(f"""
