@@ -6,9 +6,9 @@ from functools import reduce
 import pytest
 from pyspark.sql import functions as F
 
-from strandlight.config import Selection, Similarity
+from strandlight.config import Config, Selection, Similarity
 from strandlight.functions import scalar
-from strandlight.operators import scoring, selection, similarity, telemetry
+from strandlight.operators import assembly, scoring, selection, similarity, telemetry
 from strandlight.plans import pairs
 from strandlight.sources import files
 from tests.test_operators import plain_greedy
@@ -104,3 +104,23 @@ def test_a_window_that_is_not_moved_keeps_the_digits_of_its_start(spark):
     frames = spark.createDataFrame([("f", at, 5.0, 1.0)], "file_id string, time_s double, frame_score double, motion double")
     assert at + 15000.0 - 15000.0 != at
     assert [(r.start_s, r.moved) for r in scoring.snapped_windows(spans, frames, 30000.0, 40000.0, 0.3).collect()] == [(at, False)]
+
+
+def test_a_long_span_is_spread_over_few_buckets(spark):
+    spans = spark.createDataFrame([("a", "f", 0.0, 3e12), ("b", "f", 3e12, 3e12 + 1000), ("c", "f", 7.0, 7.0)], "seg_id string, file_id string, start_s double, end_s double")
+    frames = spark.createDataFrame([("f", t, v) for t, v in ((-1.0, 9.0), (0.0, 1.0), (2e12, 2.0), (3e12 - 1, 6.0), (3e12, 4.0), (3e12 + 999, 5.0), (3e12 + 1000, 9.0))], "file_id string, time_s double, v double")
+    got = telemetry.span_means(spans, frames, ["v"], nearest=False, also={"top": F.max("v")})
+    assert sorted((r.seg_id, r.frames, r.v, r.top) for r in got.collect()) == [("a", 3, 3.0, 6.0), ("b", 2, 4.5, 5.0), ("c", 0, 0.0, None)]
+
+
+def test_segments_take_heights_from_their_frames(spark):
+    shots = spark.createDataFrame([("f", 0.0, 100.0), ("f", 100.0, 200.0), ("g", 0.0, 50.0)], "file_id string, start_s double, end_s double")
+    cuts = spark.createDataFrame([("f", 40.0), ("f", 100.0), ("f", 400.0)], "file_id string, cut_s double")
+    files = spark.createDataFrame([("f", "drone", 200.0), ("g", "phone", 50.0)], "file_id string, source_class string, duration_s double")
+    frames = spark.createDataFrame([(f, float(t), t / 1000, float(t) if t % 20 else None) for f, n in (("f", 40), ("f", 110), ("g", 7)) for t in range(n, n + 60, 5)], "file_id string, time_s double, motion double, height_m double")
+    frames = frames.withColumns({m: F.lit(0.5) for m in assembly.METRICS if m not in ("motion", "exposure_clipped")} | {"exposure_clipped": F.lit(0.0)})
+    for nearest in (True, False):
+        apart = assembly.segments(shots, cuts, frames.drop("height_m"), frames.select("file_id", "time_s", "height_m"), files, Config(), nearest=nearest)
+        at_once = assembly.segments(shots, cuts, frames, None, files, Config(), nearest=nearest)
+        assert sorted(map(repr, at_once.select(apart.columns).collect())) == sorted(map(repr, apart.collect()))
+        assert at_once.count() == 4 and at_once.where("heights > 0").count() == 3
