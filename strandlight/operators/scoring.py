@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import math
+from collections import deque
 from functools import reduce
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from strandlight.functions.ranks import WINDOW_ROWS, average_rank, low_rank, with_ranks
 
@@ -43,12 +48,16 @@ def frame_scores(frames: DataFrame, weights: dict[str, float], by: str = "source
     return out.withColumn("frame_score", _weighted(parts)).select(*[c for c in frames.columns if c != "frame_score"], "frame_score")
 
 
-def motion_minima(frames: DataFrame, by: str = "file_id", at: str = "time_s", value: str = "motion") -> DataFrame:
-    """Interior frames lower than one neighbour and not higher than the other."""
+def minimum(by: str = "file_id", at: str = "time_s", value: str = "motion") -> Column:
+    """Whether an interior frame is lower than one neighbour and not higher than the other; never null."""
     w = Window.partitionBy(by).orderBy(at)
     before, after, here = F.lag(value).over(w), F.lead(value).over(w), F.col(value)
-    kept = ((here < before) & (here <= after)) | ((here <= before) & (here < after))
-    return frames.withColumn("_min", kept & before.isNotNull() & after.isNotNull()).where("_min").drop("_min")
+    return F.coalesce(((here < before) & (here <= after)) | ((here <= before) & (here < after)), F.lit(False)) & before.isNotNull() & after.isNotNull()
+
+
+def motion_minima(frames: DataFrame, by: str = "file_id", at: str = "time_s", value: str = "motion") -> DataFrame:
+    """Interior frames lower than one neighbour and not higher than the other."""
+    return frames.withColumn("_min", minimum(by, at, value)).where("_min").drop("_min")
 
 
 def inside(segments: DataFrame, frames: DataFrame, values: list[str] | None = None, seconds: float = BUCKET_S) -> DataFrame:
@@ -67,30 +76,92 @@ def inside(segments: DataFrame, frames: DataFrame, values: list[str] | None = No
     return spread.join(rows, ["file_id", "_w", "_b"]).where((F.col("time_s") >= F.col("start_s")) & (F.col("time_s") < F.col("end_s"))).select("seg_id", "file_id", "start_s", "end_s", "time_s", *(values or []))
 
 
-def _candidate_means(segments: DataFrame, frames: DataFrame, target: float) -> DataFrame:
-    """(seg_id, start_s, end_s, file_id, c, mean): windows that begin at a frame or end flush with the span.
+UNIT = 1074  # of sums: doubles are whole numbers of 2 ** -1074
+
+
+class Sums:
+    """Means of windows from a file's rows in order: a window's sum is the difference of two running sums, which are exact (whole
+    numbers), so that no value outside it and no order of addition changes it.  Rounded once as a sum and once as a mean."""
 
-    Sums and counts of a file's scores before each window's start and end come from one sort of its frames and those times, so no
-    frame is read again for each window that holds it.
+    def __init__(self, target: float):
+        self.target = target
+        self.start(None)
+
+    def start(self, file) -> None:
+        self.file, self.total, self.n, self.odd, self.open = file, 0, 0, [], deque()
+
+    def ask(self, c: float) -> None:
+        self.open.append((c + self.target, self.total, self.n, len(self.odd)))
+
+    def add(self, v: float | None) -> None:
+        if v is None:
+            return
+        self.n += 1
+        if not math.isfinite(v):
+            self.odd.append(v)
+        else:
+            top, bottom = v.as_integer_ratio()
+            self.total += top << UNIT + 1 - bottom.bit_length()
+
+    def ended(self, t: float = math.inf) -> list[float | None]:
+        """Means of the windows that end by ``t``, in the order in which they were asked for."""
+        found = []
+        while self.open and not t < self.open[0][0]:
+            _, total, n, odd = self.open.popleft()
+            try:
+                s = sum(self.odd[odd:]) if len(self.odd) > odd else (self.total - total) / (1 << UNIT)
+            except OverflowError:
+                s = math.copysign(math.inf, self.total - total)
+            found.append(s / (self.n - n) if self.n > n else None)
+        return found
+
+
+def _candidate_means(segments: DataFrame, frames: DataFrame, target: float, values: list[str] | None = None) -> DataFrame:
+    """(seg_id, start_s, end_s, file_id, c, values..., mean): windows that begin at a frame, whose values they have, or end flush with the
+    span (values are null; a frame at that time has its own window).
+
+    Means come from one sort of a file's frames and windows, so no frame is read again for each window that holds it.
     """
-    starts = inside(segments, frames).where(F.col("time_s") + target <= F.col("end_s")).select("seg_id", "file_id", "start_s", "end_s", F.col("time_s").alias("c"))
-    flush = segments.where(F.col("end_s") - F.col("start_s") > target).select("seg_id", "file_id", "start_s", "end_s", (F.col("end_s") - target).alias("c"))
-    candidates = starts.unionByName(flush).distinct()
-    asked = candidates.select("file_id", F.explode(F.array(F.col("c"), F.col("c") + target)).alias("t")).distinct()
-    line = frames.select("file_id", F.col("time_s").alias("t"), F.lit(1).alias("kind"), F.col("frame_score").cast("double").alias("v")).unionByName(asked.select("file_id", "t", F.lit(0).alias("kind"), F.lit(None).cast("double").alias("v")))
-    before = Window.partitionBy("file_id").orderBy("t", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    sums = line.select("file_id", "t", "kind", F.sum("v").over(before).alias("s"), F.count("v").over(before).alias("n")).where("kind = 0").select("file_id", "t", F.coalesce("s", F.lit(0.0)).alias("s"), "n")
-    first = sums.select("file_id", F.col("t").alias("c"), F.col("s").alias("_s0"), F.col("n").alias("_n0"))
-    last = sums.select("file_id", F.col("t").alias("_e"), F.col("s").alias("_s1"), F.col("n").alias("_n1"))
-    joined = candidates.withColumn("_e", F.col("c") + target).join(first, ["file_id", "c"]).join(last, ["file_id", "_e"])
-    mean = F.try_divide(F.col("_s1") - F.col("_s0"), F.col("_n1") - F.col("_n0"))
-    return joined.select("seg_id", "file_id", "start_s", "end_s", "c", F.round(mean, 9).alias("mean"))
-
-
-def best_starts(means: DataFrame) -> DataFrame:
-    """(seg_id, c0, mean0) of the window with the best mean, the earliest of equals."""
-    best = means.groupBy("seg_id").agg(F.min_by(F.struct("c", "mean"), F.struct((-F.coalesce("mean", F.lit(float("-inf")))).alias("m"), F.col("c"))).alias("w"))
-    return best.select("seg_id", F.col("w.c").alias("c0"), F.col("w.mean").alias("mean0"))
+    more = values or []
+    own = ["seg_id", "file_id", "start_s", "end_s"]
+    starts = inside(segments, frames, more).where(F.col("time_s") + target <= F.col("end_s")).select(*own, F.col("time_s").cast("double").alias("c"), *more)
+    flush = segments.where(F.col("end_s") - F.col("start_s") > target).select(*own, (F.col("end_s") - target).cast("double").alias("c"))
+    asked = starts.unionByName(flush, allowMissingColumns=True).where("file_id is not null and c is not null")
+    scored = frames.where("file_id is not null and time_s is not null").select("file_id", F.col("time_s").cast("double").alias("c"), F.col("frame_score").cast("double").alias("_v"))
+    line = asked.withColumn("_frame", F.lit(False)).unionByName(scored.withColumn("_frame", F.lit(True)), allowMissingColumns=True)
+    schema = StructType([*asked.schema, StructField("mean", DoubleType())])
+
+    def take(batches):
+        sums, waiting, means = Sums(target), deque(), []
+        for batch in batches:
+            waiting.append(batch.filter(pc.invert(batch["_frame"])).select(asked_names))
+            for file, t, frame, v in zip(*(batch[name].to_pylist() for name in ("file_id", "c", "_frame", "_v"))):
+                if file != sums.file:
+                    means += sums.ended()
+                    sums.start(file)
+                if frame:
+                    means += sums.ended(t)
+                    sums.add(v)
+                else:
+                    sums.ask(t)
+            while waiting and len(waiting[0]) <= len(means):
+                yield with_means(waiting.popleft(), means)
+        means += sums.ended()
+        while waiting:
+            yield with_means(waiting.popleft(), means)
+
+    def with_means(batch, means):
+        out = batch.append_column("mean", pa.array(means[: len(batch)], pa.float64()))
+        del means[: len(batch)]
+        return out
+
+    asked_names = asked.columns
+    return line.repartition("file_id").sortWithinPartitions("file_id", "c", "_frame").mapInArrow(take, schema)
+
+
+def best_first() -> Column:
+    """The order of windows: by their mean, the best first (one that is no number counts as the greatest), the earliest of equals."""
+    return F.struct((~F.coalesce(F.isnan("mean"), F.lit(False))).alias("r"), (-F.coalesce("mean", F.lit(float("-inf")))).alias("m"), F.col("c"))
 
 
 def best_windows(segments: DataFrame, frames: DataFrame, target: float) -> DataFrame:
@@ -101,7 +172,7 @@ def best_windows(segments: DataFrame, frames: DataFrame, target: float) -> DataF
     """
     span = F.col("end_s") - F.col("start_s")
     means = _candidate_means(segments, frames, target)
-    best = best_starts(means).select("seg_id", F.col("c0").alias("c"))
+    best = means.groupBy("seg_id").agg(F.min_by("c", best_first()).alias("c"))
     framed = inside(segments, frames).select("seg_id").distinct().withColumn("_framed", F.lit(True))
     joined = segments.join(best, "seg_id", "left").join(framed, "seg_id", "left")
     middle = (F.col("start_s") + F.col("end_s")) / 2
@@ -112,12 +183,12 @@ def best_windows(segments: DataFrame, frames: DataFrame, target: float) -> DataF
 
 def snapped_windows(segments: DataFrame, frames: DataFrame, target: float, reach_s: float, max_loss: float) -> DataFrame:
     """(seg_id, start_s) of the best window moved to a motion minimum within reach that loses at most ``max_loss`` of the score."""
-    means = _candidate_means(segments, frames, target)
-    framed = segments.where(F.col("end_s") - F.col("start_s") >= target).select("seg_id").join(inside(segments, frames).select("seg_id").distinct(), "seg_id")
-    # the window's own start: half the target added and taken away again changes its last digits
-    base = best_starts(means).join(framed, "seg_id", "left_semi").where("mean0 is not null")
-    lows = motion_minima(frames).select(F.col("file_id"), F.col("time_s").alias("c"), "motion")
-    near = means.join(base, "seg_id").join(lows, ["file_id", "c"])
-    ok = (F.col("mean0") > 0) & (F.abs(F.col("c") - F.col("c0")) > 1e-9) & (F.abs(F.col("c") - F.col("c0")) <= reach_s) & (F.col("c") >= F.col("start_s")) & (F.col("c") + target <= F.col("end_s")) & (F.try_divide(F.col("mean0") - F.col("mean"), F.col("mean0")) <= max_loss)
-    chosen = near.where(ok).groupBy("seg_id").agg(F.min_by("c", F.struct("motion", F.abs(F.col("c") - F.col("c0")).alias("d"), "c")).alias("snapped"))
-    return base.join(chosen, "seg_id", "left").select("seg_id", F.coalesce("snapped", "c0").alias("start_s"), F.col("snapped").isNotNull().alias("moved"))
+    lows = frames.withColumn("_low", F.when(minimum(), F.col("motion")))
+    means = _candidate_means(segments, lows, target, ["_low"])
+    # a window lies within its span: where the best one has a mean, the span has a frame
+    best = F.min_by(F.struct("c", "mean"), best_first()).over(Window.partitionBy("seg_id"))
+    placed = means.withColumn("_best", best).where("_best.mean is not null").withColumns({"c0": F.col("_best.c"), "mean0": F.col("_best.mean")})
+    away = F.abs(F.col("c") - F.col("c0"))
+    ok = F.col("_low").isNotNull() & (F.col("mean0") > 0) & (away > 1e-9) & (away <= reach_s) & (F.col("c") >= F.col("start_s")) & (F.col("c") + target <= F.col("end_s")) & (F.try_divide(F.col("mean0") - F.col("mean"), F.col("mean0")) <= max_loss)
+    chosen = placed.groupBy("seg_id").agg(F.min("c0").alias("c0"), F.min_by("c", F.when(ok, F.struct("_low", away.alias("d"), "c"))).alias("snapped"))
+    return chosen.select("seg_id", F.coalesce("snapped", "c0").alias("start_s"), F.col("snapped").isNotNull().alias("moved"))

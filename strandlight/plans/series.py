@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from strandlight.operators import scoring, series, similarity, telemetry
 from strandlight.plans.registry import query, table
 from strandlight.plans.segments import TIMED, timed
+from strandlight.session import kept
 
 #: at most one event a user and second, so that order by time is total
 ONE = f"(SELECT event_id, user_id, t, value, k FROM (SELECT *, row_number() OVER (PARTITION BY user_id, t ORDER BY event_id) AS rn FROM ({TIMED})) WHERE rn = 1)"
@@ -122,8 +123,9 @@ def scored(spark, sf_dir):
 def spans(spark, sf_dir):
     """Spans of 100,000 s end to end, from each user's first event up to and with the last."""
     e = scored(spark, sf_dir)
-    last = F.floor(F.col("last") / 100000)
-    s = e.groupBy("file_id").agg(F.max("time_s").alias("last")).select("file_id", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("i"))
+    # the last time doesn't depend on which event of a second is taken; a row a user, kept
+    last = kept(timed(spark, sf_dir).groupBy(F.col("user_id").alias("file_id")).agg(F.floor(F.max("t") / 100000).alias("last")))
+    s = last.select("file_id", F.explode(F.sequence(F.lit(0).cast("long"), "last")).alias("i"))
     return s.select(F.concat_ws(":", "file_id", "i").alias("seg_id"), "file_id", (F.col("i") * 100000.0).alias("start_s"), ((F.col("i") + 1) * 100000.0).alias("end_s")), e
 
 
@@ -148,8 +150,7 @@ def snap_to_minimum(spark, sf_dir):
 
 
 def snapped(s, e):
-    framed = s.join(e, "file_id").where("time_s >= start_s and time_s < end_s").select("seg_id").distinct()
-    return scoring.snapped_windows(s.join(framed, "seg_id"), e, 30000.0, 40000.0, 0.3).select("seg_id", (F.round(F.col("start_s") * 10000) / 10000).alias("start_s"), "moved")
+    return scoring.snapped_windows(s, e, 30000.0, 40000.0, 0.3).select("seg_id", (F.round(F.col("start_s") * 10000) / 10000).alias("start_s"), "moved")
 
 
 @query(f"""

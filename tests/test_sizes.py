@@ -1,15 +1,19 @@
 """Work that must not grow with the square of a table, and rows that differed from SQL at larger sizes."""
 
 import random
+from datetime import datetime, timedelta
 from functools import reduce
 
+import duckdb
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from strandlight.config import Config, Selection, Similarity
 from strandlight.functions import scalar
 from strandlight.operators import assembly, scoring, selection, similarity, telemetry
-from strandlight.plans import pairs
+from strandlight.plans import ORACLES, QUERIES, pairs
 from strandlight.sources import files
 from tests.test_operators import plain_greedy
 
@@ -124,3 +128,23 @@ def test_segments_take_heights_from_their_frames(spark):
         at_once = assembly.segments(shots, cuts, frames, None, files, Config(), nearest=nearest)
         assert sorted(map(repr, at_once.select(apart.columns).collect())) == sorted(map(repr, apart.collect()))
         assert at_once.count() == 4 and at_once.where("heights > 0").count() == 3
+
+
+@pytest.mark.parametrize("name", ["snap_to_minimum", "best_window"])
+def test_windows_have_the_means_of_their_own_events(spark, tmp_path, name):
+    """At most two events a window, so that SQL has one sum for it, and many sums equal but for their last digit; one value dwarfs all later ones."""
+    rng, rows = random.Random(5), []
+    for user in range(20):
+        at = 0
+        for n in range(40):
+            value = 1e17 if n == 0 and user % 2 else float("inf") if n == 0 and user == 4 else rng.randint(1, 12) / 20
+            rows.append((len(rows), datetime(2024, 1, 1) + timedelta(seconds=at), user, value, '{"k": %d}' % rng.randint(0, 9)))
+            at += rng.randint(15_001, 40_000)
+    columns = [pa.array(c) for c in zip(*rows)]
+    columns[1] = columns[1].cast(pa.timestamp("us"))
+    pq.write_table(pa.table(columns, ["event_id", "ts", "user_id", "value", "props"]), tmp_path / "events.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    expected = con.sql(ORACLES[name])
+    got = QUERIES[name](spark, str(tmp_path)).select(*expected.columns).collect()
+    assert sorted(map(tuple, got)) == sorted(expected.fetchall())
